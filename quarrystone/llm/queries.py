@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, packing, sharding, urlfilter
+from . import chat, decontam, minhash, packing, quality, secret_scan, sharding, suffix_dedup, topk, urlfilter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -137,11 +137,56 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each finding, false ones (is_secret false) included."""
+    return secret_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.inline("findings"))
+
+
+def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
+OP8_SQL = """
+WITH v AS (
+  SELECT row_number() OVER () AS uid, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS q
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x::DOUBLE))) = 0
+), s AS (
+  SELECT a.uid, a.vec_id AS query_id, b.vec_id, list_sum(list_transform(list_zip(a.q, b.q), lambda z: z[1] * z[2]))::BIGINT AS score
+  FROM v a JOIN v b ON a.uid <> b.uid AND len(a.q) = len(b.q)
+  WHERE a.vec_id % 50 = 0
+)
+SELECT query_id, row_number() OVER (PARTITION BY uid ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
+FROM s QUALIFY rank <= 5
+"""
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return quality.score_quality(docs, quality.fit_quality(docs, labels))
+
+
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each document with its class of near copies."""
+    out = minhash.near_classes(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "class_id", "class_docs", "copies")
+
+
 QUERIES = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_chat_format": op2_chat_format,
     "op3_decontaminate": op3_decontaminate,
     "op4_url_filter": op4_url_filter,
     "op5_shards": op5_shards,
     "op6_packing": op6_packing,
+    "op7_secret_scan": op7_secret_scan,
+    "op8_top_k": op8_top_k,
+    "op9_quality": op9_quality,
+    "op10_near_dedup": op10_near_dedup,
 }
-ORACLE_SQL = {"op2_chat_format": OP2_SQL, "op3_decontaminate": OP3_SQL, "op4_url_filter": OP4_SQL}
+ORACLE_SQL = {"op2_chat_format": OP2_SQL, "op3_decontaminate": OP3_SQL, "op4_url_filter": OP4_SQL, "op8_top_k": OP8_SQL}
