@@ -89,8 +89,8 @@ def decontaminate(
         own = own.when(F.col("length") == n, grams("wh", n))
     item_fps = item_fps.select(F.explode(own).alias("fp")).distinct()
 
-    key = [F.xxhash64(text_col).alias("k1"), F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("k2"), F.length(text_col).alias("k3")]
-    keys = ["k1", "k2", "k3"]
+    key = [F.xxhash64(text_col).alias("__k1"), F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("__k2"), F.length(text_col).alias("__k3")]
+    keys = ["__k1", "__k2", "__k3"]
     fps = hashed(docs.where(F.length(text_col) > 0), F.col(text_col)).select(*key, F.explode(_fingerprints(docs, k, w, short)).alias("fp"))
     candidates = fps.join(sent(item_fps), "fp", "left_semi").select(*keys).distinct()
 

@@ -71,6 +71,7 @@ def statistics(texts: pa.Array) -> np.ndarray:
     share = [_within(kind == c, bounds) / np.maximum(size, 1) for c in range(12)]
     words, distinct, again, top = _repeats(pc.utf8_split_whitespace(texts))
     lines, distinct_lines, _, _ = _repeats(pc.split_pattern(texts, "\n"))
+    words[size == 0] = lines[size == 0] = 0
     ends = np.zeros(len(kind), bool)  # an upper-case letter after another
     ends[1:] = (kind[1:] == 1) & (kind[:-1] == 1)
     w = np.maximum(words, 1)
@@ -78,7 +79,7 @@ def statistics(texts: pa.Array) -> np.ndarray:
         np.log1p(size), np.log1p(words), size / w, *share, distinct / w, again / w, top / w, distinct_lines / np.maximum(lines, 1),
         size / np.maximum(lines, 1), _within(ends, bounds) / np.maximum(size, 1),
     ]
-    return np.stack(out, axis=1)
+    return np.stack(out, axis=1) * (size > 0)[:, None]
 
 
 def slices(batch: pa.RecordBatch, column: int, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

@@ -114,30 +114,30 @@ def scan(docs: DataFrame, model: Trees | None = None, text_col: str = "text", th
     text = F.coalesce(F.col(text_col), F.lit(""))
     rough = F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))
     some = F.exists(rough, lambda m: F.regexp_like(m, F.lit("[0-9]")))
-    out = docs.withColumn("_m", F.when(some, rough)).withColumn("_p", F.when(F.col("_m").isNotNull(), F.split(text, CANDIDATE, -1)))
+    out = docs.withColumn("__m", F.when(some, rough)).withColumn("__p", F.when(F.col("__m").isNotNull(), F.split(text, CANDIDATE, -1)))
     # running starts: the end of each gap, in characters
     starts = F.aggregate(
-        F.arrays_zip(F.slice("_p", F.lit(1), F.size("_m")), "_m"),
+        F.arrays_zip(F.slice("__p", F.lit(1), F.size("__m")), "__m"),
         F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all")),
         lambda s, z: F.struct(
-            (s["at"] + F.length(z["0"]) + F.length(z["_m"])).alias("at"), F.array_append(s["all"], s["at"] + F.length(z["0"])).alias("all")
+            (s["at"] + F.length(z["0"]) + F.length(z["__m"])).alias("at"), F.array_append(s["all"], s["at"] + F.length(z["0"])).alias("all")
         ),
         lambda s: s["all"],
     )
-    out = out.withColumn("_s", starts)
+    out = out.withColumn("__s", starts)
     near = F.transform(
-        "_m",
+        "__m",
         lambda m, i: F.struct(
-            F.get("_s", i).alias("start"), F.length(m).alias("length"), m.alias("candidate"),
-            features(m, F.right(F.get("_p", i), F.lit(CONTEXT)), F.left(F.get("_p", i + 1), F.lit(CONTEXT))).alias("f"),
+            F.get("__s", i).alias("start"), F.length(m).alias("length"), m.alias("candidate"),
+            features(m, F.right(F.get("__p", i), F.lit(CONTEXT)), F.left(F.get("__p", i + 1), F.lit(CONTEXT))).alias("f"),
         ),
     )
-    out = out.withColumn("_f", F.filter(near, lambda m: F.regexp_like(m["candidate"], F.lit("[0-9]"))))
+    out = out.withColumn("__f", F.filter(near, lambda m: F.regexp_like(m["candidate"], F.lit("[0-9]"))))
     score = model.sql([f"x.f.{name}" for name in FEATURES])
-    scored = F.expr(f"transform(_f, x -> named_struct('start', x.start, 'length', x.length, 'candidate', x.candidate, 'score', round({score}, 9)))")
-    out = out.withColumn("_g", scored)
-    found = F.transform("_g", lambda x: x.withField("is_secret", x["score"] >= threshold))
-    return out.withColumn("findings", F.coalesce(found, F.expr("slice(array(named_struct('start',0,'length',0,'candidate','','score',0D,'is_secret',false)),1,0)"))).drop("_m", "_p", "_s", "_f", "_g")
+    scored = F.expr(f"transform(__f, x -> named_struct('start', x.start, 'length', x.length, 'candidate', x.candidate, 'score', round({score}, 9)))")
+    out = out.withColumn("__g", scored)
+    found = F.transform("__g", lambda x: x.withField("is_secret", x["score"] >= threshold))
+    return out.withColumn("findings", F.coalesce(found, F.expr("slice(array(named_struct('start',0,'length',0,'candidate','','score',0D,'is_secret',false)),1,0)"))).drop("__m", "__p", "__s", "__f", "__g")
 
 
 def redact(docs: DataFrame, model: Trees | None = None, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:

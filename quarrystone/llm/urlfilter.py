@@ -99,10 +99,10 @@ def filter_urls(urls: DataFrame, rules: list[UrlRule], url_col: str = "url", def
     fits = F.filter(fetched, lambda r: F.regexp_like(full, r["regex"]))
     best = F.array_max(fits)  # named before patterns, then the longest
     return (
-        out.withColumn("_best", best)
-        .withColumn("rule", F.when(F.col("_best.named"), F.col("_best.rule")))
-        .withColumn("verdict", F.coalesce(F.col("_best.verdict"), F.lit(default)))
-        .drop("_best")
+        out.withColumn("__best", best)
+        .withColumn("rule", F.when(F.col("__best.named"), F.col("__best.rule")))
+        .withColumn("verdict", F.coalesce(F.col("__best.verdict"), F.lit(default)))
+        .drop("__best")
     )
 
 
