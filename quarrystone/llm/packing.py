@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -14,15 +16,17 @@ from pyspark.sql import functions as F
 from .common import bucket_count, ranked, written
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
-SLICE_BYTES = 2_000_000
-CACHE_TOKENS = 4_000_000
+SLICE_BYTES = 4_000_000
+#: Distinct chunks whose ids a worker remembers.
+CACHE_CHUNKS = 400_000
 
 
 class WordTokens:
     """Token ids of texts through a vocabulary of white-space-separated chunks.
 
-    ``word_bpe`` drops white space before it splits words, so a text's ids are its chunks' ids in order.  Each
-    distinct chunk is encoded once; the rest is numpy gathering.  Chunks split at ASCII white space only.
+    The tokenizer lower-cases, drops white space and never joins a letter or digit with the punctuation after it, so
+    a text's ids are its chunks' ids in order; A-Z is lowered and ``.,;:!?|`` set apart after a-z0-9 beforehand to
+    make chunks recur.  Each distinct chunk is encoded once; the rest is numpy gathering.
     """
 
     def __init__(self, path: str) -> None:
@@ -39,21 +43,24 @@ class WordTokens:
         self.lens = np.empty(0, np.int64)
 
     def _ids(self, uniques: list[str]) -> np.ndarray:
-        if len(self.pool) > CACHE_TOKENS:
+        if len(self.known) > CACHE_CHUNKS:
             self.reset()
-        new = [u for u in uniques if u not in self.known]
+        known = self.known
+        new = [u for u in uniques if u not in known]
         if new:
             got = [e.ids for e in self.tok.encode_batch_fast(new, add_special_tokens=False)]
             lens = np.fromiter(map(len, got), np.int64, len(got))
             at = len(self.pool) + np.cumsum(lens) - lens
-            self.known.update(zip(new, range(len(self.lens), len(self.lens) + len(new))))
-            self.pool = np.concatenate([self.pool, np.array([i for g in got for i in g], np.uint32)])
+            known.update(zip(new, range(len(self.lens), len(self.lens) + len(new))))
+            ids = np.fromiter(chain.from_iterable(got), np.uint32, int(lens.sum()))
+            self.pool = np.concatenate([self.pool, ids])
             self.offs, self.lens = np.concatenate([self.offs, at]), np.concatenate([self.lens, lens])
-        return np.fromiter((self.known[u] for u in uniques), np.int64, len(uniques))
+        return np.fromiter(map(known.__getitem__, uniques), np.int64, len(uniques))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and the bounds of each text in them."""
-        lists = pc.ascii_split_whitespace(texts)
+        plain = pc.replace_substring_regex(pc.ascii_lower(texts), pattern="([a-z0-9])([.,;:!?|])", replacement="\\1 \\2")
+        lists = pc.ascii_split_whitespace(plain)
         coded = lists.flatten().dictionary_encode()
         vid = self._ids(coded.dictionary.to_pylist())
         v = vid[coded.indices.to_numpy(zero_copy_only=False)] if len(coded) else np.empty(0, np.int64)
@@ -87,7 +94,10 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, least: int, end
     sizes = piece_sizes(capacity, least)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = _TOKENS.setdefault(tokenizer, None) or _TOKENS.__setitem__(tokenizer, WordTokens(tokenizer)) or _TOKENS[tokenizer]
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        if tokenizer not in _TOKENS:
+            _TOKENS[tokenizer] = WordTokens(tokenizer)
+        tok = _TOKENS[tokenizer]
         cuts: dict[int, list[int]] = {}
         for batch in batches:
             texts = pc.fill_null(batch.column(1), "")
