@@ -1,6 +1,6 @@
-"""Registered queries over the driver's tables, each with SQL that gives the same rows."""
+"""All registered queries over the driver's tables, each with SQL that gives the same rows."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from . import aggregates, graphs, ledgers, markets, relational, series, wallets  # noqa: F401
+from .registry import ORACLE_SQL, QUERIES  # noqa: F401
