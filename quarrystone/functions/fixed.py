@@ -37,6 +37,7 @@ def trunc_wide(a, b) -> Column:
 
 def floor_div(a, b) -> Column:
     a, b = wide(a), wide(b)
+    a, b = F.when(b < 0, -a).otherwise(a), F.abs(b)
     return ((a - F.pmod(a, b)) / b).cast("decimal(38,0)")
 
 
@@ -113,8 +114,8 @@ def clamp(x, low, high) -> Column:
 def isqrt(x) -> Column:
     """Integer square root of a non-negative BIGINT: the double root, corrected."""
     r = F.floor(F.sqrt(big(x).cast("double"))).cast("bigint")
-    r = F.when(r * r > big(x), r - 1).otherwise(r)
-    return F.when((r + 1) * (r + 1) <= big(x), r + 1).otherwise(r)
+    r = F.when(wide(r) * wide(r) > wide(x), r - 1).otherwise(r)
+    return F.when(wide(r + 1) * wide(r + 1) <= wide(x), r + 1).otherwise(r)
 
 
 def exp_series(milli) -> Column:
