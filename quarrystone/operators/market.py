@@ -146,17 +146,20 @@ def regime_weights(vol, trend, oi, liquidity, corr, quiet=400, stress=1800, leve
 # --- memory ------------------------------------------------------------------------------------------------------
 
 
-def analogues(memory: DataFrame, queries: DataFrame, k: int, horizon: int, radius: int) -> DataFrame:
+def analogues(memory: DataFrame, queries: DataFrame, k: int, horizon: int, radius: int, blocks: int = 16) -> DataFrame:
     """Exact nearest episodes: memory(episode, effective, known, v) against queries(query, q_episode, at, known_at, q).
 
     Eligible: another episode, known in time and effective before at - horizon.  Order: distance, episode, effective;
-    the first row of each episode; the best k.  The queries are a stated, bounded set and are broadcast.
+    the first row of each episode; the best k.  The queries are a stated set: memory is dealt to ``blocks``, each
+    block meets all queries, and only its best k episodes for a query leave it.
     """
-    pairs = memory.join(
-        F.broadcast(queries), (F.col("episode") != F.col("q_episode")) & (F.col("known") <= F.col("known_at")) & (F.col("effective") < F.col("at") - horizon)
-    )
-    pairs = pairs.withColumn("distance", squared_distance("v", "q"))
-    first = pairs.groupBy("query", "episode").agg(F.min(F.struct("distance", "effective")).alias("m")).select("query", "episode", "m.*")
+    dealt = memory.withColumn("_b", F.pmod(F.xxhash64("episode"), F.lit(blocks)).cast("int"))
+    asked = queries.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    ok = (F.col("episode") != F.col("q_episode")) & (F.col("known") <= F.col("known_at")) & (F.col("effective") < F.col("at") - horizon)
+    pairs = dealt.join(asked, "_b").where(ok).withColumn("distance", squared_distance("v", "q"))
+    first = pairs.groupBy("_b", "query", "episode").agg(F.min(F.struct("distance", "effective")).alias("m")).select("_b", "query", "episode", "m.*")
+    local = Window.partitionBy("_b", "query").orderBy("distance", "episode", "effective")
+    first = first.withColumn("_r", F.row_number().over(local)).where(F.col("_r") <= k).drop("_b", "_r")
     w = Window.partitionBy("query").orderBy("distance", "episode", "effective")
     out = first.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     return out.withColumn("support_ppm", F.when(F.min("distance").over(Window.partitionBy("query")) <= radius, 800_000).otherwise(0))

@@ -10,13 +10,13 @@ from ..operators import graph
 from .registry import EV, LI, events, lines, query, table
 
 
-@query("""WITH RECURSIVE e AS (SELECT c_custkey AS a, c_custkey + 7 AS b FROM customer WHERE c_custkey % 5 <> 0 AND c_custkey + 7 IN (SELECT c_custkey FROM customer)),
+@query("""WITH RECURSIVE e AS (SELECT c_custkey AS a, c_custkey + 7 AS b FROM customer WHERE c_mktsegment <> 'BUILDING' AND c_custkey + 7 IN (SELECT c_custkey FROM customer)),
 u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT a AS node, a AS reach FROM u UNION SELECT r.node, u.b FROM r JOIN u ON r.reach = u.a)
 SELECT node, min(reach) AS component FROM r GROUP BY node""")
 def administrative_groups(spark, d):
     """Connected components over identity links."""
-    c = table(spark, d, "customer").select("c_custkey")
-    e = c.where("c_custkey % 5 <> 0").select(F.col("c_custkey").alias("a"), (F.col("c_custkey") + 7).alias("b"))
+    c = table(spark, d, "customer").select("c_custkey", "c_mktsegment")
+    e = c.where("c_mktsegment <> 'BUILDING'").select(F.col("c_custkey").alias("a"), (F.col("c_custkey") + 7).alias("b"))
     return graph.components(e.join(c.withColumnRenamed("c_custkey", "b"), "b", "left_semi"))
 
 

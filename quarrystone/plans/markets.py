@@ -169,16 +169,17 @@ def first_wave(spark, d):
 
 
 @query("""WITH m AS (SELECT vec_id AS episode, vec_id * 10 AS effective, vec_id * 10 + 5 AS known, list_transform(embedding[1:20], lambda x: CAST(round(x::DOUBLE * 1000) AS BIGINT)) AS v FROM embeddings),
-q AS (SELECT vec_id AS query, vec_id AS q_episode, 4000 AS t_at, 4500 AS known_at, list_transform(embedding[1:20], lambda x: CAST(round(x::DOUBLE * 1000) AS BIGINT)) AS q FROM embeddings WHERE vec_id % 100 = 7 AND vec_id < 1000),
+q AS (SELECT vec_id AS query, vec_id AS q_episode, vec_id * 10 AS t_at, vec_id * 10 AS known_at, list_transform(embedding[1:20], lambda x: CAST(round(x::DOUBLE * 1000) AS BIGINT)) AS q FROM embeddings WHERE vec_id % 50 = 0),
 p AS (SELECT query, episode, effective, CAST(list_sum(list_transform(list_zip(v, q), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) AS distance FROM m, q WHERE episode <> q_episode AND known <= known_at AND effective < t_at - 100),
 r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY distance, episode, effective) AS rank, min(distance) OVER (PARTITION BY query) AS nearest FROM p)
 SELECT query, episode, distance, rank, CASE WHEN nearest <= 600000 THEN 800000 ELSE 0 END AS support_ppm FROM r WHERE rank <= 5""")
 def knn_memory(spark, d):
-    """Five nearest earlier episodes over 20 integer dimensions, for a fixed handful of queries."""
+    """Five nearest earlier episodes over 20 integer dimensions, for every row whose id is divisible by 50."""
     v = F.transform(F.slice("embedding", 1, 20), lambda x: F.round(x.cast("double") * 1000).cast("bigint"))
     e = table(spark, d, "embeddings")
     memory = e.select(F.col("vec_id").alias("episode"), (F.col("vec_id") * 10).alias("effective"), (F.col("vec_id") * 10 + 5).alias("known"), v.alias("v"))
-    asked = e.where("vec_id % 100 = 7 and vec_id < 1000").select(F.col("vec_id").alias("query"), F.col("vec_id").alias("q_episode"), F.lit(4000).alias("at"), F.lit(4500).alias("known_at"), v.alias("q"))
+    now = (F.col("vec_id") * 10).alias
+    asked = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), F.col("vec_id").alias("q_episode"), now("at"), now("known_at"), v.alias("q"))
     out = market.analogues(memory, asked, 5, 100, 600_000)
     return out.select("query", "episode", F.col("distance").cast("bigint").alias("distance"), F.col("rank").cast("bigint").alias("rank"), "support_ppm")
 

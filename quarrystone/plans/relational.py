@@ -173,13 +173,13 @@ def shared_keys(spark, d):
     return c.intersect(s)
 
 
-@query(f"""WITH {LI}, x AS (SELECT l_orderkey AS height, sum(px) AS h FROM li WHERE l_linenumber % 2 = 0 GROUP BY 1 UNION ALL SELECT l_orderkey, sum(px) FROM li WHERE l_linenumber % 3 = 0 GROUP BY 1)
+@query(f"""WITH {LI}, x AS (SELECT l_orderkey AS height, sum(px) AS h FROM li WHERE l_linestatus = 'O' GROUP BY 1 UNION ALL SELECT l_orderkey, sum(px) FROM li WHERE l_returnflag = 'R' GROUP BY 1)
 SELECT height, count(*) AS sources, count(DISTINCT h) > 1 AS conflict FROM x GROUP BY height""")
 def merge_sources(spark, d):
     """Union of two sources' evidence for each height: equal digests merge, different ones conflict."""
     li = lines(spark, d).withColumn("height", F.col("l_orderkey"))
-    part = lambda n: li.where(f"l_linenumber % {n} = 0").groupBy("height").agg(F.sum("px").alias("h"))
-    return part(2).unionByName(part(3)).groupBy("height").agg(F.count(F.lit(1)).alias("sources"), (F.min("h") != F.max("h")).alias("conflict"))
+    part = lambda cond: li.where(cond).groupBy("height").agg(F.sum("px").alias("h"))
+    return part("l_linestatus = 'O'").unionByName(part("l_returnflag = 'R'")).groupBy("height").agg(F.count(F.lit(1)).alias("sources"), (F.min("h") != F.max("h")).alias("conflict"))
 
 
 @query("""SELECT o_custkey, sha256(string_agg(p, '|' ORDER BY p)) AS originators FROM (SELECT DISTINCT o_custkey, o_orderpriority AS p FROM orders) GROUP BY 1""")

@@ -91,18 +91,18 @@ def holding_time(spark, d):
     return s.select("user_id", F.array_min("l").alias("shortest"), F.array_max("l").alias("longest"), stats.lower_median("l").alias("median"), "total")
 
 
-@query("""WITH k AS (SELECT DISTINCT o_orderkey AS h FROM orders WHERE o_orderkey % 97 <> 13), g AS (SELECT h, h - row_number() OVER (ORDER BY h) AS g FROM k)
+@query("""WITH k AS (SELECT DISTINCT o_orderkey AS h FROM orders WHERE o_orderstatus <> 'P')
 SELECT min(h) // 1000 AS part, min(h) AS first, max(h) AS last, count(*) AS rows FROM (SELECT h, h // 1000 AS part, h - row_number() OVER (PARTITION BY h // 1000 ORDER BY h) AS g FROM k) GROUP BY part, g""")
 def gaps_and_islands(spark, d):
     """Runs of consecutive heights within each partition of 1000: what a contiguous drain would emit."""
-    k = table(spark, d, "orders").where("o_orderkey % 97 <> 13").select(F.expr("o_orderkey div 1000").alias("part"), F.col("o_orderkey").alias("h"))
+    k = table(spark, d, "orders").where("o_orderstatus <> 'P'").select(F.expr("o_orderkey div 1000").alias("part"), F.col("o_orderkey").alias("h"))
     return rolling.islands(k, "h", ["part"])
 
 
-@query("""WITH k AS (SELECT DISTINCT o_orderkey AS h, o_orderkey // 1000 AS part FROM orders WHERE o_orderkey % 97 <> 13)
+@query("""WITH k AS (SELECT DISTINCT o_orderkey AS h, o_orderkey // 1000 AS part FROM orders WHERE o_orderstatus <> 'P')
 SELECT part, h + 1 AS gap_from, n - 1 AS gap_to FROM (SELECT part, h, lead(h) OVER (PARTITION BY part ORDER BY h) AS n FROM k) WHERE n - h > 1""")
 def gap_requests(spark, d):
-    k = table(spark, d, "orders").where("o_orderkey % 97 <> 13").select(F.expr("o_orderkey div 1000").alias("part"), F.col("o_orderkey").alias("h"))
+    k = table(spark, d, "orders").where("o_orderstatus <> 'P'").select(F.expr("o_orderkey div 1000").alias("part"), F.col("o_orderkey").alias("h"))
     return rolling.gaps(k, "h", ["part"])
 
 

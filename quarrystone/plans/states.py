@@ -95,13 +95,13 @@ def metadata_ranges(spark, d):
     return v.withColumn("effective_to", nxt - 1)
 
 
-@query(f"""WITH {LI}, a AS (SELECT l_orderkey, l_linenumber, sum(px) AS v1, count(*) AS n1 FROM li GROUP BY ALL), b AS (SELECT l_orderkey, l_linenumber, sum(px) + max(CASE WHEN l_orderkey % 37 = 0 THEN 1 ELSE 0 END) AS v2 FROM li WHERE l_linenumber < 6 GROUP BY ALL)
+@query(f"""WITH {LI}, a AS (SELECT l_orderkey, l_linenumber, sum(px) AS v1, count(*) AS n1 FROM li GROUP BY ALL), b AS (SELECT l_orderkey, l_linenumber, sum(px) + max(CASE WHEN l_orderkey % 37 = 0 THEN 1 ELSE 0 END) AS v2 FROM li WHERE l_linestatus = 'O' GROUP BY ALL)
 SELECT l_orderkey, l_linenumber, CASE WHEN v2 IS NULL THEN 'MissingV2' WHEN v1 = v2 THEN 'Reconciled' ELSE 'Conflict' END AS state FROM a LEFT JOIN b USING (l_orderkey, l_linenumber)""")
 def trade_reconciliation(spark, d):
     """First-version trade facts against second-version ones."""
     li = lines(spark, d)
     a = li.groupBy("l_orderkey", "l_linenumber").agg(F.sum("px").alias("v1"))
-    b = li.where("l_linenumber < 6").groupBy("l_orderkey", "l_linenumber").agg(F.sum("px").alias("v2")).withColumn("v2", F.col("v2") + F.when(F.col("l_orderkey") % 37 == 0, 1).otherwise(0))
+    b = li.where("l_linestatus = 'O'").groupBy("l_orderkey", "l_linenumber").agg(F.sum("px").alias("v2")).withColumn("v2", F.col("v2") + F.when(F.col("l_orderkey") % 37 == 0, 1).otherwise(0))
     state = F.when(F.col("v2").isNull(), "MissingV2").when(F.col("v1") == F.col("v2"), "Reconciled").otherwise("Conflict")
     return a.join(b, ["l_orderkey", "l_linenumber"], "left").select("l_orderkey", "l_linenumber", state.alias("state"))
 
@@ -202,24 +202,23 @@ def fill_costs(spark, d):
     )
 
 
-@query("""WITH p AS (SELECT o_orderkey AS id, epoch_us(o_orderdate) // 86400000000 AS t FROM orders), s AS (SELECT * FROM p WHERE id % 3 = 0 AND t = 9999)
-SELECT id, t FROM p WHERE t BETWEEN 9999 AND 10005 AND NOT EXISTS (SELECT 1 FROM s WHERE s.id = p.id AND s.t = p.t)""")
+@query("""WITH p AS (SELECT o_orderkey AS id, epoch_us(o_orderdate) // 86400000000 AS t FROM orders), s AS (SELECT o_orderkey AS id, epoch_us(o_orderdate) // 86400000000 AS t FROM orders WHERE o_orderstatus = 'F')
+SELECT id, t FROM p WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.id = p.id AND s.t = p.t)""")
 def time_page(spark, d):
     """Records of a page that were not already seen at its boundary time."""
     from ..sources.archive import page_outcome
 
-    p = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), days("o_orderdate").alias("time"))
-    seen = p.where("id % 3 = 0 and time = 9999")
-    return page_outcome(p.where("time between 9999 and 10005"), seen).select("id", F.col("time").alias("t"))
+    p = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), days("o_orderdate").alias("time"), "o_orderstatus")
+    return page_outcome(p, p.where("o_orderstatus = 'F'")).select("id", F.col("time").alias("t"))
 
 
-@query("""WITH d AS (SELECT o_orderkey AS id, epoch_us(o_orderdate) // 86400000000 AS decided FROM orders WHERE o_orderstatus = 'F'), o AS (SELECT o_orderkey AS id, epoch_us(o_orderdate) // 86400000000 + o_orderkey % 9 AS observed, CAST(round(o_totalprice * 100) AS BIGINT) AS net FROM orders WHERE o_orderkey % 4 <> 0)
+@query("""WITH d AS (SELECT o_orderkey AS id, epoch_us(o_orderdate) // 86400000000 AS decided FROM orders WHERE o_orderstatus = 'F'), o AS (SELECT o_orderkey AS id, epoch_us(o_orderdate) // 86400000000 + o_orderkey % 9 AS observed, CAST(round(o_totalprice * 100) AS BIGINT) AS net FROM orders WHERE o_orderpriority <> '1-URGENT')
 SELECT d.id, o.net, CASE WHEN o.id IS NULL THEN 'Pending' WHEN o.observed < d.decided + 3 THEN 'TooEarly' ELSE 'Recorded' END AS state FROM d LEFT JOIN o USING (id)""")
 def shadow_outcomes(spark, d):
     """Shadow decisions against their outcomes, with the horizon respected."""
     o = table(spark, d, "orders").withColumn("day", days("o_orderdate"))
     dec = o.where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("id"), F.col("day").alias("decided"))
-    out = o.where("o_orderkey % 4 <> 0").select(F.col("o_orderkey").alias("id"), (F.col("day") + F.col("o_orderkey") % 9).alias("observed"), cents("o_totalprice").alias("net"))
+    out = o.where("o_orderpriority <> '1-URGENT'").select(F.col("o_orderkey").alias("id"), (F.col("day") + F.col("o_orderkey") % 9).alias("observed"), cents("o_totalprice").alias("net"))
     state = F.when(F.col("observed").isNull(), "Pending").when(F.col("observed") < F.col("decided") + 3, "TooEarly").otherwise("Recorded")
     return dec.join(out, "id", "left").select("id", "net", state.alias("state"))
 

@@ -84,18 +84,18 @@ def style_classify(spark, d):
     return f.select("c_custkey", market.allocate_array(wallet.style_weights(*[F.col(k) for k in FEATURES])).alias("ppm"))
 
 
-@query(f"""WITH {LI}, x AS (SELECT l_orderkey, l_linenumber, disc - 300 AS p10, disc - 100 AS p50, disc + 100 AS p90, qty * 1000 AS bankroll, px + 1 AS depth, tax // 10 AS fee, 40 + l_partkey % 60 AS coef, 500000 AS part, 25 AS threshold FROM li WHERE l_linenumber = 1),
+@query(f"""WITH {LI}, x AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, px, disc - 300 AS p10, disc - 100 AS p50, disc + 100 AS p90, qty * 1000 AS bankroll, px + 1 AS depth, tax // 10 AS fee, 40 + l_partkey % 60 AS coef, 500000 AS part, 25 AS threshold FROM li),
 y AS (SELECT *, least(bankroll * 1000000 // depth, part) AS size FROM x), z AS (SELECT *, coef * size // 1000000 AS impact, (bankroll * part // 1000000) * 1000000 // depth AS used FROM y)
-SELECT l_orderkey, impact, p50 - fee - impact AS net_bps, greatest(0, 1000000 - least(1000000, used)) AS fill_ppm, depth * least(greatest(threshold * 1000000 // coef, 0), 1000000) // 1000000 AS capacity,
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, px, impact, p50 - fee - impact AS net_bps, greatest(0, 1000000 - least(1000000, used)) AS fill_ppm, depth * least(greatest(threshold * 1000000 // coef, 0), 1000000) // 1000000 AS capacity,
 CASE WHEN net_bps <= 0 OR p90 <= 0 THEN 'NotCopyable' WHEN impact >= threshold OR fill_ppm < 250000 THEN 'CapacityLimited' WHEN p10 <= 0 OR p90 - p10 >= greatest(net_bps, 1) * 2 THEN 'LatencySensitive' ELSE 'Actionable' END AS class FROM z""")
 def copyability(spark, d):
     """Impact, capacity and class of copying each trade."""
-    x = lines(spark, d).where("l_linenumber = 1")
+    x = lines(spark, d)
     c = F.col
     got = wallet.copyability(
         c("disc") - 300, c("disc") - 100, c("disc") + 100, c("qty") * 1000, c("px") + 1, trunc_div("tax", F.lit(10)), c("l_partkey") % 60 + 40, F.lit(500_000).cast("bigint"), F.lit(25).cast("bigint")
     )
-    return x.select("l_orderkey", *[got[k].alias(k) for k in ("impact", "net_bps", "fill_ppm", "capacity", "class")])
+    return x.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "px", *[got[k].alias(k) for k in ("impact", "net_bps", "fill_ppm", "capacity", "class")])
 
 
 @query(f"""WITH {EV}, r AS (SELECT user_id, list_sort(list(cents - 6000)) AS l FROM ev GROUP BY 1)
@@ -117,17 +117,16 @@ def max_drawdown(spark, d):
     return p.groupBy("user_id").agg(F.max(F.col("peak") - F.col("cum")).alias("max_drawdown"))
 
 
-@query(f"""WITH {EV}, n AS (SELECT user_id, cents, event_id * 7919 % 1000 AS p, row_number() OVER (PARTITION BY user_id ORDER BY us, event_id) AS i FROM ev QUALIFY i <= 40)
-SELECT a.user_id, CAST(sum(sign(a.p - b.p) * sign(a.cents - b.cents)) AS BIGINT) AS score, count(*) AS pairs, CAST(CAST(sum(sign(a.p - b.p) * sign(a.cents - b.cents)) AS BIGINT) * 100000000 // count(*) AS BIGINT) AS tau_e8
-FROM n a JOIN n b ON a.user_id = b.user_id AND b.i < a.i GROUP BY 1""")
+@query("""WITH n AS (SELECT o_custkey, CAST(round(o_totalprice * 100) AS BIGINT) AS x, o_orderkey * 7919 % 1000 AS p, o_orderkey AS i FROM orders)
+SELECT a.o_custkey, CAST(sum(sign(a.p - b.p) * sign(a.x - b.x)) AS BIGINT) AS score, count(*) AS pairs, CAST(CAST(sum(sign(a.p - b.p) * sign(a.x - b.x)) AS BIGINT) * 100000000 // count(*) AS BIGINT) AS tau_e8
+FROM n a JOIN n b ON a.o_custkey = b.o_custkey AND b.i < a.i GROUP BY 1""")
 def kendall_tau(spark, d):
-    """Kendall's tau of predictions and outcomes over each key's first forty rows (a fold's fixed size)."""
-    w = Window.partitionBy("user_id").orderBy("us", "event_id")
-    n = events(spark, d).withColumn("i", F.row_number().over(w)).where("i <= 40").withColumn("p", F.expr("event_id * 7919 % 1000"))
-    a = n.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("i", "p", "cents"))).alias("s")).where("size(s) > 1")
-    a = a.withColumn("score", stats.kendall_pairs(F.transform("s", lambda x: x["p"]), F.transform("s", lambda x: x["cents"])))
+    """Kendall's tau of predictions and outcomes of each key, its pairs compared inside the row."""
+    n = table(spark, d, "orders").select("o_custkey", F.col("o_orderkey").alias("i"), F.expr("o_orderkey * 7919 % 1000").alias("p"), cents("o_totalprice").alias("x"))
+    a = n.groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("i", "p", "x"))).alias("s")).where("size(s) > 1")
+    a = a.withColumn("score", stats.kendall_pairs(F.transform("s", lambda r: r["p"]), F.transform("s", lambda r: r["x"])))
     a = a.withColumn("pairs", F.expr("cast(size(s) * (size(s) - 1) div 2 as bigint)"))
-    return a.select("user_id", "score", "pairs", trunc_div(F.col("score") * 100_000_000, "pairs").alias("tau_e8"))
+    return a.select("o_custkey", "score", "pairs", trunc_div(F.col("score") * 100_000_000, "pairs").alias("tau_e8"))
 
 
 @query("""WITH r AS (SELECT o_custkey, CAST(round(o_totalprice * 100) AS BIGINT) AS x, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey * 7919 % 10007 DESC, o_orderkey) AS k, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders)
