@@ -17,7 +17,7 @@ from .quality import slices
 BROADCAST_NODES = 250_000
 U = np.uint64
 MASK = (1 << 64) - 1
-SIGN_BYTES = 4_000_000
+SIGN_BYTES = 1_500_000
 _P, _PINV = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -32,6 +32,9 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
+_TABLE = mix(np.arange(1, 257, dtype=U))
+
+
 def powers(base: int, n: int) -> np.ndarray:
     out = np.full(n, base, U)
     if n:
@@ -39,6 +42,16 @@ def powers(base: int, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
+_POWERS: list[np.ndarray] = []
+
+
+def power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the fingerprint base and of its inverse, kept for the longest text seen."""
+    if not _POWERS or len(_POWERS[0]) < n:
+        _POWERS[:] = [powers(_P, n), powers(_PINV, n)]
+    return _POWERS[0][:n], _POWERS[1][:n]
+
+
 def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All UTF-8 bytes of the texts (null: none), and each text's bounds in them."""
     texts = pa.concat_arrays([pc.fill_null(texts.cast(pa.large_string()), "")])
@@ -63,8 +76,10 @@ def shingles(texts: pa.Array, size: int = 5) -> tuple[np.ndarray, np.ndarray]:
     ends[1:] = word
     ends[1:-1] &= ~(word[1:] & ~starts[1:])
     a, b = np.flatnonzero(starts), np.flatnonzero(ends)
-    total = np.concatenate([np.zeros(1, U), np.cumsum((data.astype(U) + U(1)) * powers(_P, len(data)), dtype=U)])
-    own = (total[b] - total[a]) * powers(_PINV, len(data) + 1)[a]
+    up, down = power_tables(len(data) + 1)
+    total = np.zeros(len(data) + 1, U)
+    np.cumsum(_TABLE[data] * up[:-1], out=total[1:])
+    own = (total[b] - total[a]) * down[a]
     h = mix(own + (b - a).astype(U))
     owner = np.searchsorted(bounds, a, "right") - 1
     count = np.bincount(owner, minlength=len(texts))
@@ -81,54 +96,58 @@ def shingles(texts: pa.Array, size: int = 5) -> tuple[np.ndarray, np.ndarray]:
     return out, who
 
 
+def poisson_cdf(rate: float) -> np.ndarray:
+    """P(count <= i) for i = 0, 1, ... until it is 1 to double precision."""
+    n = int(rate + 12 * np.sqrt(rate) + 24)
+    terms = np.exp(-rate) * np.concatenate([[1.0], np.multiply.accumulate(rate / np.arange(1, n))])
+    return np.minimum(np.cumsum(terms), 1.0)
+
+
 def dart_signatures(elements: np.ndarray, owner: np.ndarray, n: int, k: int, weights: np.ndarray | None = None) -> np.ndarray:
     """DartMinHash signatures (n x k) of ``n`` weighted sets; all ones where a set is empty.
 
     Each element owns a region: weight axis times rank axis.  A hash of (element, cell, ordinal) throws darts of
     unit rate into the cells of that region; a dart counts where its weight coordinate is below the element's
-    weight; it hits one of the k coordinates, and the earliest rank wins each.  Cells are visited in rank order up
-    to about k ln k + 2k darts a set, then on, for the sets that still have an empty coordinate.  Equal elements
-    throw equal darts, so repeats in a set change nothing.
+    weight; it hits one of the k coordinates, and the earliest rank wins each.  Cells are visited in rank order
+    until a set's coordinates are all hit: later darts have later ranks and change nothing.  That takes about
+    k (ln k + 0.6) darts a set, whatever its size.  Equal elements throw equal darts, so repeats change nothing.
     """
-    weights = np.ones(len(elements)) if weights is None else weights
-    mass = np.bincount(owner, weights, n)
-    reach = (k * np.log(k) + 2 * k) / np.maximum(mass, 1e-12)
-    best = np.full((n, k), np.inf)
-    sig = np.full((n, k), np.iinfo(np.uint64).max, U)
-    live = mass > 0
-    low, width, cell = 0.0, 1 / 32, 0
-    most = int(np.ceil(weights.max(initial=1.0)))
+    unit = weights is None
+    weights = np.ones(len(elements)) if unit else weights
+    best = np.full(n * k, np.inf)
+    sig = np.full(n * k, MASK, U)
+    live = np.bincount(owner, weights, n) > 0
+    low, width, cell = 0.0, 0.25, 0
+    layers = int(np.ceil(weights.max(initial=1.0)))
     while live.any():
-        use = np.flatnonzero(live[owner])
-        for layer in range(most):  # unit layers of the weight axis
+        use = np.arange(len(elements)) if live.all() else np.flatnonzero(live[owner])
+        cdf = poisson_cdf(width)
+        for layer in range(layers):  # unit layers of the weight axis
             rows = use[weights[use] > layer] if layer else use
             seed = mix(elements[rows] + U((0xD1B54A32D192ED03 * (cell + 1) + 0x8CB92BA72F3D8DD7 * layer) & MASK))
-            p = (seed >> U(11)).astype(float) / float(1 << 53)
-            term = cdf = np.exp(-width)
-            for d in range(64):  # Poisson count by its distribution function
-                go = p >= cdf
-                rows, seed, p = rows[go], seed[go], p[go]
-                if not len(rows):
-                    break
-                term = term * width / (d + 1)
-                cdf = cdf + term
-                dart = mix(seed + U(0xA0761D6478BD642F * (d + 1) & MASK))
-                where = mix(dart)
-                inside = layer + (where & U(0xFFFFFF)).astype(float) / float(1 << 24) < weights[rows]
-                rank = low + width * ((where >> U(24)).astype(float) / float(1 << 40))
-                slot = owner[rows] * k + (mix(where) % U(k)).astype(np.int64)
-                inside &= rank < best.ravel()[slot]
-                slot, rank, dart = slot[inside], rank[inside], dart[inside]
-                order = np.lexsort((dart, rank, slot))
-                slot, rank, dart = slot[order], rank[order], dart[order]
-                lead = np.ones(len(slot), bool)
-                lead[1:] = slot[1:] != slot[:-1]
-                best.ravel()[slot[lead]] = rank[lead]
-                sig.ravel()[slot[lead]] = dart[lead]
+            count = np.searchsorted(cdf, (seed >> U(11)).astype(float) / float(1 << 53), "right")
+            some = np.flatnonzero(count)
+            count = count[some]
+            first = np.repeat(np.cumsum(count) - count, count)
+            ordinal = (np.arange(len(first)) - first + 1).astype(U)
+            some = np.repeat(some, count)
+            dart = mix(seed[some] + ordinal * U(0xA0761D6478BD642F))
+            rank = low + width * ((dart >> U(24)).astype(float) / float(1 << 40))
+            hit = owner[rows[some]] * k + ((dart & U(0xFFFFFF)) * U(k) >> U(24)).astype(np.int64)
+            good = rank < best[hit]
+            if not unit:
+                good &= layer + (mix(dart) >> U(11)).astype(float) / float(1 << 53) < weights[rows[some]]
+            hit, rank, dart = hit[good], rank[good], dart[good]
+            order = np.lexsort((rank, hit))
+            hit, rank, dart = hit[order], rank[order], dart[order]
+            lead = np.ones(len(hit), bool)
+            lead[1:] = hit[1:] != hit[:-1]
+            best[hit[lead]] = rank[lead]
+            sig[hit[lead]] = dart[lead]
         low, cell = low + width, cell + 1
-        width = min(low, 1.0)
-        live &= (low < reach) | np.isinf(best).any(axis=1)
-    return sig
+        width = min(max(width, low / 2), 64.0)
+        live &= np.isinf(best.reshape(n, k)).any(axis=1)
+    return sig.reshape(n, k)
 
 
 def band_keys(sig: np.ndarray, bands: int) -> np.ndarray:
