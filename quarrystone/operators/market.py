@@ -143,6 +143,45 @@ def regime_weights(vol, trend, oi, liquidity, corr, quiet=400, stress=1800, leve
     return F.array(*[F.when(c, w).otherwise(1).cast("bigint") for c, w in conds])
 
 
+def shares_of(weights: list[int]) -> list[int]:
+    """``allocate_array`` on plain integers."""
+    total = sum(weights)
+    parts = [w * PPM // total for w in weights]
+    order = sorted(range(len(weights)), key=lambda i: (-(weights[i] * PPM % total), i))
+    for i in order[: PPM - sum(parts)]:
+        parts[i] += 1
+    return parts
+
+
+def regime_path(states: DataFrame, dwell: int = 300_000_000) -> DataFrame:
+    """Regime shares of each key over time: states(key, known, ordinal, weights), an empty array if unsupported.
+
+    Within the dwell of the previous state its dominant regime gains its share plus 200,000, then shares are made
+    again.  Unsupported states have equal shares and change 1e6.  One key's states are a fold in order.
+    """
+
+    def start() -> dict:
+        return {"ppm": None, "known": None}
+
+    def step(s: dict, r: dict) -> list[dict]:
+        w = [int(x) for x in r["weights"]]
+        supported = bool(w)
+        ppm = shares_of(w if supported else [1] * len(REGIMES))
+        if supported and s["ppm"] is not None and r["known"] - s["known"] < dwell:
+            i = s["ppm"].index(max(s["ppm"]))
+            ppm[i] += s["ppm"][i] + 200_000
+            ppm = shares_of(ppm)
+        top = sorted(ppm, reverse=True)
+        s["ppm"], s["known"] = ppm, r["known"]
+        dominant = REGIMES[ppm.index(top[0])] if supported else "Unsupported"
+        change = PPM - (top[0] - top[1]) if supported else PPM
+        return [{"key": r["key"], "ordinal": r["ordinal"], "ppm": ppm, "dominant": dominant, "change": change}]
+
+    from .rolling import fold
+
+    return fold(states, ["key"], ["known", "ordinal"], "key bigint, ordinal bigint, ppm array<bigint>, dominant string, change bigint", start, step)
+
+
 # --- memory ------------------------------------------------------------------------------------------------------
 
 

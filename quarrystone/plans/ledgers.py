@@ -144,6 +144,17 @@ def signal_divergence(spark, d):
     return table(spark, d, "customer").select("c_custkey", r.alias("reasons"), F.when(smart > 0, "Long").otherwise("Short").alias("direction"))
 
 
+@query("""WITH s AS (SELECT c_custkey, c_custkey * 37 % 401 - 200 AS low, c_custkey * 53 % 401 - 200 AS base, c_custkey * 71 % 401 - 200 AS high, c_custkey * 7919 % 5000 AS absorbed, c_custkey * 104729 % 5000 AS forced, c_custkey % 4 AS waves FROM customer)
+SELECT c_custkey, list_filter([CASE WHEN abs(base - greatest(high, low)) < 25 THEN 'flat' END, CASE WHEN absorbed >= forced THEN 'absorbed' END, CASE WHEN waves = 0 THEN 'waves' END], lambda x: x IS NOT NULL) AS reasons,
+CASE WHEN base > greatest(high, low) THEN 'Short' ELSE 'Long' END AS direction FROM s""")
+def signal_asymmetry(spark, d):
+    """Reasons that withhold the fragility-asymmetry signal, and its direction."""
+    k = F.col("c_custkey")
+    low, base, high = k * 37 % 401 - 200, k * 53 % 401 - 200, k * 71 % 401 - 200
+    r = signals.asymmetry(low, base, high, k * 7919 % 5000, k * 104729 % 5000, k % 4)
+    return table(spark, d, "customer").select("c_custkey", r.alias("reasons"), F.when(base > F.greatest(high, low), "Short").otherwise("Long").alias("direction"))
+
+
 @query("""WITH s AS (SELECT c_custkey AS k FROM customer)
 SELECT k AS c_custkey, CAST((k * 31 % 200 * (k * 7919 % 1000001) * (CASE WHEN k % 5 > 0 THEN 1000000 ELSE 0 END) // 1000000) * (CASE WHEN k % 3 = 0 THEN 500000 ELSE 1000000 END) // 1000000 - k * 13 % 700000 - abs(k % 60 - 30) * 1000 - (CASE k % 4 WHEN 0 THEN 0 WHEN 1 THEN 50000 WHEN 2 THEN 250000 ELSE 400000 END) AS BIGINT) AS utility FROM s""")
 def signal_utility(spark, d):

@@ -125,6 +125,16 @@ def regime_classify(spark, d):
     return p.select("c_custkey", "ppm", "top", F.get(names, (F.array_position("ppm", F.col("top")) - 1).cast("int")).alias("dominant"), (F.lit(PPM) - (F.col("top") - second)).alias("change"))
 
 
+@query(None)
+def regime_path(spark, d):
+    """Regimes of each user over its events, with the dwell boost of the state before."""
+    c, x = F.col, F.col("cents")
+    w = market.regime_weights(x * 37 % 2500, x * 91 % 1200 - 600, x * 53 % 1600, x * 7919 % 1000000, x * 104729 % 1000000)
+    known = F.expr("us div 3600000000 * 100000000")
+    ev = events(spark, d).select(c("user_id").alias("key"), known.alias("known"), c("event_id").alias("ordinal"), F.when(c("event_type") != "error", w).otherwise(F.array().cast("array<bigint>")).alias("weights"))
+    return market.regime_path(ev)
+
+
 @query("""SELECT c_custkey, CASE WHEN c_custkey % 11 = 0 THEN 'Unknown' WHEN c_custkey % 300 <= 40 THEN 'NearLiquidation' WHEN abs(c_custkey * 7 % 401 - 200) <= 15 THEN 'NearBreakEven'
 WHEN c_custkey * 7 % 401 - 200 < 0 AND c_custkey * 131 % 7200 * 1000000 >= 3600000000 THEN 'VoluntaryExit' WHEN c_custkey * 7 % 401 - 200 < 0 THEN 'Underwater' ELSE 'Profitable' END AS state FROM customer""")
 def pain_states(spark, d):

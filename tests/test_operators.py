@@ -159,3 +159,14 @@ def test_change_points(spark):
     start, step = rolling.cusum(50_000, 600_000, 3)
     out = rolling.fold(spark.createDataFrame(rows, "key long, ordinal long, x long"), ["key"], ["ordinal"], "key long, ordinal long, regime long, mean long", start, step)
     assert [(r.ordinal, r.regime) for r in out.orderBy("ordinal").collect()] == [(0, 1), (20, 2)]
+
+
+def test_regime_dwell(spark):
+    up, quiet = [1, 1, 30, 1, 1, 1, 1, 1], [40, 1, 1, 1, 1, 1, 1, 1]
+    rows = [(1, 0, 0, up), (1, 100, 1, quiet), (1, 1000, 2, quiet), (1, 2000, 3, [])]
+    df = spark.createDataFrame(rows, "key long, known long, ordinal long, weights array<long>")
+    got = {r.ordinal: r for r in market.regime_path(df, dwell=300).collect()}
+    assert [got[i].dominant for i in range(4)] == ["OrderlyUp", "OrderlyUp", "QuietRange", "Unsupported"]
+    boosted = market.shares_of(quiet)
+    boosted[2] += market.shares_of(up)[2] + 200_000
+    assert list(got[1].ppm) == market.shares_of(boosted) and got[3].change == 1_000_000 and all(sum(r.ppm) == 1_000_000 for r in got.values())
