@@ -15,6 +15,8 @@ from .quality import slices
 
 #: Nodes whose keys may be broadcast to fetch their texts (40 bytes each); more are joined by shuffle.
 BROADCAST_NODES = 250_000
+#: Buckets up to this size are compared in full where they still hold several components.
+SMALL_BUCKET = 32
 U = np.uint64
 MASK = (1 << 64) - 1
 SIGN_BYTES = 1_500_000
@@ -241,7 +243,9 @@ def near_classes(
     Candidates share a band of their DartMinHash signature.  In a band's bucket every member is held against the
     bucket's centre (the member that shares most with others); then, for up to ``rounds`` rounds, the centre of
     each component still apart in the bucket is held against the centre of its largest, so a bucket of n costs n
-    pairs, not n squared.  Every link is verified on the whole texts.
+    pairs, not n squared.  At last members of different components that share a bucket of at most SMALL_BUCKET are
+    held against each other, SMALL_BUCKET pairs a member at most.  What remains untested are pairs that share only
+    larger buckets and whose members are similar to no centre there.  Every link is verified on the whole texts.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -277,10 +281,19 @@ def near_classes(
         again = written(again.join(tested, ["a", "b"], "left_anti"), "pairs")
         more = written(verified(again, texts, least, size), "links")
         tested = tested.unionByName(again)
-        if not more.limit(1).count():
+        if more.isEmpty():
             break
         edges = edges.unionByName(more)
         labels = components(edges)
+    named = members.join(labels, "nid", "left").withColumn("label", F.coalesce("label", "nid"))
+    mixed = named.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi"))
+    small = named.join(mixed.where((F.col("n") <= SMALL_BUCKET) & (F.col("lo") != F.col("hi"))).select("key"), "key").select("key", "nid", "label")
+    other = small.select("key", F.col("nid").alias("b"), F.col("label").alias("m"))
+    last = small.withColumnRenamed("nid", "a").join(other, "key").where("a < b and label <> m").select("a", "b").distinct()
+    last = written(last.join(tested, ["a", "b"], "left_anti"), "pairs")
+    more = written(verified(last, texts, least, size), "links")
+    if not more.isEmpty():
+        labels = components(edges.unionByName(more))
 
     node_class = nodes.select("nid", "tkey", "rep", "copies").join(labels, "nid", "left").withColumn("label", F.coalesce("label", "nid"))
     classes = node_class.groupBy("label").agg(F.min("rep").alias("class_id"), F.sum("copies").alias("class_docs"))
