@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,24 +29,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .minhash import _P, _PINV, U, mix, powers, text_bytes
+from .minhash import _TABLE, U, mix, power_tables, text_bytes
 
 MODULUS = 57
 #: Eight residues whose differences are every residue modulo 57 (fixed values).
 COVER = (0, 1, 3, 13, 32, 36, 43, 52)
-_TABLE = mix(np.arange(1, 257, dtype=U))
 SLICE_BYTES = 1_500_000
 #: Bits of a tuple's name beyond those that number the samples: chance repeats are one in 2**FILTER_BITS.
-FILTER_BITS = 9
+FILTER_BITS = 12
 LEAST_BLOCK, MOST_BLOCK, BLOCKS = 4 << 20, 64 << 20, 2048
-_POWERS: list[np.ndarray] = []
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _POWERS or len(_POWERS[0]) < n:
-        _POWERS[:] = [powers(_P, n), powers(_PINV, n)]
-    return _POWERS[0][:n], _POWERS[1][:n]
-
 
 class Slice:
     """Consecutive documents of a block: bytes, bounds and names of any substring length."""
@@ -53,7 +45,7 @@ class Slice:
     def __init__(self, texts: pa.Array) -> None:
         self.data, self.bounds = text_bytes(texts)
         n = len(self.data)
-        up, self.down = _powers(n + 1)
+        up, self.down = power_tables(n + 1)
         self.total = np.zeros(n + 1, U)
         np.cumsum(_TABLE[self.data] * up[:n], out=self.total[1:])
         self.owner = np.repeat(np.arange(len(self.bounds) - 1), np.diff(self.bounds))
@@ -126,6 +118,30 @@ def messages(names: np.ndarray, block: int, count: int) -> pa.Table:
     )
 
 
+PACKED = "block int, docs binary"
+
+
+def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (block, doc_id, text) as compressed runs of one block each: what the exchange moves."""
+    options = pa.ipc.IpcWriteOptions(compression="zstd")
+    for batch in batches:
+        block = batch.column(0).to_numpy()
+        order = np.argsort(block, kind="stable")
+        t = pa.Table.from_batches([batch]).select([1, 2]).take(pa.array(order)).combine_chunks()
+        at = np.flatnonzero(np.diff(block[order], prepend=-1))
+        out = []
+        for a, b in zip(at.tolist(), [*at[1:].tolist(), len(order)]):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, t.schema, options=options) as w:
+                w.write_table(t.slice(a, b - a))
+            out.append(sink.getvalue().to_pybytes())
+        yield pa.RecordBatch.from_arrays([pa.array(block[order][at], pa.int32()), pa.array(out, pa.binary())], ["block", "docs"])
+
+
+def unpacked(t: pa.Table) -> pa.Table:
+    return pa.concat_tables([pa.ipc.open_stream(x).read_all() for x in t["docs"].to_pylist()]).combine_chunks()
+
+
 MESSAGE = "bucket int, block int, names binary"
 ANSWER = "block int, level int, bucket int, bits binary"
 
@@ -254,7 +270,7 @@ def remove_repeats(docs: DataFrame, depth: int = 200, id_col: str = "doc_id", te
     A byte is removed if a string of ``depth`` bytes that also starts anywhere else, same document included,
     covers it; strings never cross documents and are judged on the input.  Null counts as empty; texts shorter
     than ``depth`` are kept whole; repeated rows remove each other.  Other columns are ignored.  No rows give no
-    rows.  The texts are shuffled once; all three passes read that one exchange.
+    rows.  The texts are shuffled once, compressed; all three passes read that one exchange.
     """
     if depth < MODULUS:
         raise ValueError(f"depth must be {MODULUS} at least")
@@ -263,14 +279,14 @@ def remove_repeats(docs: DataFrame, depth: int = 200, id_col: str = "doc_id", te
     blocks = max(1, -(-total // size))
     samples = max(2, total * len(COVER) // MODULUS)
     job = Job(depth, max(0, 64 - math.ceil(math.log2(samples)) - FILTER_BITS), blocks)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    block = F.pmod(F.xxhash64(id_col, text_col), F.lit(blocks)).cast("int")
+    rows = docs.select(block.alias("block"), F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
-    dealt = rows.groupBy("block")
-    sent = dealt.applyInArrow(lambda key, t: job.names0(key, t), MESSAGE)
+    dealt = rows.mapInArrow(packed, PACKED).groupBy("block")
+    sent = dealt.applyInArrow(lambda key, t: job.names0(key, unpacked(t)), MESSAGE)
     answers = sent.groupBy("bucket").applyInArrow(_answer(0), ANSWER)
-    sent = dealt.cogroup(answers.groupBy("block")).applyInArrow(lambda key, t, a: job.names1(key, t, a), MESSAGE)
+    sent = dealt.cogroup(answers.groupBy("block")).applyInArrow(lambda key, t, a: job.names1(key, unpacked(t), a), MESSAGE)
     both = answers.unionByName(sent.groupBy("bucket").applyInArrow(_answer(1), ANSWER))
     return dealt.cogroup(both.groupBy("block")).applyInArrow(
-        lambda key, t, a: job.removed(key, t, a), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+        lambda key, t, a: job.removed(key, unpacked(t), a), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     )
