@@ -132,19 +132,22 @@ def score_quality(docs: DataFrame, model: Trees, id_col: str = "doc_id", text_co
     Null and empty texts have all statistics zero and get the score of such a text.  Repeated rows get equal
     scores.  A null id is not held out.  No rows give no rows.
     """
-    picked = docs.select(*[F.col(c).alias(f"_{c}") for c in extra], F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    at = len(extra) + 1
+    others = [c for c in extra if c not in (id_col, text_col)]
+    picked = docs.select(*[F.col(c).alias(f"_{c}") for c in others], F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    at = len(others) + 1
+    kept = at + (text_col in extra)  # the text goes back only if it is wanted
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, at):
                 score = pa.array(model.probability(statistics(batch.column(at))))
-                yield pa.RecordBatch.from_arrays([*batch.columns[:at], score], [*batch.schema.names[:at], "score"])
+                yield pa.RecordBatch.from_arrays([*batch.columns[:kept], score], [*batch.schema.names[:kept], "score"])
 
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[:at])
-    out = picked.mapInArrow(run, f"{kept}, score double")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[:kept])
+    out = picked.mapInArrow(run, f"{schema}, score double")
     return out.select(
-        *[F.col(f"_{c}").alias(c) for c in extra],
+        *[F.col(f"_{c}").alias(c) for c in others],
+        *([F.col("text").alias(text_col)] if kept > at else []),
         "doc_id",
         held_out(F.col("doc_id")).alias("held_out"),
         "score",
