@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
 from .urlfilter import lower_ascii
 
 #: Everything that is not a word character, as in the word pattern [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+.
@@ -111,7 +112,8 @@ def decontaminate(
     n_hit = covered.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_hit"))
     found = hits.select(*keys, "words").distinct().join(sent(wins.select("words", F.col("item_id").cast("string").alias("item"))), "words")
     found = found.groupBy(*keys).agg(F.array_sort(F.collect_set("item")).alias("items"))
-    result = n_hit.join(found, keys, "left")
+    # stored, so that the last join is between plain rows and Spark can split a text that many documents share
+    result = written(n_hit.join(found, keys, "left"), "hits")
     out = base.join(result, keys, "left").drop(*keys)
     items_found = F.coalesce(F.col("items"), F.array().cast("array<string>"))
     return out.withColumns(
