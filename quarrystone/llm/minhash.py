@@ -10,13 +10,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import batches_of, written
 from .quality import slices
 
 #: Nodes whose keys may be broadcast to fetch their texts (40 bytes each); more are joined by shuffle.
 BROADCAST_NODES = 250_000
 #: Buckets up to this size are compared in full where they still hold several components.
 SMALL_BUCKET = 32
+#: Rows of whole texts that one Arrow batch may hold.
+TEXTS_IN_BATCH = 1000
 U = np.uint64
 MASK = (1 << 64) - 1
 SIGN_BYTES = 1_500_000
@@ -247,6 +249,13 @@ def near_classes(
     held against each other, SMALL_BUCKET pairs a member at most.  What remains untested are pairs that share only
     larger buckets and whose members are similar to no centre there.  Every link is verified on the whole texts.
     """
+    with batches_of(docs.sparkSession, TEXTS_IN_BATCH):
+        return _near_classes(docs, least, size, k, bands, rounds, weighted, id_col, text_col)
+
+
+def _near_classes(
+    docs: DataFrame, least: float, size: int, k: int, bands: int, rounds: int, weighted: bool, id_col: str, text_col: str
+) -> DataFrame:
     kind = docs.schema[id_col].dataType.simpleString()
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.md5(text.cast("binary")).alias("tkey"), text.alias("text"))
