@@ -47,7 +47,7 @@ def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
-def bucket_count(rows: int, per_bucket: int = 4096, most: int = 65536) -> int:
+def bucket_count(rows: int, per_bucket: int = 1024, most: int = 65536) -> int:
     return max(1, min(most, -(-rows // per_bucket)))
 
 
