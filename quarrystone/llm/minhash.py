@@ -17,6 +17,8 @@ from .quality import slices
 BROADCAST_NODES = 250_000
 #: Buckets up to this size are compared in full where they still hold several components.
 SMALL_BUCKET = 32
+#: Entries of one shingle that one task of the rare-shingle join holds against the others.
+SHINGLE_BLOCK = 512
 #: Rows of whole texts that one Arrow batch may hold.
 TEXTS_IN_BATCH = 1000
 U = np.uint64
@@ -212,6 +214,46 @@ def verified(pairs: DataFrame, texts: DataFrame, least: float, size: int) -> Dat
     return both.mapInArrow(run, "a long, b long")
 
 
+def rare_pairs(members: DataFrame, texts: DataFrame, least: float, size: int) -> DataFrame:
+    """Pairs (a, b) of members(nid, label) of different labels that can have similarity ``least``: none is left out.
+
+    Shingles are ordered by how many members hold them.  Of two similar sets, the first shingle in common is among
+    the n - ceil(least n) + 1 rarest of both (prefix filter), and what follows it in each is as long as the overlap
+    that they need (positional filter).  Only members outside a shingle's largest label look for partners, and the
+    partners are dealt in blocks, so neither a linked group nor a hot shingle makes one long task.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, 2, SIGN_BYTES):
+                h, who = shingles(batch.column(2), size)
+                order = np.lexsort((h, who))
+                h, who = h[order], who[order]
+                new = np.ones(len(h), bool)
+                new[1:] = (h[1:] != h[:-1]) | (who[1:] != who[:-1])
+                h, who = h[new], who[new]
+                ends = np.r_[0, np.cumsum(np.bincount(who, minlength=batch.num_rows))].astype(np.int32)
+                sets = pa.ListArray.from_arrays(pa.array(ends), pa.array(h.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), sets], ["nid", "label", "sets"])
+
+    sets = members.join(texts, "nid").select("nid", "label", "text").mapInArrow(run, "nid long, label long, sets array<long>")
+    held = written(sets.select("nid", "label", F.size("sets").alias("n"), F.explode("sets").alias("h")), "shingles")
+    often = held.groupBy("h").agg(F.count(F.lit(1)).alias("often"))
+    ordered = held.join(often, "h").groupBy("nid", "label", "n").agg(F.sort_array(F.collect_list(F.struct("often", "h"))).alias("all"))
+    prefix = F.expr(f"slice(all, 1, cast(n - ceil({least!r}D * n - 1e-6D) + 1 AS INT))")
+    entries = ordered.select("nid", "label", "n", F.posexplode(prefix).alias("at", "e")).where("e.often > 1")
+    entries = written(entries.select(F.col("e.h").alias("h"), "nid", "label", "n", (F.col("n") - F.col("at")).alias("rest")), "entries")
+    groups = entries.groupBy("h", "label").agg(F.count(F.lit(1)).alias("m"))
+    groups = groups.groupBy("h").agg(F.sum("m").alias("m"), F.max(F.struct("m", "label")).alias("top"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    groups = groups.select("h", F.col("top.label").alias("top"), F.ceil(F.col("m") / SHINGLE_BLOCK).cast("int").alias("blocks"))
+    ours = entries.join(groups, "h")
+    left = ours.where("label <> top").select("h", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.struct("nid", "label", "n", "rest").alias("x"))
+    right = ours.select("h", F.expr("cast(pmod(xxhash64(nid), blocks) AS INT)").alias("block"), F.struct("nid", "label", "n", "rest").alias("y"))
+    fits = F.least("x.rest", "y.rest") >= least / (1 + least) * (F.col("x.n") + F.col("y.n")) - 1e-6
+    met = left.join(right, (left["h"] == right["h"]) & (left["block"] == right["block"]) & (F.col("x.label") != F.col("y.label")) & fits)
+    return met.select(F.least("x.nid", "y.nid").alias("a"), F.greatest("x.nid", "y.nid").alias("b")).distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(nid, label): the smallest node of each node's component, by label spreading with pointer jumping.
 
@@ -246,8 +288,9 @@ def near_classes(
     bucket's centre (the member that shares most with others); then, for up to ``rounds`` rounds, the centre of
     each component still apart in the bucket is held against the centre of its largest, so a bucket of n costs n
     pairs, not n squared.  At last members of different components that share a bucket of at most SMALL_BUCKET are
-    held against each other, SMALL_BUCKET pairs a member at most.  What remains untested are pairs that share only
-    larger buckets and whose members are similar to no centre there.  Every link is verified on the whole texts.
+    held against each other, SMALL_BUCKET pairs a member at most; the members of larger buckets that hold several
+    components meet in an exact join on their rare shingles (``rare_pairs``).  So two similar texts that share a band
+    are always linked, whatever the bucket's size.  Every link is verified on the whole texts.
     """
     with batches_of(docs.sparkSession, TEXTS_IN_BATCH):
         return _near_classes(docs, least, size, k, bands, rounds, weighted, id_col, text_col)
@@ -298,7 +341,12 @@ def _near_classes(
     mixed = named.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi"))
     small = named.join(mixed.where((F.col("n") <= SMALL_BUCKET) & (F.col("lo") != F.col("hi"))).select("key"), "key").select("key", "nid", "label")
     other = small.select("key", F.col("nid").alias("b"), F.col("label").alias("m"))
-    last = small.withColumnRenamed("nid", "a").join(other, "key").where("a < b and label <> m").select("a", "b").distinct()
+    last = small.withColumnRenamed("nid", "a").join(other, "key").where("a < b and label <> m").select("a", "b")
+    large = mixed.where((F.col("n") > SMALL_BUCKET) & (F.col("lo") != F.col("hi"))).select("key")
+    stuck = written(named.join(large, "key").select("nid", "label").distinct(), "stuck")
+    if not stuck.isEmpty():
+        last = last.union(rare_pairs(stuck, texts, least, size))
+    last = last.distinct()
     last = written(last.join(tested, ["a", "b"], "left_anti"), "pairs")
     more = written(verified(last, texts, least, size), "links")
     if not more.isEmpty():

@@ -288,6 +288,32 @@ def test_near_dedup(spark, odd_texts):
     assert sorted((str(r.class_id), r.class_docs) for r in nulls) == [("4", 1), ("None", 2), ("None", 2)]
 
 
+def test_near_dedup_in_a_large_group(spark):
+    """Variants of one template that are similar in pairs, but to no centre: their buckets hold several hundred."""
+    rng = random.Random(11)
+    base, texts = [f"t{i}" for i in range(179)], []
+    for i in range(120):  # 179 of 221 shingles in common, 175 of 225 with every other text
+        pair = base + [f"pair{i}x{j}" for j in range(4)]
+        texts += [" ".join(pair + [f"own{i}{side}{j}" for j in range(21)]) for side in "ab"]
+    for i in range(60):  # a linked group in the same buckets
+        w = base + [f"c{j}" for j in range(25)]
+        w[rng.randrange(199, 204)] = f"copy{i}"
+        texts.append(" ".join(w))
+    rng.shuffle(texts)
+    want = classes_by_hand(texts)
+    assert len(set(want)) == 121
+    got = {r.doc_id: r.class_id for r in minhash.near_classes(docs_of(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+    # the join itself, without bands or centres
+    nodes = spark.createDataFrame([(i, i, t) for i, t in enumerate(texts)], "nid long, label long, text string")
+    minhash.SHINGLE_BLOCK = 50
+    pairs = {tuple(r) for r in minhash.rare_pairs(nodes.select("nid", "label"), nodes.select("nid", "text"), 0.8, 5).collect()}
+    minhash.SHINGLE_BLOCK = 512
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    close = {(i, j) for j in range(len(sets)) for i in range(j) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    assert close <= pairs and len(pairs) < 2 * len(close)
+
+
 def test_near_dedup_on_the_table(spark):
     rows = spark.read.parquet(f"{DATA}/sf0.001/documents.parquet").orderBy("doc_id").collect()
     got = {r.doc_id: r.class_id for r in queries.op10_near_dedup(spark, f"{DATA}/sf0.001").collect()}
