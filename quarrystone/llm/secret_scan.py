@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from .trees import Trees, fit_forest
 
-CANDIDATE = r"[A-Za-z0-9_+/-]{16,}={0,2}"
+#: A run of key characters with its padding; an equals sign before a value is an assignment, not padding.
+CANDIDATE = r"[A-Za-z0-9_+/-]{16,}(?:={1,2}(?![ \t]?[\"'][A-Za-z0-9_+/-]|[A-Za-z0-9_+/=-]))?"
 #: Words that stand near secrets and words that stand inside ordinary identifiers (fixed lists).
 NEAR = r"(?i)(?:token|secret|passw(?:or)?d|passwd|api|key|auth|bearer|credential|private|access)"
 NEAR_NOT = r"(?i)(?:commit|sha(?:1|256|512)?|md5|digest|checksum|uuid|guid|version|build|card|order|phone|isbn|image|etag|revision|hash)"
@@ -24,7 +25,7 @@ DICTIONARY = (
 )
 FEATURES = [
     "length", "digit_share", "upper_share", "lower_share", "symbol_share", "transitions", "distinct_share", "hex", "all_digits",
-    "dictionary", "longest_word", "path", "slashes", "near", "near_not", "assigned", "quoted", "prefix",
+    "dictionary", "longest_word", "path", "slashes", "near", "near_not", "assigned", "quoted", "prefix", "names",
 ]
 CONTEXT = 32
 
@@ -51,6 +52,7 @@ def features(c: Column, left: Column, right: Column) -> Column:
         count("/"), flag(F.regexp_like(left, F.lit(NEAR))), flag(F.regexp_like(left, F.lit(NEAR_NOT))),
         flag(F.regexp_like(left, F.lit(r"[=:]\s*[\"']?$"))), flag(F.regexp_like(left, F.lit("[\"']$")) & F.regexp_like(right, F.lit("^[\"']"))),
         flag(F.regexp_like(c, F.lit(r"^(?:AKIA|ASIA|gh[pousr]_|sk_live|xox|eyJ|glpat-)"))),
+        flag(F.regexp_like(right, F.lit(r"^[\"']?[ \t]{0,3}[:=][ \t]{0,3}[\"']?[A-Za-z0-9_+/-]"))),
     ]
     return F.struct(*[v.alias(name) for v, name in zip(values, FEATURES)])
 
@@ -66,6 +68,7 @@ def labelled_findings(spark: SparkSession, rows: int = 6000) -> DataFrame:
     u = f"substr({h}, 1, 20)"
     word = "element_at(array('the','of','herein','ention','la','der','que','and'), cast(id % 8 + 1 as int))"
     name = "element_at(array('token','api_key','secret','password','auth_token','access key','private_key','client_secret'), cast(id div 16 % 8 + 1 as int))"
+    name_ = f"concat(element_at(array('production','service','billing_database','staging_mail'), cast(id div 7 % 4 + 1 as int)), '_', replace({name}, ' ', '_'))"
     digits = f"lpad(cast(abs(xxhash64(id)) % 10000000000000000 as string), 16, '4')"
     cases = [
         (1, h, f"concat({word}, ' ', {name}, ' = \"')", "'\" and'"),
@@ -84,6 +87,7 @@ def labelled_findings(spark: SparkSession, rows: int = 6000) -> DataFrame:
         (0, f"concat('YOUR_API_KEY_HERE_', cast(id % 10 as string))", "'token = \"'", "'\"'"),
         (0, "repeat(cast(id % 10 as string), cast(16 + id % 9 as int))", "'key = '", "' '"),
         (0, f"concat('thentionerhea', {word}, 'reation', cast(id % 7 as string))", f"concat({word}, ' ')", "'.'"),
+        (0, f"concat(if(id % 3 = 0, {name_}, upper({name_})), '_', cast(id % 100 as string))", f"concat({word}, ' ')", f"concat(if(id % 2 = 0, '=', ' = '), substr({h}, 1, 30))"),
         (0, f"concat('2021-03-', lpad(cast(id % 28 + 1 as string), 2, '0'), '-report-', cast(id as string))", "'see '", "'.pdf'"),
     ]
     pick = lambda j: "CASE id % " + str(len(cases)) + " " + " ".join(f"WHEN {i} THEN {c[j]}" for i, c in enumerate(cases)) + " END"
@@ -125,11 +129,17 @@ def scan(docs: DataFrame, model: Trees | None = None, text_col: str = "text", th
         lambda s: s["all"],
     )
     out = out.withColumn("__s", starts)
+
+    def around(i: Column, gaps: tuple[int, ...]) -> Column:
+        """The text of gaps next to match i with the matches between them; a match has 16 characters at least, so two fill a context."""
+        parts = [F.coalesce(F.get(c, i + j), F.lit("")) for j in gaps for c in (("__p", "__m") if j < gaps[-1] else ("__p",))]
+        return F.concat(*parts)
+
     near = F.transform(
         "__m",
         lambda m, i: F.struct(
             F.get("__s", i).alias("start"), F.length(m).alias("length"), m.alias("candidate"),
-            features(m, F.right(F.get("__p", i), F.lit(CONTEXT)), F.left(F.get("__p", i + 1), F.lit(CONTEXT))).alias("f"),
+            features(m, F.right(around(i, (-2, -1, 0)), F.lit(CONTEXT)), F.left(around(i, (1, 2, 3)), F.lit(CONTEXT))).alias("f"),
         ),
     )
     out = out.withColumn("__f", F.filter(near, lambda m: F.regexp_like(m["candidate"], F.lit("[0-9]"))))

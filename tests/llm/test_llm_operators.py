@@ -202,6 +202,20 @@ def test_secret_scan(spark):
     assert secret_scan.scan(df.limit(0)).count() == 0
 
 
+def test_secret_scan_long_names(spark):
+    key = hashlib.sha1(b"long").hexdigest()
+    names = ["DATABASE_ACCESS_TOKEN", "AWS_SECRET_ACCESS_KEY", "my_service_private_key", "PRODUCTION_API_KEY_2"]
+    texts = [f"{n}{a}{key}{b}" for n in names for a, b in (("=", ""), ('="', '"'), (" = '", "'"), (": ", " "))]
+    texts.append(f"é {names[0]}={key} {names[1]}={key}")
+    out = {r.doc_id: r.findings for r in secret_scan.scan(docs_of(spark, texts)).collect()}
+    for i, t in enumerate(texts):
+        assert [(f.start, f.candidate) for f in out[i] if f.is_secret] == [(j, key) for j in range(len(t)) if t.startswith(key, j)], t
+    # contexts cross neighbouring matches; padding stays with the key
+    padded = "QUJDREVGR0hJSktMTU5PUFFSU1RVVld4eXoxMjM0NTY3OA=="
+    (found,) = secret_scan.scan(docs_of(spark, [f'token = "{padded}" and'])).collect()[0].findings
+    assert found.candidate == padded
+
+
 def test_secret_scan_on_the_table(spark):
     import re
 
