@@ -185,6 +185,13 @@ def regime_path(states: DataFrame, dwell: int = 300_000_000) -> DataFrame:
 # --- memory ------------------------------------------------------------------------------------------------------
 
 
+def contributing_dimensions(a: Column | str, b: Column | str, most: int = 3) -> Column:
+    """The 0-based dimensions of the largest squared differences, largest first; ties go to the smaller one."""
+    gap = F.zip_with(a, b, lambda x, y: F.abs(x.cast("decimal(38,0)") - y.cast("decimal(38,0)")))
+    scored = F.array_sort(F.transform(gap, lambda g, i: F.struct((-g).alias("less"), i.alias("at"))))
+    return F.transform(F.slice(scored, 1, most), lambda s: s["at"])
+
+
 def analogues(memory: DataFrame, queries: DataFrame, k: int, horizon: int, radius: int, blocks: int = 16) -> DataFrame:
     """Exact nearest episodes: memory(episode, effective, known, v) against queries(query, q_episode, at, known_at, q).
 

@@ -170,3 +170,11 @@ def test_regime_dwell(spark):
     boosted = market.shares_of(quiet)
     boosted[2] += market.shares_of(up)[2] + 200_000
     assert list(got[1].ppm) == market.shares_of(boosted) and got[3].change == 1_000_000 and all(sum(r.ppm) == 1_000_000 for r in got.values())
+
+
+def test_contributing_dimensions(spark):
+    big = 2**63 - 1
+    rows = [([1, 5, 0, -9, 4], [1, 0, 5, 0, 3], [3, 1, 2]), ([0, 0, 0, 0], [0, 0, 0, 0], [0, 1, 2]), ([1, big, 2, 3], [0, -big - 1, 2, 8], [1, 3, 0]), ([7, 1], [7, 2], [1, 0])]
+    df = spark.createDataFrame(rows, "a array<bigint>, b array<bigint>, want array<int>")
+    for r in df.withColumn("got", market.contributing_dimensions("a", "b")).collect():
+        assert r.got == r.want
