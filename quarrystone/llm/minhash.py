@@ -3,27 +3,27 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of, written
+from .common import dropped, written
 from .quality import slices
 
-#: Nodes whose keys may be broadcast to fetch their texts (40 bytes each); more are joined by shuffle.
+#: Nodes whose keys may be broadcast to fetch their shingles (40 bytes each); more are joined by shuffle.
 BROADCAST_NODES = 250_000
 #: Buckets up to this size are compared in full where they still hold several components.
 SMALL_BUCKET = 32
 #: Entries of one shingle that one task of the rare-shingle join holds against the others.
 SHINGLE_BLOCK = 512
-#: Rows of whole texts that one Arrow batch may hold.
-TEXTS_IN_BATCH = 1000
 U = np.uint64
 MASK = (1 << 64) - 1
-SIGN_BYTES = 1_500_000
+#: Bytes of text that are hashed at once: some 60 times that is a worker's working memory (one longer text is a slice).
+SIGN_BYTES = 500_000
 _P, _PINV = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -48,14 +48,9 @@ def powers(base: int, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-_POWERS: list[np.ndarray] = []
-
-
 def power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the fingerprint base and of its inverse, kept for the longest text seen."""
-    if not _POWERS or len(_POWERS[0]) < n:
-        _POWERS[:] = [powers(_P, n), powers(_PINV, n)]
-    return _POWERS[0][:n], _POWERS[1][:n]
+    """Powers of the fingerprint base and of its inverse."""
+    return powers(_P, n), powers(_PINV, n)
 
 
 def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -165,56 +160,62 @@ def band_keys(sig: np.ndarray, bands: int) -> np.ndarray:
     return out.view(np.int64)
 
 
+def distinct_shingles(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct shingles of each text, sorted, their owners and how often each occurs in its text."""
+    h, who = shingles(texts, size)
+    order = np.lexsort((h, who))
+    h, who = h[order], who[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (who[1:] != who[:-1])
+    at = np.flatnonzero(new)
+    return h[at], who[at], np.diff(np.append(at, len(h)))
+
+
 def banded(docs: DataFrame, k: int, bands: int, size: int, kind: str, weighted: bool) -> DataFrame:
+    """doc_id, tkey, the number of distinct shingles and the band keys of each row (doc_id, tkey, text)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, 2, SIGN_BYTES):
-                h, who = shingles(batch.column(2), size)
-                w = None
-                if weighted and len(h):
-                    order = np.lexsort((h, who))
-                    h, who = h[order], who[order]
-                    lead = np.ones(len(h), bool)
-                    lead[1:] = (h[1:] != h[:-1]) | (who[1:] != who[:-1])
-                    at = np.flatnonzero(lead)
-                    w = np.diff(np.append(at, len(h))).astype(float)
-                    h, who = h[at], who[at]
-                keys = band_keys(dart_signatures(h, who, batch.num_rows, k, w), bands)
-                lists = [x if c else [] for x, c in zip(keys.tolist(), np.bincount(who, minlength=batch.num_rows))]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lists, pa.list_(pa.int64()))], ["doc_id", "tkey", "bands"])
-
-    return docs.mapInArrow(run, f"doc_id {kind}, tkey string, bands array<long>")
-
-
-def verified(pairs: DataFrame, texts: DataFrame, least: float, size: int) -> DataFrame:
-    """The pairs (a, b) whose texts' shingle sets have Jaccard similarity ``least`` or more."""
-    left = texts.select(F.col("nid").alias("a"), F.col("text").alias("ta"))
-    right = texts.select(F.col("nid").alias("b"), F.col("text").alias("tb"))
+                h, who, often = distinct_shingles(batch.column(2), size)
+                n = np.bincount(who, minlength=batch.num_rows)
+                keys = band_keys(dart_signatures(h, who, batch.num_rows, k, often.astype(float) if weighted else None), bands)
+                lists = [x if c else [] for x, c in zip(keys.tolist(), n)]
+                columns = [batch.column(0), batch.column(1), pa.array(n, pa.int32()), pa.array(lists, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "tkey", "n", "bands"])
+
+    return docs.mapInArrow(run, f"doc_id {kind}, tkey string, n int, bands array<long>")
+
+
+def shingle_sets(texts: DataFrame, size: int) -> DataFrame:
+    """(nid, sets): the distinct shingle hashes of each text (nid, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for part in slices(whole, 2):
-                for batch in slices(part, 3):
-                    n = batch.num_rows
-                    ha, wa = shingles(batch.column(2), size)
-                    hb, wb = shingles(batch.column(3), size)
-                    h, who = np.concatenate([ha, hb]), np.concatenate([wa, wb])
-                    side = np.concatenate([np.zeros(len(ha), np.int8), np.ones(len(hb), np.int8)])
-                    order = np.lexsort((side, h, who))
-                    h, who, side = h[order], who[order], side[order]
-                    new = np.ones(len(h), bool)
-                    new[1:] = (h[1:] != h[:-1]) | (who[1:] != who[:-1])
-                    both = np.zeros(len(h), bool)  # the first of side 1 after side 0 of the same shingle
-                    both[1:] = ~new[1:] & (side[1:] != side[:-1])
-                    union, inter = np.bincount(who[new], minlength=n), np.bincount(who[both], minlength=n)
-                    keep = pa.array((union > 0) & (inter >= least * union - 1e-9))
-                    yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
-
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb")
-    return both.mapInArrow(run, "a long, b long")
-
-
-def rare_pairs(members: DataFrame, texts: DataFrame, least: float, size: int) -> DataFrame:
+            for batch in slices(whole, 1, SIGN_BYTES):
+                h, who, _ = distinct_shingles(batch.column(1), size)
+                ends = np.r_[0, np.cumsum(np.bincount(who, minlength=batch.num_rows))].astype(np.int32)
+                sets = pa.ListArray.from_arrays(pa.array(ends), pa.array(h.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column(0), sets], ["nid", "sets"])
+
+    return texts.mapInArrow(run, "nid long, sets array<long>")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) whose shingle sets have Jaccard similarity ``least`` or more.  No text moves here."""
+    left = sets.select(F.col("nid").alias("a"), F.col("sets").alias("sa"))
+    right = sets.select(F.col("nid").alias("b"), F.col("sets").alias("sb"))
+    both = F.size(F.array_intersect("sa", "sb"))
+    near = both >= F.lit(least) * (F.size("sa") + F.size("sb") - both) - 1e-9
+    return pairs.join(left, "a").join(right, "b").where((both > 0) & near).select("a", "b")
+
+
+def sizes_fit(x: str, y: str, least: float) -> Column:
+    """Sets of these sizes can have similarity ``least``."""
+    return F.least(x, y) >= F.lit(least) * F.greatest(x, y) - 1e-9
+
+
+def rare_pairs(members: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """Pairs (a, b) of members(nid, label) of different labels that can have similarity ``least``: none is left out.
 
     Shingles are ordered by how many members hold them.  Of two similar sets, the first shingle in common is among
@@ -222,22 +223,8 @@ def rare_pairs(members: DataFrame, texts: DataFrame, least: float, size: int) ->
     that they need (positional filter).  Only members outside a shingle's largest label look for partners, and the
     partners are dealt in blocks, so neither a linked group nor a hot shingle makes one long task.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in slices(whole, 2, SIGN_BYTES):
-                h, who = shingles(batch.column(2), size)
-                order = np.lexsort((h, who))
-                h, who = h[order], who[order]
-                new = np.ones(len(h), bool)
-                new[1:] = (h[1:] != h[:-1]) | (who[1:] != who[:-1])
-                h, who = h[new], who[new]
-                ends = np.r_[0, np.cumsum(np.bincount(who, minlength=batch.num_rows))].astype(np.int32)
-                sets = pa.ListArray.from_arrays(pa.array(ends), pa.array(h.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), sets], ["nid", "label", "sets"])
-
-    sets = members.join(texts, "nid").select("nid", "label", "text").mapInArrow(run, "nid long, label long, sets array<long>")
-    held = written(sets.select("nid", "label", F.size("sets").alias("n"), F.explode("sets").alias("h")), "shingles")
+    held = members.join(sets, "nid")
+    held = written(held.select("nid", "label", F.size("sets").alias("n"), F.explode("sets").alias("h")), "shingles")
     often = held.groupBy("h").agg(F.count(F.lit(1)).alias("often"))
     ordered = held.join(often, "h").groupBy("nid", "label", "n").agg(F.sort_array(F.collect_list(F.struct("often", "h"))).alias("all"))
     prefix = F.expr(f"slice(all, 1, cast(n - ceil({least!r}D * n - 1e-6D) + 1 AS INT))")
@@ -251,108 +238,126 @@ def rare_pairs(members: DataFrame, texts: DataFrame, least: float, size: int) ->
     right = ours.select("h", F.expr("cast(pmod(xxhash64(nid), blocks) AS INT)").alias("block"), F.struct("nid", "label", "n", "rest").alias("y"))
     fits = F.least("x.rest", "y.rest") >= least / (1 + least) * (F.col("x.n") + F.col("y.n")) - 1e-6
     met = left.join(right, (left["h"] == right["h"]) & (left["block"] == right["block"]) & (F.col("x.label") != F.col("y.label")) & fits)
-    return met.select(F.least("x.nid", "y.nid").alias("a"), F.greatest("x.nid", "y.nid").alias("b")).distinct()
+    out = written(met.select(F.least("x.nid", "y.nid").alias("a"), F.greatest("x.nid", "y.nid").alias("b")).distinct(), "pairs")
+    dropped(held, entries)
+    return out
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(nid, label): the smallest node of each node's component, by label spreading with pointer jumping.
 
-    Every round is written to the shared folder; the rounds grow with the logarithm of the longest path.
+    Every round is written to the shared folder, and the one before deleted; the rounds grow with the logarithm of
+    the longest path.
     """
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     both = written(both, "edges")
     labels = written(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")).withColumnRenamed("a", "nid"), "labels")
     while True:
         near = both.join(labels.select(F.col("nid").alias("b"), F.col("label").alias("l")), "b").groupBy("a").agg(F.min("l").alias("l"))
-        step = labels.join(near.withColumnRenamed("a", "nid"), "nid").select("nid", "label", F.least("label", "l").alias("next"))
+        step = labels.join(near.withColumnRenamed("a", "nid"), "nid").select("nid", F.least("label", "l").alias("next"), F.col("label").alias("was"))
         jump = labels.select(F.col("nid").alias("next"), F.col("label").alias("up"))
-        done = written(step.join(jump, "next", "left").select("nid", "label", F.least("next", F.coalesce("up", "next")).alias("next")), "labels")
-        moved = done.where("next < label").limit(1).count()
-        labels = done.select("nid", F.col("next").alias("label"))
-        if not moved:
+        step = step.join(jump, "next", "left").select("nid", F.least("next", F.coalesce("up", "next")).alias("label"), "was")
+        after = written(step, "labels")
+        dropped(labels)
+        labels = after
+        if labels.where("label < was").isEmpty():
+            dropped(both)
             return labels
 
 
 def near_classes(
-    docs: DataFrame, least: float = 0.8, size: int = 5, k: int = 160, bands: int = 32, rounds: int = 3, weighted: bool = False,
-    id_col: str = "doc_id", text_col: str = "text",
+    docs: DataFrame, least: float = 0.8, size: int = 5, k: int = 160, bands: int = 32, rounds: int = 1, weighted: bool = False,
+    exact: bool = False, id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """doc_id, class_id, class_docs, copies, tkey (of the text) and class_node for every row.
 
     Equal texts are one node; nodes whose shingle sets are similar by ``least`` or more are linked; a class is a
     connected component, named by the smallest id in it.  Null counts as the empty text; texts without words are
     linked to equal texts only; a class whose ids are all null has a null name.  Repeated rows each give a row.
-    Other columns are ignored; an empty table gives no rows.
+    Other columns are ignored; an empty table gives no rows.  A text is hashed whole, however long; one worker holds
+    its hashes.
 
     Candidates share a band of their DartMinHash signature.  In a band's bucket every member is held against the
     bucket's centre (the member that shares most with others); then, for up to ``rounds`` rounds, the centre of
     each component still apart in the bucket is held against the centre of its largest, so a bucket of n costs n
     pairs, not n squared.  At last members of different components that share a bucket of at most SMALL_BUCKET are
-    held against each other, SMALL_BUCKET pairs a member at most; the members of larger buckets that hold several
-    components meet in an exact join on their rare shingles (``rare_pairs``).  So two similar texts that share a band
-    are always linked, whatever the bucket's size.  Every link is verified on the whole texts.
+    held against each other, and the members of larger buckets that hold several components meet in an exact join on
+    their rare shingles (``rare_pairs``).  So two similar texts that share a band are always linked, whatever the
+    bucket's size.  Every link is verified on the whole sets of shingles.  ``exact`` has all nodes meet in that join
+    after the bands, so that no link depends on a shared band; it explodes every shingle of the table once.
     """
-    with batches_of(docs.sparkSession, TEXTS_IN_BATCH):
-        return _near_classes(docs, least, size, k, bands, rounds, weighted, id_col, text_col)
-
-
-def _near_classes(
-    docs: DataFrame, least: float, size: int, k: int, bands: int, rounds: int, weighted: bool, id_col: str, text_col: str
-) -> DataFrame:
     kind = docs.schema[id_col].dataType.simpleString()
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.md5(text.cast("binary")).alias("tkey"), text.alias("text"))
     sig = banded(rows, k, bands, size, kind, weighted)
-    nodes = sig.groupBy("tkey").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"))
+    nodes = sig.groupBy("tkey").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     nodes = written(nodes.select(F.monotonically_increasing_id().alias("nid"), "*"), "nodes")
-    spread = nodes.select("nid", F.explode("bands").alias("key"))
-    shared = spread.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = written(spread.join(shared, "key"), "members")
-    rank = members.groupBy("nid").agg(F.sum("n").alias("centre"))
-    members = written(members.join(rank, "nid").select("key", "nid", "centre"), "members")
-
-    wanted = nodes.join(members.select("nid").distinct(), "nid", "left_semi").select("nid", "tkey", "rep")
+    spread = nodes.select("nid", "n", F.explode("bands").alias("key"))
+    shared = spread.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    buckets = written(spread.join(shared, "key"), "buckets")
+    rank = buckets.groupBy("nid").agg(F.sum("m").alias("centre"))
+    members = written(buckets.join(rank, "nid").select("key", "nid", "n", "centre"), "members")
+    dropped(buckets)
+
+    wanted = nodes.where("n > 0") if exact else nodes.join(members.select("nid").distinct(), "nid", "left_semi")
+    wanted = wanted.select("nid", "tkey", "rep")
     few = wanted.count() <= BROADCAST_NODES
     wanted = F.broadcast(wanted) if few else wanted
     texts = rows.join(wanted, (rows["tkey"] == wanted["tkey"]) & rows["doc_id"].eqNullSafe(wanted["rep"])).select("nid", "text")
-    texts = written(texts.dropDuplicates(["nid"]), "texts")
-
-    central = F.struct(F.col("centre"), (-F.col("nid")).alias("neg"))
-    heads = members.groupBy("key").agg(F.max(central).alias("head")).select("key", (-F.col("head.neg")).alias("b"))
-    pairs = members.join(heads, "key").where("nid <> b")
-    pairs = pairs.select(F.least("nid", "b").alias("a"), F.greatest("nid", "b").alias("b")).distinct()
-    tested = written(pairs, "pairs")
-    edges = written(verified(tested, texts, least, size), "links")
-    labels = components(edges)
+    sets = written(shingle_sets(texts.dropDuplicates(["nid"]), size), "sets")
+
+    def ordered(x: str, y: str) -> list[Column]:
+        return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+
+    central = F.struct(F.col("centre"), (-F.col("nid")).alias("neg"), F.col("n"))
+    heads = members.groupBy("key").agg(F.max(central).alias("head")).select("key", (-F.col("head.neg")).alias("b"), F.col("head.n").alias("m"))
+    pairs = members.join(heads, "key").where((F.col("nid") != F.col("b")) & sizes_fit("n", "m", least))
+    tested = [written(pairs.select(*ordered("nid", "b")).distinct(), "pairs")]
+    edges = [written(verified(tested[0], sets, least), "links")]
+    labels = components(edges[0])
+
+    def linked(pairs: DataFrame) -> bool:
+        """Verify the pairs not yet seen; whether they held a link."""
+        nonlocal labels
+        for seen in tested:
+            pairs = pairs.join(seen, ["a", "b"], "left_anti")
+        tested.append(written(pairs, "pairs"))
+        edges.append(written(verified(tested[-1], sets, least), "links"))
+        if edges[-1].isEmpty():
+            return False
+        dropped(labels)
+        labels = components(reduce(DataFrame.unionByName, edges))
+        return True
+
+    def named() -> DataFrame:
+        return members.join(labels.select("nid", "label"), "nid", "left").withColumn("label", F.coalesce("label", "nid"))
+
     for _ in range(rounds):
-        named = members.join(labels, "nid", "left").withColumn("label", F.coalesce("label", "nid"))
-        groups = named.groupBy("key", "label").agg(F.max(central).alias("m"), F.count(F.lit(1)).alias("n"))
+        groups = named().groupBy("key", "label").agg(F.max(central).alias("m"), F.count(F.lit(1)).alias("n"))
         apart = groups.groupBy("key").agg(F.max(F.struct("n", "m")).alias("top"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-        again = groups.join(apart, "key").select((-F.col("m.neg")).alias("x"), (-F.col("top.m.neg")).alias("y")).where("x <> y")
-        again = again.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        again = written(again.join(tested, ["a", "b"], "left_anti"), "pairs")
-        more = written(verified(again, texts, least, size), "links")
-        tested = tested.unionByName(again)
-        if more.isEmpty():
+        again = groups.join(apart, "key").where(sizes_fit("m.n", "top.m.n", least))
+        again = again.select((-F.col("m.neg")).alias("x"), (-F.col("top.m.neg")).alias("y")).where("x <> y")
+        if not linked(again.select(*ordered("x", "y")).distinct()):
             break
-        edges = edges.unionByName(more)
-        labels = components(edges)
-    named = members.join(labels, "nid", "left").withColumn("label", F.coalesce("label", "nid"))
-    mixed = named.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi"))
-    small = named.join(mixed.where((F.col("n") <= SMALL_BUCKET) & (F.col("lo") != F.col("hi"))).select("key"), "key").select("key", "nid", "label")
-    other = small.select("key", F.col("nid").alias("b"), F.col("label").alias("m"))
-    last = small.withColumnRenamed("nid", "a").join(other, "key").where("a < b and label <> m").select("a", "b")
-    large = mixed.where((F.col("n") > SMALL_BUCKET) & (F.col("lo") != F.col("hi"))).select("key")
-    stuck = written(named.join(large, "key").select("nid", "label").distinct(), "stuck")
+    mixed = named().groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
+    mixed = written(mixed.select("key", "m"), "mixed")
+    small = named().join(mixed.where(F.col("m") <= SMALL_BUCKET), "key")
+    other = small.select("key", F.col("nid").alias("b"), F.col("label").alias("other"), F.col("n").alias("o"))
+    last = small.withColumnRenamed("nid", "a").join(other, "key")
+    last = last.where((F.col("a") < F.col("b")) & (F.col("label") != F.col("other")) & sizes_fit("n", "o", least)).select("a", "b").distinct()
+    linked(last)
+    large = named().join(mixed.where(F.col("m") > SMALL_BUCKET), "key").select("nid", "label").distinct()
+    if exact:
+        large = sets.join(labels, "nid", "left").select("nid", F.coalesce("label", "nid").alias("label"))
+    stuck = written(large, "stuck")
     if not stuck.isEmpty():
-        last = last.union(rare_pairs(stuck, texts, least, size))
-    last = last.distinct()
-    last = written(last.join(tested, ["a", "b"], "left_anti"), "pairs")
-    more = written(verified(last, texts, least, size), "links")
-    if not more.isEmpty():
-        labels = components(edges.unionByName(more))
-
-    node_class = nodes.select("nid", "tkey", "rep", "copies").join(labels, "nid", "left").withColumn("label", F.coalesce("label", "nid"))
+        met = rare_pairs(stuck, sets, least)
+        linked(met)
+        dropped(met)
+
+    node_class = nodes.select("nid", "tkey", "rep", "copies").join(labels.select("nid", "label"), "nid", "left").withColumn("label", F.coalesce("label", "nid"))
     classes = node_class.groupBy("label").agg(F.min("rep").alias("class_id"), F.sum("copies").alias("class_docs"))
-    named = node_class.join(classes, "label").select("tkey", "class_id", "class_docs", "copies", F.col("label").alias("class_node"))
-    return rows.select("doc_id", "tkey").join(named, "tkey").select("doc_id", "class_id", "class_docs", "copies", "tkey", "class_node")
+    result = node_class.join(classes, "label").select("tkey", "class_id", "class_docs", "copies", F.col("label").alias("class_node"))
+    result = written(result, "classes")
+    dropped(nodes, members, sets, mixed, stuck, labels, *tested, *edges)
+    return rows.select("doc_id", "tkey").join(result, "tkey").select("doc_id", "class_id", "class_docs", "copies", "tkey", "class_node")

@@ -321,13 +321,38 @@ def test_near_dedup_in_a_large_group(spark):
     # the join itself, without bands or centres
     nodes = spark.createDataFrame([(i, i, t) for i, t in enumerate(texts)], "nid long, label long, text string")
     minhash.SHINGLE_BLOCK = 50
-    pairs = {tuple(r) for r in minhash.rare_pairs(nodes.select("nid", "label"), nodes.select("nid", "text"), 0.8, 5).collect()}
+    pairs = {tuple(r) for r in minhash.rare_pairs(nodes.select("nid", "label"), minhash.shingle_sets(nodes.select("nid", "text"), 5), 0.8).collect()}
     minhash.SHINGLE_BLOCK = 512
     sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
     close = {(i, j) for j in range(len(sets)) for i in range(j) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
     assert close <= pairs and len(pairs) < 2 * len(close)
 
 
+@pytest.mark.parametrize("edits", [13])
+def test_near_dedup_of_a_family_around_the_threshold(spark, edits):
+    """400 texts of 1000 words, each with some edits of one base: pairs lie on both sides of 0.8."""
+    rng = random.Random(edits)
+    base, texts = [f"b{i}" for i in range(1000)], []
+    for i in range(400):
+        w = list(base)
+        for j in rng.sample(range(1000), edits):
+            w[j] = f"e{i}x{j}"
+        texts.append(" ".join(w))
+    got = {r.doc_id: r.class_id for r in minhash.near_classes(docs_of(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == classes_by_hand(texts)
+
+
+def test_near_dedup_exact_mode_needs_no_band(spark):
+    rng = random.Random(2)
+    base, texts = [f"b{i}" for i in range(300)], ["x y", "", None]
+    for i in range(30):
+        w = list(base)
+        w[rng.randrange(300)] = w[rng.randrange(300)] = f"e{i}"
+        texts.append(" ".join(w))
+    got = {r.doc_id: r.class_id for r in minhash.near_classes(docs_of(spark, texts), k=4, bands=1, exact=True).collect()}
+    assert [got[i] for i in range(len(texts))] == classes_by_hand(texts)
+
+
 def test_near_dedup_on_the_table(spark):
     rows = spark.read.parquet(f"{DATA}/sf0.001/documents.parquet").orderBy("doc_id").collect()
     got = {r.doc_id: r.class_id for r in queries.op10_near_dedup(spark, f"{DATA}/sf0.001").collect()}
