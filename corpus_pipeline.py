@@ -6,7 +6,7 @@ Each stage works on all documents that the one before kept; all but the last ret
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrystone.llm import decontam, minhash, packing, quality, secret_scan
@@ -25,15 +25,14 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near copies: the one with the class's smallest id."""
-    classes = written(minhash.near_classes(docs), "classes")
+    classes = minhash.near_classes(docs)
     # one (id, text) of each class, and of rows that are equal in both one again; the id spreads copies of a text
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
     best = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("tkey")))
     kept = classes.groupBy("class_node").agg(best.alias("b")).select("b.doc_id", "b.tkey").select("tkey", key.alias("_k"))
     rows = docs.withColumn("tkey", F.md5(F.coalesce("text", F.lit("")).cast("binary"))).withColumn("_k", key)
-    first = Window.partitionBy("tkey", "_k").orderBy(*COLUMNS[2:])
-    rows = rows.join(kept, ["tkey", "_k"], "left_semi").withColumn("_n", F.row_number().over(first))
-    return rows.where("_n = 1").select(*COLUMNS)
+    rows = rows.join(kept, ["tkey", "_k"], "left_semi")
+    return rows.groupBy("tkey", "_k").agg(F.min(F.struct(*COLUMNS)).alias("row")).select("row.*")
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
