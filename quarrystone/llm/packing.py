@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from itertools import chain
@@ -16,24 +18,40 @@ from pyspark.sql import functions as F
 from .common import bucket_count, ranked, written
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
-SLICE_BYTES = 4_000_000
-#: Distinct chunks whose ids a worker remembers.
-CACHE_CHUNKS = 400_000
+SLICE_BYTES = 2_000_000
+#: Distinct chunks whose ids a task remembers.
+CACHE_CHUNKS = 100_000
+#: The shape of tokenizer that allows the chunk vocabulary (fixed values of the tokenizer file).
+WORD_NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+WORD_SPLIT = {
+    "type": "Split",
+    "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"},
+    "behavior": "Removed",
+    "invert": True,
+}
 
 
 class WordTokens:
-    """Token ids of texts through a vocabulary of white-space-separated chunks.
-
-    The tokenizer lower-cases, drops white space and never joins a letter or digit with the punctuation after it, so
-    a text's ids are its chunks' ids in order; A-Z is lowered and ``.,;:!?|`` set apart after a-z0-9 beforehand to
-    make chunks recur.  Each distinct chunk is encoded once; the rest is numpy gathering.
+    """Token ids of texts as the unmodified tokenizer gives them (``add_special_tokens=False``).
+
+    A tokenizer of the WORD_NORMALIZER and WORD_SPLIT shape lower-cases, drops white space and never joins a letter
+    or digit with the punctuation after it, so a text's ids are the ids of its white-space-separated chunks in order;
+    A-Z is lowered and ``.,;:!?|`` set apart after a-z0-9 beforehand to make chunks recur.  Each distinct chunk is
+    encoded once; the rest is numpy gathering.  Texts for which that does not hold are encoded whole: those with the
+    string of an added token, those with a combining mark after A-Z (its lower case may compose where the upper case
+    does not), and all texts where the tokenizer has another shape.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        shape = json.loads(self.tok.to_str())
+        normalizers = (shape.get("normalizer") or {}).get("normalizers")
+        splits = (shape.get("pre_tokenizer") or {}).get("pretokenizers") or [None]
+        self.chunked = normalizers == WORD_NORMALIZER and splits[0] == WORD_SPLIT
+        odd = ["[A-Z]\\p{M}"] + ["(?i)" + re.escape(t["content"]) for t in shape.get("added_tokens") or []]
+        self.whole = "|".join(odd)
         self.reset()
 
     def reset(self) -> None:
@@ -42,23 +60,26 @@ class WordTokens:
         self.offs = np.empty(0, np.int64)
         self.lens = np.empty(0, np.int64)
 
+    def _encoded(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of each text, one after another, and how many each has."""
+        got = [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+        lens = np.fromiter(map(len, got), np.int64, len(got))
+        return np.fromiter(chain.from_iterable(got), np.uint32, int(lens.sum())), lens
+
     def _ids(self, uniques: list[str]) -> np.ndarray:
         if len(self.known) > CACHE_CHUNKS:
             self.reset()
         known = self.known
         new = [u for u in uniques if u not in known]
         if new:
-            got = [e.ids for e in self.tok.encode_batch_fast(new, add_special_tokens=False)]
-            lens = np.fromiter(map(len, got), np.int64, len(got))
+            ids, lens = self._encoded(new)
             at = len(self.pool) + np.cumsum(lens) - lens
             known.update(zip(new, range(len(self.lens), len(self.lens) + len(new))))
-            ids = np.fromiter(chain.from_iterable(got), np.uint32, int(lens.sum()))
             self.pool = np.concatenate([self.pool, ids])
             self.offs, self.lens = np.concatenate([self.offs, at]), np.concatenate([self.lens, lens])
         return np.fromiter(map(known.__getitem__, uniques), np.int64, len(uniques))
 
-    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """All ids, and the bounds of each text in them."""
+    def _by_chunks(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         plain = pc.replace_substring_regex(pc.ascii_lower(texts), pattern="([a-z0-9])([.,;:!?|])", replacement="\\1 \\2")
         lists = pc.ascii_split_whitespace(plain)
         coded = lists.flatten().dictionary_encode()
@@ -70,8 +91,23 @@ class WordTokens:
         ids = self.pool[np.repeat(self.offs[v] - ends[:-1], lens) + np.arange(ends[-1])]
         return ids, ends[offsets - offsets[0]]
 
-
-_TOKENS: dict[str, WordTokens] = {}
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, and the bounds of each text in them."""
+        if not self.chunked:
+            ids, lens = self._encoded(texts.to_pylist())
+            return ids, np.concatenate([[0], np.cumsum(lens)])
+        odd = np.flatnonzero(pc.match_substring_regex(texts, self.whole).to_numpy(zero_copy_only=False))
+        if not len(odd):
+            return self._by_chunks(texts)
+        rest = np.setdiff1d(np.arange(len(texts)), odd)
+        ids, bounds = self._by_chunks(texts.take(pa.array(rest)))
+        ids_odd, lens_odd = self._encoded(texts.take(pa.array(odd)).to_pylist())
+        parts: list[np.ndarray] = [ids[:0]] * len(texts)
+        for i, a, b in zip(rest.tolist(), bounds[:-1].tolist(), bounds[1:].tolist()):
+            parts[i] = ids[a:b]
+        for i, part in zip(odd.tolist(), np.split(ids_odd, np.cumsum(lens_odd)[:-1])):
+            parts[i] = part
+        return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(x) for x in parts])])
 
 
 def piece_sizes(capacity: int, least: int) -> list[int]:
@@ -95,9 +131,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, least: int, end
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        if tokenizer not in _TOKENS:
-            _TOKENS[tokenizer] = WordTokens(tokenizer)
-        tok = _TOKENS[tokenizer]
+        tok = WordTokens(tokenizer)  # of this task alone: nothing stays in the worker
         cuts: dict[int, list[int]] = {}
         for batch in batches:
             texts = pc.fill_null(batch.column(1), "")
@@ -151,7 +185,10 @@ def pack_documents(
     knowing only how many pieces came before theirs.  The pieces that fill no whole bin, at most one bin's worth
     for each class (a bound the capacity sets, whatever the input), are packed together first-fit decreasing.
 
-    A null or empty text is its end token alone.  Repeated rows (also of equal ids) are packed each; a null id
+    Ids are those of the unmodified ``tokenizer`` file with add_special_tokens=False: the string of an added token in
+    a text gives that token's id.  Any tokenizer file will do; only one of the word shape is encoded by chunks.
+
+    A null or empty text is its end token alone; a text of any length is encoded whole.  Repeated rows (also of equal ids) are packed each; a null id
     stays null.  Other columns are ignored.  No rows give no rows.
     """
     pieces = written(token_pieces(docs, tokenizer, capacity, least, end_id, id_col, text_col), "pieces")

@@ -159,8 +159,8 @@ def test_packing(spark, odd_texts):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(queries.tokenizer_path())
-    tok.encode_special_tokens = True
-    tricky = ["It's 'tis, isn't A.B.C é, x́, a b c 12,345.67!! <|endoftext|>", "İSTANBUL ΑΣ ΑΣ. \x1c\x1f a\x85b", "don't.stop...now|| #a_b%"]
+    tricky = ["It's 'tis, isn't A.B.C é, x́, a b c 12,345.67!!", "İSTANBUL ΑΣ ΑΣ. \x1c\x1f a\x85b", "don't.stop...now|| #a_b%"]
+    tricky += ["a <|endoftext|> b", "<|startoftext|><|endoftext|>x<|EndOfText|>", "T\u0308 J\u030c H\u0331 A\u0301", ". \u0338 .\u0338a", "<|endoftext"]
     texts = odd_texts + tricky * 2
     ids = [None if i == 3 else i % 15 for i in range(len(texts))]
     rows = packing.pack_documents(docs_of(spark, texts, ids).withColumn("length", F.lit(0)), queries.tokenizer_path()).collect()
@@ -187,6 +187,21 @@ def test_packing(spark, odd_texts):
     assert packing.pack_documents(docs_of(spark, []), queries.tokenizer_path()).count() == 0
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_tokens_are_those_of_the_file(name):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    rng = random.Random(9)
+    pieces = [*"aZ09 .,;:!?|'\n\t<>é́ß̈Tİ", "T\u0308", "'s", "don't", "<|endoftext|>", "<|startoftext|>", "endoftext|>", "<|", "  ", "ⅷ", "\u2028", "日本"]
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randrange(14))) for _ in range(4000)]
+    path = public_tokenizers.path(name)
+    tok, own = Tokenizer.from_file(path), packing.WordTokens(path)
+    ids, bounds = own.encode(pa.array(texts))
+    for t, a, b in zip(texts, bounds[:-1], bounds[1:]):
+        assert ids[a:b].tolist() == tok.encode(t, add_special_tokens=False).ids, t
+
+
 def test_secret_scan(spark):
     key = hashlib.sha1(b"k").hexdigest()
     texts = [None, "", f'the token = "{key}" and', f'TOKEN = "{key.upper()}"!!', f"commit {key} of", "card 4111222233334444 on", "z" * 5000, f'password: "{key}" ' * 200]
