@@ -43,7 +43,7 @@ def dropped(*tables: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
-def bucket_count(rows: int, per_bucket: int = 1024, most: int = 65536) -> int:
+def bucket_count(rows: int, per_bucket: int = 128, most: int = 65536) -> int:
     return max(1, min(most, -(-rows // per_bucket)))
 
 

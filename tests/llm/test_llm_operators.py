@@ -112,10 +112,28 @@ def test_decontamination_short_items_and_clashes(spark):
     assert [out[i].n_hit for i in range(9)] == [2, 2, 0, 0, 2, 11, 10, 11, 0]
     assert [out[i].n_words for i in range(9)] == [4, 2, 0, 0, 2, 12, 12, 12, 9]
     assert [list(out[i].items) for i in range(9)] == [["1"], ["5"], [], [], ["1"], ["2"], ["2"], ["2"], []]
+    assert decontam.decontaminate(docs.limit(0), spark.createDataFrame(items, "item_id long, text string")).count() == 0
     none = decontam.decontaminate(docs, spark.createDataFrame([], "item_id long, text string"))
     assert none.where("contaminated").count() == 0 and none.count() == 9
 
 
+def test_decontamination_by_shuffles_copies_and_long_texts(spark):
+    """Nothing broadcast; many copies of one text, null ids, items that share a window, a long text."""
+    rng = random.Random(4)
+    item = prose(rng, 30, 50_000)
+    hot = "x " + item + " y"
+    texts = [hot] * 40 + [prose(rng, 30_000, 50_000) + " " + " ".join(item.split()[:10]) + " end", " ".join(item.split()[:9]) + " z"]
+    ids = [None if i < 20 else i for i in range(len(texts))]
+    items = [(f"i{j}", item) for j in range(3)] + [("part", " ".join(item.split()[5:15])), ("short", " ".join(item.split()[20:24]))]
+    kept = decontam.BROADCAST_WINDOWS, decontam.BROADCAST_DOCUMENTS
+    for limit in (kept, (0, 0)):
+        decontam.BROADCAST_WINDOWS, decontam.BROADCAST_DOCUMENTS = limit
+        out = decontam.decontaminate(docs_of(spark, texts, ids), spark.createDataFrame(items, "item_id string, text string")).collect()
+        got = Counter((r.n_words, r.n_hit, tuple(r["items"])) for r in out)
+        assert got == {(32, 30, ("i0", "i1", "i2", "part", "short")): 40, (30_011, 10, ("i0", "i1", "i2")): 1, (10, 0, ()): 1}
+    decontam.BROADCAST_WINDOWS, decontam.BROADCAST_DOCUMENTS = kept
+
+
 def test_url_rules(spark):
     urls = {
         "http://a.com/en/1": ("com/en/", "block"), "https://www.EXAMPLE.com/en/75?x": ("example.com/en/7", "allow"),
@@ -153,6 +171,25 @@ def test_shards(spark):
         assert all(abs(mix[s, source] - n / 24) <= 2 for s in range(24))
     assert sharding.interleaved_shards(df.limit(0)).count() == 0
     assert sharding.interleaved_shards(df.limit(3)).count() == 3
+    tiny = docs_of(spark, ["t"] * 900).withColumn("source", F.col("doc_id").cast("string"))  # sources of one row
+    sizes = Counter(r.shard for r in sharding.interleaved_shards(tiny).collect())
+    assert max(sizes.values()) - min(sizes.values()) <= 1
+    again = [sorted(map(tuple, sharding.interleaved_shards(x).collect())) for x in (tiny, tiny.repartition(7))]
+    assert again[0] == again[1]  # the layout of the input does not matter
+
+
+def test_shards_by_hand(spark):
+    """The interleaving again, from the ranks inside each source."""
+    df = docs_of(spark, [f"text {i % 50}" for i in range(400)]).withColumn("source", F.expr("if(doc_id % 3 = 0, 'hot', concat('s', doc_id % 17))"))
+    rows = sharding.interleaved_shards(df).collect()
+    n = Counter(r.source for r in rows)
+    seen = Counter()
+    fracs = []
+    for r in sorted(rows, key=lambda r: r.pos):
+        fracs.append((seen[r.source] + int(hashlib.md5(f"interleave-1/s{r.source}".encode()).hexdigest()[:6], 16) / (1 << 24)) / n[r.source])
+        seen[r.source] += 1
+    assert fracs == sorted(fracs) and [r.pos for r in sorted(rows, key=lambda r: r.pos)] == list(range(400))
+    assert all(r.shard == r.pos * 24 // 400 for r in rows)
 
 
 def test_packing(spark, odd_texts):
