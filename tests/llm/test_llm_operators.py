@@ -277,26 +277,58 @@ def test_secret_scan_on_the_table(spark):
     assert {(r.doc_id, r.start) for r in got if r.is_secret} == true and true
 
 
-def test_top_k(spark):
-    rng = np.random.default_rng(1)
-    rows = [(i, [float(x) for x in rng.normal(size=6)], 0) for i in range(400)]
-    rows += [(1000 + i, rows[0][1], 0) for i in range(300)] + [(50, rows[0][1], 0), (50, rows[3][1], 0)]
-    rows += [(2000, None, 0), (2050, [1.0, None, 2.0, 0.0, 0.0, 0.0], 0), (2100, [float("nan")] * 6, 0), (2150, [float("inf")] * 6, 0), (2200, [], 0)]
-    rows += [(None, rows[1][1], 0), (2250, [1.0, 2.0], 0), (2251, [3.0, 4.0], 0)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").withColumn("q", F.lit(1))
-    ok = [(v, np.floor(256 * np.float32(e).astype(float)).astype(int)) for v, e, _ in rows if v is not None and e and None not in e and np.isfinite(e).all()]
+def top_by_hand(rows, k=5):
+    """Unbounded integers over all pairs; scores as a long shows them."""
+    ok = [(v, [int(x) * 256 if abs(x) >= 2.0**53 else math.floor(x * 256) for x in e]) for v, e in rows if v is not None and e and None not in e and np.isfinite(e).all()]
     want = Counter()
     for a, (v, q) in enumerate(ok):
         if v % 50 == 0:
-            best = sorted((-int(q @ w), u) for b, (u, w) in enumerate(ok) if b != a and len(w) == len(q))[:5]
-            want.update((v, i + 1, u, -s) for i, (s, u) in enumerate(best))
-    for size in (8192, 90):
-        topk.SHARD_ROWS, topk.BLOCK_QUERIES = size, 20 if size == 90 else 4096
-        assert Counter(tuple(r) for r in topk.top_k(df).collect()) == want
-    topk.SHARD_ROWS, topk.BLOCK_QUERIES = 8192, 4096
+            best = sorted((-sum(x * y for x, y in zip(q, w)), u) for b, (u, w) in enumerate(ok) if b != a and len(w) == len(q))[:k]
+            want.update((v, i + 1, u, max(-(1 << 63), min((1 << 63) - 1, -s))) for i, (s, u) in enumerate(best))
+    return want
+
+
+@pytest.fixture
+def small_shards():
+    kept = topk.SHARD_ROWS, topk.BLOCK_QUERIES, topk.ROOTS, topk.NEXT
+    topk.SHARD_ROWS, topk.BLOCK_QUERIES, topk.ROOTS, topk.NEXT = 90, 20, 3, 2
+    yield
+    topk.SHARD_ROWS, topk.BLOCK_QUERIES, topk.ROOTS, topk.NEXT = kept
+
+
+def vectors_with_odd_rows():
+    rng = np.random.default_rng(1)
+    f32 = lambda x: [float(np.float32(v)) for v in x]
+    rows = [(i, f32(rng.normal(size=6))) for i in range(400)]
+    rows += [(1000 + i, rows[0][1]) for i in range(300)] + [(50, rows[0][1]), (50, rows[3][1])]
+    rows += [(2000, None), (2050, [1.0, None, 2.0, 0.0, 0.0, 0.0]), (2100, [float("nan")] * 6), (2150, [float("inf")] * 6), (2200, [])]
+    return rows + [(None, rows[1][1]), (2250, [1.0, 2.0]), (2251, [3.0, 4.0])]
+
+
+def test_top_k(spark):
+    rows = vectors_with_odd_rows()
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("q", F.lit(1)).withColumn("shard", F.lit("clash"))
+    assert Counter(tuple(r) for r in topk.top_k(df).collect()) == top_by_hand(rows)
     assert topk.top_k(df.limit(0)).count() == 0
 
 
+def test_top_k_in_waves_over_many_shards(spark, small_shards):
+    rows = vectors_with_odd_rows()
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    assert Counter(tuple(r) for r in topk.top_k(df).collect()) == top_by_hand(rows)
+
+
+def test_top_k_of_large_components(spark, small_shards):
+    """Finite components of any size are exact: next to ordinary rows, beyond 2**52, beyond a long, beyond float64's squares."""
+    rng = np.random.default_rng(2)
+    rows = [(i, rng.normal(size=8).tolist()) for i in range(200)]
+    rows += [(300 + i, [4e4 * s, *([-4e4] * 7)]) for i, s in enumerate((1, -1, 2))]
+    rows += [(350, [1e30] * 8), (400, [1e30, 1e14, 0.7, *([0.0] * 5)]), (401, [1e30, 1e14, 0.9, *([0.0] * 5)]), (402, [-1e30] * 8)]
+    rows += [(450, [1.7e308] * 8), (451, [1e307, -1.7e308, *([3.5] * 6)]), (500, [2.0**53 + 2, 0.5, *([2.0**45 + 0.25] * 6)]), (550, [0.0] * 8)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert Counter(tuple(r) for r in topk.top_k(df).collect()) == top_by_hand(rows)
+
+
 def test_quality(spark):
     d = f"{DATA}/sf0.01"
     rows = queries.op9_quality(spark, d).collect()
