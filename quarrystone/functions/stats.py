@@ -6,10 +6,14 @@ are not wanted.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .fixed import PPM, big, col, trunc_div, trunc_wide, wide
+from .fixed import PPM, big, col, half_even_div, trunc_div, trunc_wide, wide
 
 
 def sorted_list(x) -> Column:
@@ -33,6 +37,11 @@ def mean_median(s) -> Column:
     return trunc_div(lower_median(s) + upper_median(s), F.lit(2))
 
 
+def even_median(s) -> Column:
+    """Mean of the two middle values, ties to even."""
+    return half_even_div(wide(lower_median(s)) + wide(upper_median(s)), F.lit(2)).cast("bigint")
+
+
 def mad(s, median) -> Column:
     return mean_median(F.array_sort(F.transform(col(s), lambda x: F.abs(x - col(median)))))
 
@@ -61,33 +70,77 @@ def array_sum(a, kind: str = "bigint") -> Column:
     return F.aggregate(col(a), F.lit(0).cast(kind), lambda s, x: (s + x).cast(kind))
 
 
-def effective_sample_milli(values) -> Column:
-    """Lag-1 effective sample size, in thousandths, of values in order.  A constant series counts in full."""
-    v = col(values)
-    n = F.size(v).cast("bigint")
-    m = trunc_div(array_sum(v), n)
-    dev = F.transform(v, lambda x: x - m)
-    var = array_sum(F.transform(dev, lambda d: d * d))
-    cov = array_sum(F.zip_with(F.slice(dev, F.lit(1), F.greatest(F.size(v) - 1, F.lit(0))), F.slice(dev, F.lit(2), F.greatest(F.size(v) - 1, F.lit(0))), lambda a, b: a * b))
-    rho = F.least(F.greatest(trunc_wide(wide(cov) * PPM, wide(F.greatest(var, F.lit(1)))).cast("bigint"), F.lit(0)), F.lit(990_000))
+def effective_sample_milli(n, square_dev, lag_products) -> Column:
+    """Lag-1 effective sample size, in thousandths, from the count, the sum of squared deviations and the sum of
+    products of neighbouring deviations.  A constant series counts in full."""
+    n = col(n)
+    rho = trunc_wide(wide(lag_products) * PPM, wide(F.greatest(col(square_dev), F.lit(1)))).cast("bigint")
+    rho = F.least(F.greatest(rho, F.lit(0)), F.lit(990_000))
     ess = F.least(n * 1000, F.greatest(F.lit(1000), trunc_div(n * 1000 * (F.lit(PPM) - rho), F.lit(PPM) + rho)))
-    return F.when(n == 1, F.lit(1000).cast("bigint")).when(var == 0, n * 1000).otherwise(ess)
-
-
-def kendall_pairs(predictions, outcomes) -> Column:
-    """Concordant minus discordant pairs of two arrays in step; ties count nothing."""
-    p, o = col(predictions), col(outcomes)
-    return array_sum(
-        F.transform(
-            F.sequence(F.lit(0), F.size(p) - 1),
-            lambda i: array_sum(
-                F.transform(
-                    F.filter(F.sequence(F.lit(0), F.size(p) - 1), lambda j: j < i),
-                    lambda j: (F.signum(F.get(p, i) - F.get(p, j)) * F.signum(F.get(o, i) - F.get(o, j))).cast("bigint"),
-                )
-            ),
-        )
-    )
+    return F.when(n == 1, F.lit(1000).cast("bigint")).when(col(square_dev) == 0, n * 1000).otherwise(ess)
+
+
+def lag_moments(df: DataFrame, key: str, order: list[str], value: str) -> DataFrame:
+    """n, total, mean (toward zero), square_dev and lag_products of each key's series in ``order``.
+
+    The sums of raw products add up before the shuffle of the last step, and deviations follow from them:
+    sum (x - m)(p - m) = sum xp - m (sum x + sum p over the pairs) + m^2 pairs.
+    """
+    before = F.lag(value).over(Window.partitionBy(key).orderBy(*order))
+    x, p = wide(value), wide("_p")
+    s = df.withColumn("_p", before).groupBy(key).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(value).alias("total"), F.sum((x * x).cast("decimal(38,0)")).alias("_xx"), F.sum((x * p).cast("decimal(38,0)")).alias("_xp"),
+        F.sum(F.when(F.col("_p").isNotNull(), F.col(value) + F.col("_p"))).alias("_sum"), F.count("_p").alias("_pairs"),
+    )
+    s = s.withColumn("mean", trunc_div("total", "n"))
+    m = wide("mean")
+    square = (F.col("_xx") - m * wide("total") * 2 + m * m * wide("n")).cast("decimal(38,0)")
+    products = (F.coalesce("_xp", F.lit(0)) - m * wide(F.coalesce("_sum", F.lit(0))) + m * m * wide("_pairs")).cast("decimal(38,0)")
+    return s.select(key, "n", "total", "mean", square.alias("square_dev"), products.alias("lag_products"))
+
+
+def pair_score(p: np.ndarray, x: np.ndarray) -> int:
+    """Concordant minus discordant pairs of two arrays in step; ties count nothing.  n log n: sorted by ``p``, the
+    values of ``x`` are merged in blocks of doubling size, and only pairs with a smaller ``p`` count."""
+    order = np.lexsort((x, p))
+    p, x = p[order], x[order]
+    start = np.searchsorted(p, p, "left")  # rows before it have a smaller p
+    below, above = _before(x, start, "left"), _before(x, start, "right")
+    return int(below.sum() - (start - above).sum())
+
+
+def _before(x: np.ndarray, stop: np.ndarray, side: str) -> np.ndarray:
+    """For each i, how many of x[:stop[i]] are smaller than x[i] (``right``: not larger)."""
+    out, n, size = np.zeros(len(x), np.int64), len(x), 1
+    while size <= n:  # the prefix [0, stop) is cut into sorted blocks by the bits of stop
+        used = np.flatnonzero(stop & size)
+        if len(used):
+            first = stop[used] // (2 * size) * (2 * size)
+            for at in np.unique(first).tolist():
+                block = np.sort(x[at : at + size])
+                who = used[first == at]
+                out[who] += np.searchsorted(block, x[who], side)
+        size *= 2
+    return out
+
+
+def kendall_scores(df: DataFrame, key: str, prediction: str, outcome: str) -> DataFrame:
+    """Key, score (concordant minus discordant pairs) and pairs of each key with two rows at least."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            bounds = b.column(1).offsets.to_numpy()
+            values = b.column(1).flatten()
+            p, x = (values.field(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            at = bounds - bounds[0]
+            score = [pair_score(p[i:j], x[i:j]) for i, j in zip(at[:-1], at[1:])]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(score, pa.int64())], [key, "score"])
+
+    kind = df.schema[key].dataType.simpleString()
+    lists = df.groupBy(key).agg(F.collect_list(F.struct(F.col(prediction).cast("bigint"), F.col(outcome).cast("bigint"))).alias("s")).where("size(s) > 1")
+    sizes = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    out = lists.mapInArrow(run, f"{key} {kind}, score long").join(sizes, key)
+    return out.select(key, "score", F.expr("_n * (_n - 1) div 2").alias("pairs"))
 
 
 def squared_distance(a, b) -> Column:

@@ -5,6 +5,8 @@ One market's diffs are a sequence whose state is the whole book, so the fold run
 
 from __future__ import annotations
 
+from heapq import heappop, heappush
+
 import pandas as pd
 from pyspark.sql import DataFrame
 
@@ -13,77 +15,131 @@ from .rolling import fold
 STATE = "market string, ordinal bigint, sequence bigint, health string, best_bid bigint, best_ask bigint, orders bigint, reason string"
 
 
+class Side:
+    """Price levels of one side: size and count by price, and a heap of prices whose emptied levels go when met."""
+
+    def __init__(self, bids: bool) -> None:
+        self.sign = -1 if bids else 1
+        self.sizes: dict[int, list[int]] = {}
+        self.heap: list[int] = []
+
+    def change(self, price: int, quantity: int, orders: int) -> None:
+        level = self.sizes.get(price)
+        if level is None:
+            level = self.sizes[price] = [0, 0]
+            heappush(self.heap, self.sign * price)
+        level[0] += quantity
+        level[1] += orders
+        if not level[1]:
+            del self.sizes[price]
+
+    def best(self) -> int | None:
+        while self.heap and self.sign * self.heap[0] not in self.sizes:
+            heappop(self.heap)
+        return self.sign * self.heap[0] if self.heap else None
+
+
 class Book:
     """Price-time priority book of integers.  A broken rule turns it Red and clears it until the next snapshot."""
 
     def __init__(self, most: int = 1_048_576) -> None:
         self.most = most
+        self.sequence, self.opening = None, False
+        self.red("NoSnapshot")
+
+    def _clear(self) -> None:
         self.orders: dict[str, dict] = {}
-        self.sequence, self.health, self.reason = None, "Red", "NoSnapshot"
+        self.sides = {True: Side(True), False: Side(False)}
 
     def red(self, reason: str) -> None:
-        self.orders, self.health, self.reason = {}, "Red", reason
+        self._clear()
+        self.health, self.reason = "Red", reason
+
+    def _count(self, o: dict, sign: int) -> None:
+        if not o.get("trigger"):
+            self.sides[o["bid"]].change(o["price"], sign * o["remaining"], sign)
+
+    def _insert(self, o: dict) -> None:
+        if o["order_id"] in self.orders:
+            return self.red("DuplicateOrder")
+        if o["price"] <= 0 or o["remaining"] <= 0:
+            return self.red("NonPositive")
+        if len(self.orders) >= self.most:
+            return self.red("OrderCap")
+        self.orders[o["order_id"]] = dict(o)
+        self._count(o, 1)
+
+    def _remove(self, order_id: str) -> dict:
+        o = self.orders.pop(order_id)
+        self._count(o, -1)
+        return o
+
+    def begin(self, sequence: int) -> None:
+        """Open a snapshot; its orders follow, and ``finish`` ends it."""
+        self._clear()
+        self.sequence, self.health, self.reason, self.opening = sequence, "Healthy", None, True
+
+    def load(self, order: dict) -> None:
+        if self.health == "Healthy":
+            self._insert(order)
+
+    def finish(self) -> None:
+        self.opening = False
+        self._check()
 
     def snapshot(self, sequence: int, orders: list[dict]) -> None:
-        self.orders, self.sequence, self.health, self.reason = {}, sequence, "Healthy", None
+        self.begin(sequence)
         for o in orders:
-            if o["order_id"] in self.orders:
-                return self.red("DuplicateOrder")
-            if o["price"] <= 0 or o["remaining"] <= 0:
-                return self.red("NonPositive")
-            self.orders[o["order_id"]] = dict(o)
-        self._check()
+            self.load(o)
+        self.finish()
 
     def diff(self, sequence: int, kind: str, order: dict) -> None:
+        if self.opening:
+            self.finish()
         if self.health != "Healthy":
             return
         if sequence != self.sequence + 1:
             return self.red("SequenceGap")
         self.sequence = sequence
-        known = self.orders.get(order["order_id"])
         if kind == "Add":
-            if known:
-                return self.red("DuplicateOrder")
-            if order["price"] <= 0 or order["remaining"] <= 0:
-                return self.red("NonPositive")
-            if len(self.orders) >= self.most:
-                return self.red("OrderCap")
-            self.orders[order["order_id"]] = dict(order)
-        elif not known:
+            self._insert(order)
+        elif order["order_id"] not in self.orders:
             return self.red("UnknownOrder")
         elif kind == "Cancel":
-            del self.orders[order["order_id"]]
+            self._remove(order["order_id"])
         elif kind == "Fill":
-            left = known["remaining"] - order["quantity"]
+            o = self._remove(order["order_id"])
+            left = o["remaining"] - order["quantity"]
             if order["quantity"] <= 0 or left < 0:
                 return self.red("Overfill")
-            known["remaining"] = left
-            if not left:
-                del self.orders[order["order_id"]]
-        elif kind == "Update":  # keeps time priority
-            if order["remaining"] < 0:
+            if left:
+                self._insert(o | {"remaining": left})
+        elif kind == "Update":  # a new price and size; keeps its time
+            if order["remaining"] < 0 or order["price"] <= 0:
                 return self.red("NonPositive")
-            known["remaining"] = order["remaining"]
-            if not order["remaining"]:
-                del self.orders[order["order_id"]]
-        self._check()
+            o = self._remove(order["order_id"])
+            if order["remaining"]:
+                self._insert(o | {"remaining": order["remaining"], "price": order["price"]})
+        if self.health == "Healthy":
+            self._check()
 
     def live(self, bids: bool) -> list[dict]:
         side = [o for o in self.orders.values() if o["bid"] == bids and not o.get("trigger")]
         return sorted(side, key=lambda o: (-o["price"] if bids else o["price"], o["time"], o["order_id"]))
 
+    def best(self, bids: bool) -> int | None:
+        return self.sides[bids].best()
+
+    def crossed(self) -> bool:
+        bid, ask = self.best(True), self.best(False)
+        return bid is not None and ask is not None and bid >= ask
+
     def _check(self) -> None:
-        bids, asks = self.live(True), self.live(False)
-        if bids and asks and bids[0]["price"] >= asks[0]["price"]:
+        if self.crossed():
             self.red("Crossed")
 
     def levels(self, bids: bool) -> list[tuple[int, int, int]]:
-        out: dict[int, list[int]] = {}
-        for o in self.live(bids):
-            v = out.setdefault(o["price"], [0, 0])
-            v[0] += o["remaining"]
-            v[1] += 1
-        return [(p, *v) for p, v in out.items()]
+        return [(p, *self.sides[bids].sizes[p]) for p in sorted(self.sides[bids].sizes, reverse=bids)]
 
 
 def exact_div(a: int, b: int) -> int:
@@ -120,30 +176,23 @@ def replay(diffs: DataFrame) -> DataFrame:
     """
 
     def start() -> dict:
-        return {"book": Book(), "open": None, "rows": []}
-
-    def close(s: dict) -> None:
-        if s["open"] is not None:
-            s["book"].snapshot(s["open"], s["rows"])
-            s["open"], s["rows"] = None, []
+        return {"book": Book()}
 
     def step(s: dict, r: dict) -> list[dict]:
         o = {k: (None if pd.isna(r[k]) else r[k]) for k in ("order_id", "bid", "price", "remaining", "quantity", "time")}
+        b = s["book"]
         if r["kind"] == "Snapshot":
-            if s["open"] != r["sequence"]:
-                close(s)
-                s["open"] = r["sequence"]
-            s["rows"].append(o)
-            s["book"].snapshot(r["sequence"], s["rows"])
+            if not b.opening or b.sequence != r["sequence"]:
+                b.begin(int(r["sequence"]))
+            b.load(o)
         else:
-            s["open"], s["rows"] = None, []
-            s["book"].diff(int(r["sequence"]), r["kind"], o)
-        b = s["book"]
-        bids, asks = b.levels(True), b.levels(False)
+            b.diff(int(r["sequence"]), r["kind"], o)
+        crossed = b.opening and b.crossed()  # an unfinished snapshot shows what it would be as it stands
         return [
             {
-                "market": r["market"], "ordinal": int(r["ordinal"]), "sequence": int(r["sequence"]), "health": b.health, "best_bid": bids[0][0] if bids else None,
-                "best_ask": asks[0][0] if asks else None, "orders": len(b.orders), "reason": b.reason,
+                "market": r["market"], "ordinal": int(r["ordinal"]), "sequence": int(r["sequence"]), "health": "Red" if crossed else b.health,
+                "best_bid": None if crossed else b.best(True), "best_ask": None if crossed else b.best(False), "orders": 0 if crossed else len(b.orders),
+                "reason": "Crossed" if crossed else b.reason,
             }
         ]
 

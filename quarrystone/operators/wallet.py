@@ -45,7 +45,8 @@ def _trunc(a: int, b: int) -> int:
 def performance(rows: DataFrame) -> DataFrame:
     """Performance of each subject from (subject, time, kind, ordinal, amount): kind 0 observes equity, 1 is a flow.
 
-    Wealth is an exact rational chained at each flow, so the time-weighted return has one rounding.  A subject whose
+    Wealth is an exact rational chained at each flow, so the time-weighted return has one rounding; peaks and drawdowns
+    compare wealth at scale 12.  Recovery counts from the time of the peak before, the first observation included.  A subject whose
     first row is a flow, or whose equity is not positive before a flow, is withheld (nulls).
     """
 
@@ -69,7 +70,8 @@ def _performance(subject: int, events: list[tuple[int, int, int]]) -> dict:
     began, last = events[0][0], events[-1][0]
     span = max(last - began, 1)
     wealth, base, flows, weighted = Fraction(1), equity, 0, 0
-    peak, peak_at, drawdown, recovery, under = Fraction(1), began, Fraction(0), None, False
+    # the first observation is no new peak, so the series starts in a drawdown of zero
+    peak, peak_at, drawdown, recovery, under = Fraction(1), began, Fraction(0), None, True
     returns, previous = [], equity
     for time, kind, amount in events[1:]:
         if kind == 1:
@@ -83,17 +85,17 @@ def _performance(subject: int, events: list[tuple[int, int, int]]) -> dict:
             if base <= 0:
                 return out
             continue
-        if previous > 0:
+        if previous != 0:
             returns.append(_even(Fraction(amount, previous) - 1, 12))
         equity = previous = amount
-        now = wealth * Fraction(equity, base)
+        now = Fraction(_even(wealth * Fraction(equity, base), 12), 10**12)
         if now > peak:
             if under:
                 recovery, under = time - peak_at, False
             peak, peak_at = now, time
         else:
             under = True
-            drawdown = max(drawdown, (peak - now) / peak)
+            drawdown = max(drawdown, Fraction(_even((peak - now) / peak, 12), 10**12)) if peak else drawdown
     gain, money = equity - start - flows, start + weighted
     worst = sorted(returns)[: -(-len(returns) // 20)]
     negative = [r for r in returns if r < 0]
@@ -115,24 +117,50 @@ def skill_posterior(n: Column, total: Column, square_dev: Column, ess: Column, m
     return {"mean": mean, "posterior": post, "se": se, "z_milli": z.cast("bigint"), "probability_ppm": logistic_ppm(z)}
 
 
-STYLES = ["MarketMaking", "Scalping", "Swing", "Directional", "Momentum", "MeanReversion", "Carry", "Basis", "Follower", "Liquidation", "Vault", "UnclassifiedMixed"]
+#: Classes in their order (fixed values).
+STYLES = [
+    "DirectionalDiscretionary", "MomentumTrend", "MeanReversion", "Scalping", "SwingTrading", "MarketMaking", "BasisSpotPerpArbitrage",
+    "FundingCarryCapture", "LiquidationTrading", "PortfolioHedge", "VaultStrategy", "AutomatedFollower", "UnclassifiedMixed",
+]
+#: Classes in their order (fixed values).
+INTENTS = [
+    "OpenDirectional", "AddDirectional", "ReduceRisk", "CloseDirectional", "HedgeExistingExposure", "CarryOrBasis", "MarketMakerInventory",
+    "LiquidationOrForced", "TransferOrAccountRebalance", "Unknown",
+]
 
 
-def style_weights(maker, turnover, hold, reversion, beta, funding, basis, sync, lag) -> Column:
-    """Integer weights of trading styles: base 1, additions for every signature that holds."""
+def _weights(classes: list[str], base: dict[str, Column], additions: list[tuple[str, Column, int]]) -> Column:
+    """An array of integer weights by class: 1, or the class's base, plus its additions whose condition holds."""
+    out = {c: base.get(c, F.lit(1)).cast("bigint") for c in classes}
+    for name, cond, add in additions:
+        out[name] = out[name] + F.when(cond, add).otherwise(0)
+    return F.array(*out.values())
 
-    def w(*terms: tuple[Column, int]) -> Column:
-        out = F.lit(1).cast("bigint")
-        for cond, add in terms:
-            out = out + F.when(cond, add).otherwise(0)
-        return out
 
+def style_weights(maker, turnover, hold, reversion, beta, funding, basis, sync, lag, liquidation, vault) -> Column:
+    """Integer weights of STYLES; a missing feature adds nothing, a missing maker or turnover makes UnclassifiedMixed 80."""
     missing = maker.isNull() | turnover.isNull()
-    return F.array(
-        w((maker >= 700_000, 40), (reversion >= 700_000, 25)), w((turnover >= 800_000, 30), (hold <= 5_000_000, 20)), w((turnover <= 150_000, 25), (hold >= 3_600_000_000, 20)),
-        w((F.abs(beta) >= 800, 25)), w((F.abs(beta) >= 800, 15)), w((reversion >= 700_000, 10)), w((funding >= 700_000, 35)), w((basis >= 700_000, 35)),
-        w(((sync >= 700_000) & (lag <= 2_000_000), 40)), w(), w(), F.when(missing, 80).otherwise(1).cast("bigint"),
+    additions = [
+        ("MarketMaking", maker >= 700_000, 40), ("Scalping", turnover >= 800_000, 30), ("SwingTrading", turnover <= 150_000, 25),
+        ("Scalping", hold <= 5_000_000, 20), ("SwingTrading", hold >= 3_600_000_000, 20), ("MarketMaking", reversion >= 700_000, 25),
+        ("MeanReversion", reversion >= 700_000, 10), ("DirectionalDiscretionary", F.abs(beta) >= 800, 25), ("MomentumTrend", F.abs(beta) >= 800, 15),
+        ("FundingCarryCapture", funding >= 700_000, 35), ("BasisSpotPerpArbitrage", basis >= 700_000, 35),
+        ("AutomatedFollower", (sync >= 700_000) & (lag <= 2_000_000), 40), ("LiquidationTrading", liquidation, 50), ("VaultStrategy", vault, 50),
+    ]
+    return _weights(STYLES, {"UnclassifiedMixed": F.when(missing, 80).otherwise(1)}, additions)
+
+
+def intent_weights(flat, increased, decreased, leverage_decreased, maker, carry, liquidation, transfer, hedge) -> Column:
+    """Integer weights of INTENTS.  What the size did counts once, by the first case that fits; Unknown is 70 where
+    neither the position before nor an increase is known."""
+    case = (
+        F.when(flat & increased, "OpenDirectional").when(~flat & increased, "AddDirectional")
+        .when(decreased & leverage_decreased, "ReduceRisk").when(~flat & decreased, "CloseDirectional")
     )
+    additions = [("OpenDirectional", case == "OpenDirectional", 40), ("AddDirectional", case == "AddDirectional", 40), ("ReduceRisk", case == "ReduceRisk", 40)]
+    additions += [("CloseDirectional", case == "CloseDirectional", 30), ("HedgeExistingExposure", hedge, 35), ("CarryOrBasis", carry, 35)]
+    additions += [("MarketMakerInventory", maker, 35), ("LiquidationOrForced", liquidation, 50), ("TransferOrAccountRebalance", transfer, 50)]
+    return _weights(INTENTS, {"Unknown": F.when(flat.isNull() & increased.isNull(), 70).otherwise(1)}, additions)
 
 
 def copyability(p10: Column, p50: Column, p90: Column, bankroll: Column, depth: Column, fee: Column, coef: Column, part: Column, threshold: Column) -> dict[str, Column]:

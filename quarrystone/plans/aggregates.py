@@ -57,12 +57,12 @@ def parse_fixed_point(spark, d):
     return table(spark, d, "part").select("p_partkey", fx.parse_at_scale(text, 2).cast("bigint").alias("raw"))
 
 
-@query(f"""WITH {LI}, w AS (SELECT l_suppkey, l_partkey % 3 + 1 AS w, disc - 500 AS x FROM li)
-SELECT l_suppkey, CAST(100000 + sum(w * x * 1000 // 7) AS BIGINT) AS score FROM w GROUP BY 1""")
+@query(f"""WITH {LI}, w AS (SELECT l_suppkey, (l_partkey % 7 - 3) * 33333333 + 1 AS w, (disc - 500) * 12345679 AS x FROM li)
+SELECT l_suppkey, CAST(100000000 + sum(CAST(w AS HUGEINT) * x // 100000000) AS BIGINT) AS score FROM w GROUP BY 1""")
 def linear_scores(spark, d):
-    """Intercept plus weighted features, each product truncated."""
-    w = lines(spark, d).select("l_suppkey", (F.col("l_partkey") % 3 + 1).alias("w"), (F.col("disc") - 500).alias("x"))
-    return w.groupBy("l_suppkey").agg((F.sum(fx.trunc_div(F.col("w") * F.col("x") * 1000, F.lit(7))) + 100_000).alias("score"))
+    """Intercept plus weighted features at scale 8, each product cut toward zero at scale 8."""
+    w = lines(spark, d).select("l_suppkey", F.expr("(l_partkey % 7 - 3) * 33333333 + 1").alias("w"), F.expr("(disc - 500) * 12345679").alias("x"))
+    return w.groupBy("l_suppkey").agg((F.sum(fx.trunc_wide(fx.wide("w") * fx.wide("x"), F.lit(100_000_000)).cast("bigint")) + 100_000_000).alias("score"))
 
 
 @query(f"""WITH {LI}, s AS (SELECT l_suppkey, count(*) AS n, sum(qty) AS sx, sum(disc) AS sy FROM li GROUP BY 1), m AS (SELECT l_suppkey, n, CAST(sx AS BIGINT) * 1000 // n AS mx, CAST(sy AS BIGINT) * 1000 // n AS my FROM s),

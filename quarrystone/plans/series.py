@@ -57,6 +57,16 @@ def covariance_exact(spark, d):
 MEDIANS = "l[(len(l) - 1) // 2 + 1] AS lower, l[len(l) // 2 + 1] AS upper, (l[(len(l) - 1) // 2 + 1] + l[len(l) // 2 + 1]) // 2 AS med"
 
 
+@query(f"""WITH {EV}, s AS (SELECT event_id, list_sort(list(cents) OVER (PARTITION BY user_id ORDER BY us, event_id ROWS BETWEEN 5 PRECEDING AND CURRENT ROW)) AS l FROM ev),
+m AS (SELECT event_id, l[(len(l) - 1) // 2 + 1] + l[len(l) // 2 + 1] AS two FROM s)
+SELECT event_id, CAST({HALF_EVEN.format(a='two', b='2')} AS BIGINT) AS median FROM m""")
+def rolling_event_median(spark, d):
+    """Median of the last six values, ties to even."""
+    w = Window.partitionBy("user_id").orderBy("us", "event_id").rowsBetween(-5, 0)
+    s = events(spark, d).select("event_id", F.array_sort(F.collect_list("cents").over(w)).alias("l"))
+    return s.select("event_id", stats.even_median("l").alias("median"))
+
+
 @query(f"""WITH {LI}, s AS (SELECT l_suppkey, list_sort(list(px)) AS l FROM li GROUP BY 1), m AS (SELECT l_suppkey, l, {MEDIANS} FROM s),
 a AS (SELECT *, list_sort(list_transform(l, lambda x: abs(x - med))) AS dv FROM m),
 b AS (SELECT *, (dv[(len(dv) - 1) // 2 + 1] + dv[len(dv) // 2 + 1]) // 2 AS mad FROM a)
@@ -77,8 +87,9 @@ v AS (SELECT m.user_id, n, CAST(sum((cents - mean) * (cents - mean)) AS HUGEINT)
 r AS (SELECT *, CASE WHEN var > 0 THEN least(greatest(cov * 1000000 // var, 0), 990000) END AS rho FROM v)
 SELECT user_id, CAST(CASE WHEN n = 1 THEN 1000 WHEN var = 0 THEN n * 1000 ELSE least(n * 1000, greatest(1000, n * 1000 * (1000000 - rho) // (1000000 + rho))) END AS BIGINT) AS ess_milli FROM r""")
 def ess_lag1(spark, d):
-    s = rolling.ordered(events(spark, d), ["user_id"], ["us", "event_id"], ["cents"])
-    return s.select("user_id", stats.effective_sample_milli(F.transform("series", lambda x: x["cents"])).alias("ess_milli"))
+    """Effective sample size by lag-1 correlation, from sums."""
+    s = stats.lag_moments(events(spark, d), "user_id", ["us", "event_id"], "cents")
+    return s.select("user_id", stats.effective_sample_milli("n", "square_dev", "lag_products").alias("ess_milli"))
 
 
 @query(f"""WITH {EV}, h AS (SELECT user_id, us - lag(us) OVER (PARTITION BY user_id ORDER BY us, event_id) AS hold FROM ev),

@@ -7,12 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions.fixed import PPM, scale_ppm, trunc_div, trunc_wide, wide
 from ..operators import bitemporal as bt
-from ..operators import ledger, market, research, signals
+from ..operators import ledger, market, research, signals, wallet
 from .registry import EV, LI, cents, days, events, lines, query, table
 
-INTENTS = ["OpenRisk", "AddRisk", "ReduceRisk", "CloseRisk", "Hedge", "Carry", "Maker", "Liquidation", "Transfer", "Unknown"]
-
-
 def _shares(weights: str) -> str:
     """DuckDB: largest-remainder shares of rows (k, i, w)."""
     return (
@@ -21,21 +18,19 @@ def _shares(weights: str) -> str:
     )
 
 
-@query("""WITH x AS (SELECT c_custkey AS k, c_custkey % 3 = 0 AS flat, c_custkey % 2 = 0 AS inc, c_custkey % 5 = 0 AS dec_, c_custkey % 7 = 0 AS lev, c_custkey % 11 = 0 AS hedge, c_custkey % 13 = 0 AS carry, c_custkey % 17 = 0 AS maker, c_custkey % 19 = 0 AS liq, c_custkey % 23 = 0 AS tr FROM customer),
-w AS (SELECT k, unnest(range(10)) AS i, unnest([1 + (CASE WHEN flat AND inc THEN 40 ELSE 0 END), 1 + (CASE WHEN NOT flat AND inc THEN 40 ELSE 0 END), 1 + (CASE WHEN dec_ AND lev THEN 40 ELSE 0 END), 1 + (CASE WHEN NOT flat AND dec_ THEN 30 ELSE 0 END),
- 1 + (CASE WHEN hedge THEN 35 ELSE 0 END), 1 + (CASE WHEN carry THEN 35 ELSE 0 END), 1 + (CASE WHEN maker THEN 35 ELSE 0 END), 1 + (CASE WHEN liq THEN 50 ELSE 0 END), 1 + (CASE WHEN tr THEN 50 ELSE 0 END), 1]) AS w FROM x), """ + _shares("w") + """
+@query("""WITH x AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 4 <> 3 THEN c_custkey % 3 = 0 END AS flat, CASE WHEN c_custkey % 8 <> 7 THEN c_custkey % 2 = 0 END AS inc, c_custkey % 5 = 0 AS dec_, c_custkey % 7 = 0 AS lev,
+ c_custkey % 11 = 0 AS hedge, c_custkey % 13 = 0 AS carry, c_custkey % 17 = 0 AS maker, c_custkey % 19 = 0 AS liq, c_custkey % 23 = 0 AS tr FROM customer),
+y AS (SELECT *, CASE WHEN flat AND inc THEN 0 WHEN NOT flat AND inc THEN 1 WHEN dec_ AND lev THEN 2 WHEN NOT flat AND dec_ THEN 3 ELSE -1 END AS arm FROM x),
+w AS (SELECT k, unnest(range(10)) AS i, unnest([1 + 40 * (arm = 0)::INT, 1 + 40 * (arm = 1)::INT, 1 + 40 * (arm = 2)::INT, 1 + 30 * (arm = 3)::INT, 1 + 35 * hedge::INT, 1 + 35 * carry::INT, 1 + 35 * maker::INT, 1 + 50 * liq::INT, 1 + 50 * tr::INT,
+ CASE WHEN flat IS NULL AND inc IS NULL THEN 70 ELSE 1 END]) AS w FROM y), """ + _shares("w") + """
 SELECT k AS c_custkey, list(ppm ORDER BY i) AS ppm FROM p GROUP BY 1""")
 def intent_classify(spark, d):
-    """Shares of ten intents from what an account just did."""
+    """Shares of ten intents from what an account just did; some inputs are unknown."""
     k = F.col("c_custkey")
     yes = lambda n: k % n == 0
-    w = lambda cond, add: F.lit(1).cast("bigint") + F.when(cond, add).otherwise(0)
-    flat, inc, dec = yes(3), yes(2), yes(5)
-    weights = F.array(
-        w(flat & inc, 40), w(~flat & inc, 40), w(dec & yes(7), 40), w(~flat & dec, 30), w(yes(11), 35), w(yes(13), 35), w(yes(17), 35), w(yes(19), 50), w(yes(23), 50),
-        F.lit(1).cast("bigint"),
-    )
-    return table(spark, d, "customer").select("c_custkey", market.allocate_array(weights).alias("ppm"))
+    flat, increased = F.when(k % 4 != 3, yes(3)), F.when(k % 8 != 7, yes(2))
+    w = wallet.intent_weights(flat, increased, yes(5), yes(7), yes(17), yes(13), yes(19), yes(23), yes(11))
+    return table(spark, d, "customer").select("c_custkey", w.alias("w")).select("c_custkey", market.allocate_array(F.col("w")).alias("ppm"))
 
 
 @query("""SELECT c_custkey, least(950000, 120000 * ((c_custkey % 2 = 0)::INT + (c_custkey % 3 = 0)::INT + (c_custkey % 4 = 0)::INT + (c_custkey % 5 = 0)::INT + (c_custkey % 6 = 0)::INT + (c_custkey % 7 = 0)::INT + (c_custkey % 8 = 0)::INT + (c_custkey % 9 = 0)::INT)) AS hedge_ppm FROM customer""")

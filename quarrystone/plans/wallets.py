@@ -46,10 +46,8 @@ e AS (SELECT *, CAST(CASE WHEN n = 1 THEN 1000 WHEN ss = 0 THEN n * 1000 ELSE le
 SELECT user_id, mean, ess, (ess * mean) // (ess + 10000) AS posterior, CAST(floor(sqrt(greatest(1, ss // n))) AS BIGINT) * 1000 // greatest(1, CAST(floor(sqrt(ess)) AS BIGINT)) AS se FROM e""")
 def skill_posterior(spark, d):
     """Shrunk mean and standard error of each subject's outcomes by effective sample size."""
-    s = rolling.ordered(events(spark, d).withColumn("x", F.col("cents") - 5000), ["user_id"], ["us", "event_id"], ["x"])
-    s = s.withColumn("v", F.transform("series", lambda r: r["x"])).withColumn("n", F.size("v").cast("bigint")).withColumn("total", stats.array_sum("v"))
-    s = s.withColumn("m", trunc_div("total", "n")).withColumn("ess", stats.effective_sample_milli("v"))
-    s = s.withColumn("ss", F.expr("aggregate(v, 0L, (a, x) -> a + (x - m) * (x - m))"))
+    s = stats.lag_moments(events(spark, d).withColumn("x", F.col("cents") - 5000), "user_id", ["us", "event_id"], "x")
+    s = s.withColumn("ess", stats.effective_sample_milli("n", "square_dev", "lag_products")).withColumn("ss", F.col("square_dev").cast("bigint"))
     p = wallet.skill_posterior(F.col("n"), F.col("total"), F.col("ss"), F.col("ess"))
     return s.select("user_id", p["mean"].alias("mean"), "ess", p["posterior"].alias("posterior"), p["se"].alias("se"))
 
@@ -67,21 +65,25 @@ FEATURES = {
     "maker": "if(c_custkey % 13 = 0, null, c_custkey * 7919 % 1000000)", "turnover": "c_custkey * 104729 % 1000000", "hold": "c_custkey * 1000003 % 7200000000",
     "reversion": "c_custkey * 31337 % 1000000", "beta": "c_custkey * 37 % 2001 - 1000", "funding": "c_custkey * 611953 % 1000000", "basis": "c_custkey * 15485863 % 1000000",
     "sync": "c_custkey * 49979687 % 1000000", "lag": "c_custkey * 86028121 % 4000000",
+    "liquidation": "if(c_custkey % 5 = 0, null, c_custkey % 17 = 0)", "vault": "c_custkey % 23 = 0",
 }
 
 
 @query("""WITH f AS (SELECT c_custkey, CASE WHEN c_custkey % 13 = 0 THEN NULL ELSE c_custkey * 7919 % 1000000 END AS maker, c_custkey * 104729 % 1000000 AS turnover, c_custkey * 1000003 % 7200000000 AS hold,
- c_custkey * 31337 % 1000000 AS reversion, c_custkey * 37 % 2001 - 1000 AS beta, c_custkey * 611953 % 1000000 AS funding, c_custkey * 15485863 % 1000000 AS basis, c_custkey * 49979687 % 1000000 AS sync, c_custkey * 86028121 % 4000000 AS lg FROM customer),
-w AS (SELECT c_custkey, unnest(range(12)) AS i, unnest([1 + (CASE WHEN maker >= 700000 THEN 40 ELSE 0 END) + (CASE WHEN reversion >= 700000 THEN 25 ELSE 0 END), 1 + (CASE WHEN turnover >= 800000 THEN 30 ELSE 0 END) + (CASE WHEN hold <= 5000000 THEN 20 ELSE 0 END),
- 1 + (CASE WHEN turnover <= 150000 THEN 25 ELSE 0 END) + (CASE WHEN hold >= 3600000000 THEN 20 ELSE 0 END), 1 + (CASE WHEN abs(beta) >= 800 THEN 25 ELSE 0 END), 1 + (CASE WHEN abs(beta) >= 800 THEN 15 ELSE 0 END),
- 1 + (CASE WHEN reversion >= 700000 THEN 10 ELSE 0 END), 1 + (CASE WHEN funding >= 700000 THEN 35 ELSE 0 END), 1 + (CASE WHEN basis >= 700000 THEN 35 ELSE 0 END), 1 + (CASE WHEN sync >= 700000 AND lg <= 2000000 THEN 40 ELSE 0 END), 1, 1, CASE WHEN maker IS NULL THEN 80 ELSE 1 END]) AS w FROM f),
+ c_custkey * 31337 % 1000000 AS reversion, c_custkey * 37 % 2001 - 1000 AS beta, c_custkey * 611953 % 1000000 AS funding, c_custkey * 15485863 % 1000000 AS basis, c_custkey * 49979687 % 1000000 AS sync, c_custkey * 86028121 % 4000000 AS lg,
+ c_custkey % 5 <> 0 AND c_custkey % 17 = 0 AS liq, c_custkey % 23 = 0 AS vault FROM customer),
+w AS (SELECT c_custkey, unnest(range(13)) AS i, unnest([
+ 1 + 25 * (abs(beta) >= 800)::INT, 1 + 15 * (abs(beta) >= 800)::INT, 1 + 10 * (reversion >= 700000)::INT, 1 + 30 * (turnover >= 800000)::INT + 20 * (hold <= 5000000)::INT,
+ 1 + 25 * (turnover <= 150000)::INT + 20 * (hold >= 3600000000)::INT, 1 + 40 * coalesce(maker >= 700000, false)::INT + 25 * (reversion >= 700000)::INT, 1 + 35 * (basis >= 700000)::INT,
+ 1 + 35 * (funding >= 700000)::INT, 1 + 50 * liq::INT, 1, 1 + 50 * vault::INT, 1 + 40 * (sync >= 700000 AND lg <= 2000000)::INT, CASE WHEN maker IS NULL THEN 80 ELSE 1 END]) AS w FROM f),
 s AS (SELECT *, w * 1000000 // sum(w) OVER (PARTITION BY c_custkey) AS f, w * 1000000 % sum(w) OVER (PARTITION BY c_custkey) AS r FROM w),
 p AS (SELECT c_custkey, i, CAST(f AS BIGINT) + CASE WHEN row_number() OVER (PARTITION BY c_custkey ORDER BY r DESC, i) <= 1000000 - sum(f) OVER (PARTITION BY c_custkey) THEN 1 ELSE 0 END AS ppm FROM s)
 SELECT c_custkey, list(ppm ORDER BY i) AS ppm FROM p GROUP BY 1""")
 def style_classify(spark, d):
     """Shares of trading styles by largest remainder."""
     f = table(spark, d, "customer").select("c_custkey", *[F.expr(e).alias(k) for k, e in FEATURES.items()])
-    return f.select("c_custkey", market.allocate_array(wallet.style_weights(*[F.col(k) for k in FEATURES])).alias("ppm"))
+    w = f.select("c_custkey", wallet.style_weights(*[F.col(k) for k in FEATURES]).alias("w"))
+    return w.select("c_custkey", market.allocate_array(F.col("w")).alias("ppm"))
 
 
 @query(f"""WITH {LI}, x AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, px, disc - 300 AS p10, disc - 100 AS p50, disc + 100 AS p90, qty * 1000 AS bankroll, px + 1 AS depth, tax // 10 AS fee, 40 + l_partkey % 60 AS coef, 500000 AS part, 25 AS threshold FROM li),
@@ -121,11 +123,9 @@ def max_drawdown(spark, d):
 SELECT a.o_custkey, CAST(sum(sign(a.p - b.p) * sign(a.x - b.x)) AS BIGINT) AS score, count(*) AS pairs, CAST(CAST(sum(sign(a.p - b.p) * sign(a.x - b.x)) AS BIGINT) * 100000000 // count(*) AS BIGINT) AS tau_e8
 FROM n a JOIN n b ON a.o_custkey = b.o_custkey AND b.i < a.i GROUP BY 1""")
 def kendall_tau(spark, d):
-    """Kendall's tau of predictions and outcomes of each key, its pairs compared inside the row."""
+    """Kendall's tau of predictions and outcomes of each key, pairs counted by merging."""
     n = table(spark, d, "orders").select("o_custkey", F.col("o_orderkey").alias("i"), F.expr("o_orderkey * 7919 % 1000").alias("p"), cents("o_totalprice").alias("x"))
-    a = n.groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("i", "p", "x"))).alias("s")).where("size(s) > 1")
-    a = a.withColumn("score", stats.kendall_pairs(F.transform("s", lambda r: r["p"]), F.transform("s", lambda r: r["x"])))
-    a = a.withColumn("pairs", F.expr("cast(size(s) * (size(s) - 1) div 2 as bigint)"))
+    a = stats.kendall_scores(n, "o_custkey", "p", "x")
     return a.select("o_custkey", "score", "pairs", trunc_div(F.col("score") * 100_000_000, "pairs").alias("tau_e8"))
 
 

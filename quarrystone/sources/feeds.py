@@ -26,10 +26,15 @@ def json_blocks(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("multiLine", "true").option("mode", "FAILFAST").json(path)
 
 
+class Truncated(RuntimeError):
+    """A crawl ended before its source did: what it gave is not everything."""
+
+
 def crawl(fetch: Callable[[int], list[dict]], start: int, limit: int, overlap: int = 0, most: int = 1024) -> Iterator[dict]:
     """Pages by time: the next page starts at the last record's time less the overlap; repeats are dropped.
 
-    Ends on a short page, on no progress, or after ``most`` pages.
+    Ends on a short page.  After ``most`` full pages, or where a full page holds nothing new, more may be there that
+    it cannot reach: the records so far are given and then ``Truncated`` is raised.
     """
     seen: set[tuple] = set()
     for _ in range(most):
@@ -37,9 +42,12 @@ def crawl(fetch: Callable[[int], list[dict]], start: int, limit: int, overlap: i
         fresh = [r for r in page if (r["time"], r["id"]) not in seen]
         seen = {(r["time"], r["id"]) for r in page if r["time"] >= page[-1]["time"] - overlap} if page else seen
         yield from fresh
-        if len(page) < limit or not fresh:
+        if len(page) < limit:
             return
+        if not fresh:
+            raise Truncated(f"a full page at {start} holds nothing new")
         start = max(start, page[-1]["time"] - overlap)
+    raise Truncated(f"more than {most} pages")
 
 
 def pending_objects(listing: DataFrame, progress: DataFrame) -> DataFrame:

@@ -49,6 +49,12 @@ def test_feeds(spark, tmp_path):
     data = [{"time": t, "id": i} for i, t in enumerate([1, 1, 2, 2, 2, 3, 5, 5])]
     fetch = lambda start: [r for r in data if r["time"] >= start][:4]
     assert [r["id"] for r in feeds.crawl(fetch, 0, 4)] == list(range(8))
+    for stuck, most in ((lambda start: [{"time": 5, "id": i} for i in range(4)], 9), (lambda start: [{"time": start + i, "id": start + i} for i in range(1, 5)], 3)):
+        got = []
+        with pytest.raises(feeds.Truncated):  # what was read is given first
+            for r in feeds.crawl(stuck, 0, 4, most=most):
+                got.append(r)
+        assert len(got) in (4, 12)
     path = str(tmp_path / "p")
     msg = lambda *ids: spark.createDataFrame([(i,) for i in ids], "message_id int")
     assert feeds.publish(msg(1, 2, 2), path) == 2 and feeds.publish(msg(2, 3), path) == 1

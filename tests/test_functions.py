@@ -6,6 +6,7 @@ from math import isqrt
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+import numpy as np
 from pyspark.sql import functions as F
 
 from quarrystone.functions import fixed as fx
@@ -85,6 +86,31 @@ def test_logistic_and_freshness(spark):
 
 def test_order_statistics(spark):
     df = spark.createDataFrame([(1, [5, 1, 4]), (2, [2, 8, 4, 6]), (3, [7])], "k int, v array<bigint>").withColumn("s", F.array_sort("v"))
-    rows = {r.k: r for r in df.select("k", stats.lower_median("s").alias("lo"), stats.upper_median("s").alias("hi"), stats.mean_median("s").alias("m"), stats.effective_sample_milli("v").alias("e")).collect()}
+    rows = {r.k: r for r in df.select("k", stats.lower_median("s").alias("lo"), stats.upper_median("s").alias("hi"), stats.mean_median("s").alias("m"), stats.even_median("s").alias("e")).collect()}
     assert [tuple(rows[k])[1:4] for k in (1, 2, 3)] == [(4, 4, 4), (4, 6, 5), (7, 7, 7)]
-    assert rows[3].e == 1000
+    assert [rows[k].e for k in (1, 2, 3)] == [4, 5, 7]
+    halves = spark.createDataFrame([([1, 2],), ([2, 3],), ([-1, -2],), ([-3, -2],)], "s array<bigint>").select(stats.even_median(F.array_sort("s")).alias("m"))
+    assert [r.m for r in halves.collect()] == [2, 2, -2, -2]
+
+
+def test_effective_sample_by_hand(spark):
+    series = {1: [5, 1, 4, 4, 9], 2: [7], 3: [2, 2, 2], 4: [-(10**9), 10**9, -(10**9), 0]}
+    rows = [(k, i, x) for k, v in series.items() for i, x in enumerate(v)]
+    out = stats.lag_moments(spark.createDataFrame(rows, "k int, i int, x long"), "k", ["i"], "x")
+    got = {r.k: r for r in out.withColumn("e", stats.effective_sample_milli("n", "square_dev", "lag_products")).collect()}
+    for k, v in series.items():
+        mean = int(sum(v) / len(v))
+        var, cov = sum((x - mean) ** 2 for x in v), sum((x - mean) * (p - mean) for p, x in zip(v, v[1:]))
+        assert (got[k].mean, got[k].square_dev, got[k].lag_products) == (mean, var, cov)
+        rho = min(max(int(cov * 10**6 / max(var, 1)), 0), 990_000)
+        ess = min(len(v) * 1000, max(1000, len(v) * 1000 * (10**6 - rho) // (10**6 + rho)))
+        assert got[k].e == (1000 if len(v) == 1 else len(v) * 1000 if not var else ess)
+
+
+def test_pair_score_counts_every_pair():
+    rng = np.random.default_rng(5)
+    for n in (1, 2, 3, 7, 8, 64, 201):
+        for top in (3, 10**6):
+            p, x = rng.integers(0, top, n), rng.integers(-top, top, n)
+            want = sum(int(np.sign(p[i] - p[j]) * np.sign(x[i] - x[j])) for i in range(n) for j in range(i))
+            assert stats.pair_score(p, x) == want

@@ -82,6 +82,48 @@ def test_book_golden():
         assert b.reason == reason
 
 
+def test_book_update_moves_the_price():
+    b = book.Book()
+    order = lambda i, bid, p, q, t=0: {"order_id": i, "bid": bid, "price": p, "remaining": q, "time": t}
+    b.snapshot(1, [order("b1", True, 99, 5, 1), order("b2", True, 98, 5, 2), order("a1", False, 101, 4)])
+    b.diff(2, "Update", {"order_id": "b1", "price": 98, "remaining": 3})
+    assert b.levels(True) == [(98, 8, 2)] and [o["order_id"] for o in b.live(True)] == ["b1", "b2"] and b.best(True) == 98
+    b.diff(3, "Update", {"order_id": "b2", "price": 100, "remaining": 1})
+    assert b.levels(True) == [(100, 1, 1), (98, 3, 1)]
+    b.diff(4, "Update", {"order_id": "b2", "price": 100, "remaining": 0})
+    assert b.levels(True) == [(98, 3, 1)] and b.health == "Healthy"
+    b.diff(5, "Update", {"order_id": "b1", "price": 101, "remaining": 1})
+    assert (b.health, b.reason, b.levels(False)) == ("Red", "Crossed", [])
+    b.snapshot(6, [order("b1", True, 99, 5)])
+    b.diff(7, "Update", {"order_id": "b1", "price": 0, "remaining": 1})
+    assert b.reason == "NonPositive"
+
+
+def test_book_levels_follow_the_orders():
+    rng = random.Random(3)
+    b, want, seq = book.Book(), {}, 1
+    b.snapshot(1, [])
+    for i in range(600):
+        seq += 1
+        if want and rng.random() < 0.5:
+            k = rng.choice(list(want))
+            if rng.random() < 0.4:
+                del want[k]
+                b.diff(seq, "Cancel", {"order_id": k})
+            else:
+                bid = want[k]["bid"]
+                want[k] = want[k] | {"price": rng.randrange(1, 50) + 50 * (not bid), "remaining": rng.randrange(1, 9)}
+                b.diff(seq, "Update", {"order_id": k, "price": want[k]["price"], "remaining": want[k]["remaining"]})
+        else:
+            bid = rng.random() < 0.5
+            want[f"o{i}"] = {"order_id": f"o{i}", "bid": bid, "price": rng.randrange(1, 50) + 50 * (not bid), "remaining": rng.randrange(1, 9), "time": i}
+            b.diff(seq, "Add", want[f"o{i}"])
+        for bids in (True, False):
+            prices = sorted({o["price"] for o in want.values() if o["bid"] == bids}, reverse=bids)
+            assert [p for p, *_ in b.levels(bids)] == prices and b.best(bids) == (prices[0] if prices else None)
+            assert sum(q for _, q, _ in b.levels(bids)) == sum(o["remaining"] for o in want.values() if o["bid"] == bids)
+
+
 def test_book_replay(spark):
     rows = [("m", 0, 1, "Snapshot", "b", True, 10, 5, None, 0), ("m", 0, 1, "Snapshot", "a", False, 12, 5, None, 0), ("m", 1, 2, "Fill", "a", None, None, None, 2, None), ("m", 2, 4, "Cancel", "a", None, None, None, None, None)]
     df = spark.createDataFrame(rows, "market string, ordinal bigint, sequence bigint, kind string, order_id string, bid boolean, price bigint, remaining bigint, quantity bigint, time bigint")
@@ -151,9 +193,30 @@ def test_components_and_rules(spark):
 def test_performance_by_hand(spark):
     rows = [(1, 0, 0, 0, 100), (1, 10, 0, 1, 110), (1, 20, 1, 2, 90), (1, 30, 0, 3, 220), (2, 0, 1, 0, 5), (3, 0, 0, 0, 0)]
     got = {r.subject: r for r in wallet.performance(spark.createDataFrame(rows, "subject long, time long, kind int, ordinal long, amount long")).collect()}
+    # the first observation is no new peak: the next higher one ends a drawdown of zero
+    assert got[1].recovery == 10 and got[1].max_drawdown_e12 == 0
     assert got[1].twr_e12 == 210_000_000_000 and got[1].gain == 30 and got[2].twr_e12 is None and got[3].twr_e12 is None
 
 
+def test_performance_recovery_from_the_first_peak(spark):
+    rows = [(1, 0, 0, 0, 100), (1, 5, 0, 1, 80), (1, 9, 0, 2, 90), (1, 12, 0, 3, 101), (2, 3, 0, 0, 50), (2, 7, 0, 1, 50), (3, 0, 0, 0, 100), (3, 4, 0, 1, 90)]
+    got = {r.subject: r for r in wallet.performance(spark.createDataFrame(rows, "subject long, time long, kind int, ordinal long, amount long")).collect()}
+    assert [(got[k].recovery, got[k].max_drawdown_e12) for k in (1, 2, 3)] == [(12, 200_000_000_000), (None, 0), (None, 100_000_000_000)]
+
+
+def test_style_and_intent_weights(spark):
+    none = [F.lit(None).cast("bigint")] * 9 + [F.lit(None).cast("boolean")] * 2
+    full = [F.lit(x) for x in (750_000, 900_000, 1_000_000, 800_000, 900, 0, 0, 0, 0)] + [F.lit(False), F.lit(False)]
+    row = spark.range(1).select(wallet.style_weights(*none).alias("none"), wallet.style_weights(*full).alias("full")).first()
+    assert row.none == [1] * 12 + [80]
+    assert dict(zip(wallet.STYLES, row.full)) == dict.fromkeys(wallet.STYLES, 1) | {"MarketMaking": 66, "MeanReversion": 11, "Scalping": 51, "DirectionalDiscretionary": 26, "MomentumTrend": 16}
+    t, f, n = F.lit(True), F.lit(False), F.lit(None).cast("boolean")
+    cases = [((t, t, t, t), "OpenDirectional", 41), ((f, t, t, t), "AddDirectional", 41), ((f, f, t, t), "ReduceRisk", 41), ((f, n, t, f), "CloseDirectional", 31), ((n, n, n, n), "Unknown", 70), ((n, f, f, f), None, 1)]
+    for inputs, name, weight in cases:
+        got = spark.range(1).select(wallet.intent_weights(*inputs, f, f, f, f, f).alias("w")).first().w
+        assert dict(zip(wallet.INTENTS, got)) == dict.fromkeys(wallet.INTENTS, 1) | ({name: weight} if name else {})
+
+
 def test_change_points(spark):
     rows = [(1, i, 100_000 if i < 20 else 800_000) for i in range(40)]
     start, step = rolling.cusum(50_000, 600_000, 3)
