@@ -143,7 +143,9 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each finding, false ones (is_secret false) included."""
-    return secret_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.inline("findings"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    words = tuple(secret_scan.corpus_words(docs))
+    return secret_scan.scan(docs, words=words).select("doc_id", F.inline("findings"))
 
 
 def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
