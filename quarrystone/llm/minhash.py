@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +17,8 @@ from .quality import slices
 BROADCAST_NODES = 250_000
 #: Buckets up to this size are compared in full where they still hold several components.
 SMALL_BUCKET = 32
+#: Links between components that one task may join.
+BRIDGES = 100_000
 #: Entries of one shingle that one task of the rare-shingle join holds against the others.
 SHINGLE_BLOCK = 512
 U = np.uint64
@@ -233,13 +234,14 @@ def rare_pairs(members: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     groups = entries.groupBy("h", "label").agg(F.count(F.lit(1)).alias("m"))
     groups = groups.groupBy("h").agg(F.sum("m").alias("m"), F.max(F.struct("m", "label")).alias("top"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
     groups = groups.select("h", F.col("top.label").alias("top"), F.ceil(F.col("m") / SHINGLE_BLOCK).cast("int").alias("blocks"))
-    ours = entries.join(groups, "h")
+    # stored, so that the join by shingle is between plain rows and Spark can split a hot one
+    ours = written(entries.join(groups, "h"), "entries")
     left = ours.where("label <> top").select("h", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.struct("nid", "label", "n", "rest").alias("x"))
     right = ours.select("h", F.expr("cast(pmod(xxhash64(nid), blocks) AS INT)").alias("block"), F.struct("nid", "label", "n", "rest").alias("y"))
     fits = F.least("x.rest", "y.rest") >= least / (1 + least) * (F.col("x.n") + F.col("y.n")) - 1e-6
     met = left.join(right, (left["h"] == right["h"]) & (left["block"] == right["block"]) & (F.col("x.label") != F.col("y.label")) & fits)
     out = written(met.select(F.least("x.nid", "y.nid").alias("a"), F.greatest("x.nid", "y.nid").alias("b")).distinct(), "pairs")
-    dropped(held, entries)
+    dropped(held, entries, ours)
     return out
 
 
@@ -265,9 +267,46 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def bridged(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """(nid, label) after further ``edges``: the components are contracted, so only links between them count.
+
+    At most BRIDGES of those are few enough for one task; more go through ``components``.
+    """
+    to = labels.select("nid", "label")
+    for end in ("a", "b"):
+        edges = edges.join(to.withColumnRenamed("nid", end).withColumnRenamed("label", f"l{end}"), end, "left")
+    ends = [F.coalesce("la", "a"), F.coalesce("lb", "b")]
+    bridges = written(edges.select(F.least(*ends).alias("a"), F.greatest(*ends).alias("b")).where("a <> b").distinct(), "bridges")
+    n = bridges.count()
+    roots = bridges.coalesce(1).mapInArrow(_joined, "nid long, label long") if n <= BRIDGES else components(bridges)
+    roots = written(roots.select(F.col("nid").alias("label"), F.col("label").alias("root")), "roots")
+    # a bridge may end in a node that had no link before, which has no label yet
+    alone = roots.select(F.col("label").alias("nid"), F.col("root").alias("label")).join(to, "nid", "left_anti")
+    out = written(to.join(roots, "label", "left").select("nid", F.coalesce("root", "label").alias("label")).unionByName(alone), "labels")
+    dropped(bridges, roots)
+    return out
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The smallest node of each node's component, in one pass over all edges."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.setdefault(x, x) != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            a, b = find(a), find(b)
+            root[max(a, b)] = min(a, b)
+    names = list(root)
+    yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array([find(x) for x in names], pa.int64())], ["nid", "label"])
+
+
 def near_classes(
-    docs: DataFrame, least: float = 0.8, size: int = 5, k: int = 160, bands: int = 32, rounds: int = 1, weighted: bool = False,
-    exact: bool = False, id_col: str = "doc_id", text_col: str = "text",
+    docs: DataFrame, least: float = 0.8, size: int = 5, k: int = 160, bands: int = 32, weighted: bool = False, exact: bool = False,
+    id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """doc_id, class_id, class_docs, copies, tkey (of the text) and class_node for every row.
 
@@ -278,13 +317,12 @@ def near_classes(
     its hashes.
 
     Candidates share a band of their DartMinHash signature.  In a band's bucket every member is held against the
-    bucket's centre (the member that shares most with others); then, for up to ``rounds`` rounds, the centre of
-    each component still apart in the bucket is held against the centre of its largest, so a bucket of n costs n
-    pairs, not n squared.  At last members of different components that share a bucket of at most SMALL_BUCKET are
-    held against each other, and the members of larger buckets that hold several components meet in an exact join on
-    their rare shingles (``rare_pairs``).  So two similar texts that share a band are always linked, whatever the
-    bucket's size.  Every link is verified on the whole sets of shingles.  ``exact`` has all nodes meet in that join
-    after the bands, so that no link depends on a shared band; it explodes every shingle of the table once.
+    bucket's centre (the member that shares most with others), so a bucket of n costs n pairs, not n squared.  Then
+    members of different components that share a bucket of at most SMALL_BUCKET are held against each other, and the
+    members of larger buckets that hold several components meet in an exact join on their rare shingles
+    (``rare_pairs``).  So two similar texts that share a band are always linked, whatever the bucket's size.  Every
+    link is verified on the whole sets of shingles.  ``exact`` has all nodes meet in that join after the bands, so
+    that no link depends on a shared band; it explodes every shingle of the table once.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -312,52 +350,31 @@ def near_classes(
     central = F.struct(F.col("centre"), (-F.col("nid")).alias("neg"), F.col("n"))
     heads = members.groupBy("key").agg(F.max(central).alias("head")).select("key", (-F.col("head.neg")).alias("b"), F.col("head.n").alias("m"))
     pairs = members.join(heads, "key").where((F.col("nid") != F.col("b")) & sizes_fit("n", "m", least))
-    tested = [written(pairs.select(*ordered("nid", "b")).distinct(), "pairs")]
-    edges = [written(verified(tested[0], sets, least), "links")]
-    labels = components(edges[0])
-
-    def linked(pairs: DataFrame) -> bool:
-        """Verify the pairs not yet seen; whether they held a link."""
-        nonlocal labels
-        for seen in tested:
-            pairs = pairs.join(seen, ["a", "b"], "left_anti")
-        tested.append(written(pairs, "pairs"))
-        edges.append(written(verified(tested[-1], sets, least), "links"))
-        if edges[-1].isEmpty():
-            return False
-        dropped(labels)
-        labels = components(reduce(DataFrame.unionByName, edges))
-        return True
-
-    def named() -> DataFrame:
-        return members.join(labels.select("nid", "label"), "nid", "left").withColumn("label", F.coalesce("label", "nid"))
-
-    for _ in range(rounds):
-        groups = named().groupBy("key", "label").agg(F.max(central).alias("m"), F.count(F.lit(1)).alias("n"))
-        apart = groups.groupBy("key").agg(F.max(F.struct("n", "m")).alias("top"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-        again = groups.join(apart, "key").where(sizes_fit("m.n", "top.m.n", least))
-        again = again.select((-F.col("m.neg")).alias("x"), (-F.col("top.m.neg")).alias("y")).where("x <> y")
-        if not linked(again.select(*ordered("x", "y")).distinct()):
-            break
-    mixed = named().groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
-    mixed = written(mixed.select("key", "m"), "mixed")
-    small = named().join(mixed.where(F.col("m") <= SMALL_BUCKET), "key")
+    tested = written(pairs.select(*ordered("nid", "b")).distinct(), "pairs")
+    edges = written(verified(tested, sets, least), "links")
+    labels = components(edges)
+
+    named = members.join(labels.select("nid", "label"), "nid", "left")
+    named = written(named.select("key", "nid", "n", F.coalesce("label", "nid").alias("label")), "named")
+    mixed = named.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key", "m")
+    small = named.join(mixed.where(F.col("m") <= SMALL_BUCKET), "key")
     other = small.select("key", F.col("nid").alias("b"), F.col("label").alias("other"), F.col("n").alias("o"))
     last = small.withColumnRenamed("nid", "a").join(other, "key")
-    last = last.where((F.col("a") < F.col("b")) & (F.col("label") != F.col("other")) & sizes_fit("n", "o", least)).select("a", "b").distinct()
-    linked(last)
-    large = named().join(mixed.where(F.col("m") > SMALL_BUCKET), "key").select("nid", "label").distinct()
+    last = last.where((F.col("a") < F.col("b")) & (F.col("label") != F.col("other")) & sizes_fit("n", "o", least)).select("a", "b")
+    large = named.join(mixed.where(F.col("m") > SMALL_BUCKET), "key").select("nid", "label").distinct()
     if exact:
-        large = sets.join(labels, "nid", "left").select("nid", F.coalesce("label", "nid").alias("label"))
+        large = sets.join(labels.select("nid", "label"), "nid", "left").select("nid", F.coalesce("label", "nid").alias("label"))
     stuck = written(large, "stuck")
-    if not stuck.isEmpty():
-        met = rare_pairs(stuck, sets, least)
-        linked(met)
-        dropped(met)
+    met = rare_pairs(stuck, sets, least)
+    last = written(last.unionByName(met).distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
+    more = written(verified(last, sets, least), "links")
+    if not more.isEmpty():
+        before, labels = labels, bridged(labels, more)
+        dropped(before)
 
     node_class = nodes.select("nid", "tkey", "rep", "copies").join(labels.select("nid", "label"), "nid", "left").withColumn("label", F.coalesce("label", "nid"))
     classes = node_class.groupBy("label").agg(F.min("rep").alias("class_id"), F.sum("copies").alias("class_docs"))
     result = node_class.join(classes, "label").select("tkey", "class_id", "class_docs", "copies", F.col("label").alias("class_node"))
     result = written(result, "classes")
-    dropped(nodes, members, sets, mixed, stuck, labels, *tested, *edges)
+    dropped(nodes, members, sets, tested, edges, labels, named, stuck, met, last, more)
     return rows.select("doc_id", "tkey").join(result, "tkey").select("doc_id", "class_id", "class_docs", "copies", "tkey", "class_node")

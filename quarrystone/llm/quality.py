@@ -14,7 +14,8 @@ from .trees import Trees, fit_boosted
 
 #: Most labelled rows the model is fitted on: the labelled ids of smallest hash.
 TRAIN_ROWS = 20_000
-SLICE_BYTES = 2_000_000
+#: Bytes of text whose statistics are taken at once: some 60 times that is a worker's working memory.
+SLICE_BYTES = 500_000
 FEATURES = [
     "chars", "words", "word_length", "lower", "upper", "digits", "white", "lines", "stops", "commas", "bangs", "pipes",
     "marks", "other_ascii", "non_ascii", "distinct_words", "repeated_next", "top_word", "distinct_lines", "line_length",
@@ -120,7 +121,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).select("doc_id", "y")
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     texts = texts.join(F.broadcast(known.select("doc_id")), "doc_id", "left_semi")
-    stats = document_statistics(texts, "doc_id", "text").dropDuplicates(["doc_id"])
+    # of several texts under one id the one of smallest statistics counts, whatever the order of the rows
+    stats = document_statistics(texts, "doc_id", "text").groupBy("doc_id").agg(F.min("x").alias("x"))
     rows = stats.join(F.broadcast(known), "doc_id").orderBy("doc_id").limit(most).toArrow()
     x = np.array(rows["x"].to_pylist(), float).reshape(-1, len(FEATURES))
     return fit_boosted(x, np.array(rows["y"].to_pylist(), float))
@@ -129,10 +131,11 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
 def score_quality(docs: DataFrame, model: Trees, id_col: str = "doc_id", text_col: str = "text", extra: tuple[str, ...] = ()) -> DataFrame:
     """``extra`` columns, doc_id, held_out, score and predicted for every row, scored by its text alone.
 
-    Null and empty texts have all statistics zero and get the score of such a text.  Repeated rows get equal
-    scores.  A null id is not held out.  No rows give no rows.
+    Null and empty texts have all statistics zero and get the score of such a text; a text of any length counts
+    whole.  Repeated rows get equal scores.  A null id is not held out.  No rows give no rows.  ``extra`` columns with
+    the name of a result are left out; the result takes their place.
     """
-    others = [c for c in extra if c not in (id_col, text_col)]
+    others = [c for c in extra if c not in (id_col, text_col, "doc_id", "held_out", "score", "predicted")]
     picked = docs.select(*[F.col(c).alias(f"_{c}") for c in others], F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     at = len(others) + 1
     kept = at + (text_col in extra)  # the text goes back only if it is wanted

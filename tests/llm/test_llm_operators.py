@@ -422,10 +422,21 @@ def test_quality_odd_rows(spark, odd_texts):
     for given in (labels, labels.limit(0), labels.where("quality = 1")):
         out = quality.score_quality(docs, quality.fit_quality(docs, given)).collect()
         assert len(out) == len(odd_texts) and all(0 <= r.score <= 1 for r in out)
+    clash = docs.withColumn("score", F.lit("x"))
+    assert quality.score_quality(clash, quality.fit_quality(docs, labels), extra=("score", "lang")).columns == ["lang", "doc_id", "held_out", "score", "predicted"]
     model = quality.fit_quality(docs.limit(0), labels)
     assert quality.score_quality(docs.limit(0), model).count() == 0
 
 
+def test_quality_fit_does_not_depend_on_row_order(spark, odd_texts):
+    rng = random.Random(6)
+    texts = [prose(rng, 30 + i % 7, 100) for i in range(80)] + [prose(rng, 200_000, 9000)]
+    docs = docs_of(spark, texts, [i % 40 for i in range(len(texts))])  # ids with two texts each
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    models = [quality.fit_quality(d, labels) for d in (docs, docs.orderBy(F.col("text").desc()), docs.repartition(9))]
+    assert all((m.value == models[0].value).all() and (m.threshold == models[0].threshold).all() for m in models)
+
+
 def test_statistics_by_hand():
     x = quality.statistics(pa.array(["aa bb aa aa\nBB", None, "", "é!"]))
     f = dict(zip(quality.FEATURES, x[0]))
@@ -532,6 +543,17 @@ def test_dart_signatures_estimate_weighted_similarity():
     assert (again == minhash.dart_signatures(e, np.zeros(200, int), 1, 64)).all()
 
 
+@pytest.mark.parametrize("most", [0, 100])
+def test_bridges(spark, most):
+    kept, minhash.BRIDGES = minhash.BRIDGES, most
+    labels = spark.createDataFrame([(i, i // 10 * 10) for i in range(50)], "nid long, label long")
+    edges = spark.createDataFrame([(3, 14), (12, 49), (60, 61), (25, 70), (1, 2)], "a long, b long")
+    got = {r.nid: r.label for r in minhash.bridged(labels, edges).collect()}
+    minhash.BRIDGES = kept
+    want = {i: {1: 0, 4: 0}.get(i // 10, i // 10 * 10) for i in range(50)}
+    assert got == {**want, 60: 60, 61: 60, 70: 20}
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (102, 101), (7, 7)]
     got = {r.nid: r.label for r in minhash.components(spark.createDataFrame(edges, "a long, b long")).collect()}
