@@ -146,6 +146,20 @@ def freshness_ppm(age, half_life) -> Column:
     return F.when(k >= 20, F.lit(0).cast("bigint")).otherwise(v - trunc_wide(wide(v) * wide(big(age) % big(half_life)), wide(big(half_life)) * 2).cast("bigint"))
 
 
+def aligned(value, unit, value_scale: int, unit_scale: int) -> Column:
+    """Whether a raw value is a whole number of units, both brought to the larger scale; no unit, no alignment."""
+    scale = max(value_scale, unit_scale)
+    v, u = wide(value) * 10 ** (scale - value_scale), wide(unit) * 10 ** (scale - unit_scale)
+    return F.coalesce((wide(unit) > 0) & (v % F.when(u > 0, u) == 0), F.lit(False))
+
+
+def percent_encoded(c) -> Column:
+    """Every UTF-8 byte but letters, digits and ``._-`` as ``%XX``."""
+    pairs = F.regexp_extract_all(F.hex(F.encode(col(c), "UTF-8")), F.lit("[0-9A-F]{2}"), F.lit(0))
+    plain = "^(?:2[DE]|3[0-9]|4[1-9A-F]|5[0-9A]|5F|6[1-9A-F]|7[0-9A])$"
+    return F.array_join(F.transform(pairs, lambda x: F.when(F.regexp_like(x, F.lit(plain)), F.decode(F.unhex(x), "UTF-8")).otherwise(F.concat(F.lit("%"), x))), "")
+
+
 def hour_partition(us) -> Column:
     return F.date_format(F.timestamp_micros(big(us)), "yyyy-MM-dd/HH")
 

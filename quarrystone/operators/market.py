@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -122,10 +123,52 @@ def euclid_bin(x, width: int) -> Column:
 
 
 def hhi(df: DataFrame, keys: list[str], value: str, unit: int, cap: int, out: str = "hhi") -> DataFrame:
-    """Sum of squared shares, each share truncated at ``unit``; capped."""
-    total = F.sum(value).over(Window.partitionBy(*keys))
-    share = trunc_div(F.col(value) * unit, total)
-    return df.withColumn("_s", share).groupBy(*keys).agg(F.least(F.sum(F.col("_s") * F.col("_s")), F.lit(cap)).alias(out))
+    """Sum of squared shares, each share truncated at ``unit``; capped.  The totals are one row a key and are joined."""
+    total = df.groupBy(*[F.col(k).alias(f"_t_{k}") for k in keys]).agg(F.sum(value).alias("_total"))
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_t_{k}")) for k in keys])
+    share = trunc_div(F.col(value) * unit, "_total")
+    return df.join(total, same).withColumn("_s", share).groupBy(*keys).agg(F.least(F.sum(F.col("_s") * F.col("_s")), F.lit(cap)).alias(out))
+
+
+#: Measures of a cohort and the input each sums (fixed values); the divergence is a difference, the others are ratios.
+COHORT_MEASURES = {
+    "IndependentEntityCount": "weight_ppm", "GrossExposure": "gross", "NewRiskFlow": "new_risk", "HighConvictionFlow": "high_conviction",
+    "LiquidationWeightedExposure": "liquidation_weighted", "TakerOpeningFlow": "taker_opening", "SmartCrowdDivergence": "new_risk",
+}
+
+
+def cohort_measures(members: DataFrame, key: str, numerator: Column, denominator: Column, excluded: Column | None = None) -> DataFrame:
+    """(key, measure, numerator, denominator, value_e8, ess_milli, confidence_ppm): two cohorts by every measure.
+
+    A ratio or difference is withheld (null) where the denominator is zero; excluded members are in neither cohort;
+    the effective sample is the mean of both cohorts' weights.
+    """
+    kept = F.lit(True) if excluded is None else ~F.coalesce(excluded, F.lit(False))
+    cohorts = members.withColumns({"_num": numerator & kept, "_den": denominator & kept})
+    inputs = sorted(set(COHORT_MEASURES.values()))
+    sums = [F.coalesce(F.sum(F.when(F.col(c), wide(x))), F.lit(0)).cast("decimal(38,0)").alias(f"{c}_{x}") for c in ("_num", "_den") for x in inputs]
+    out = cohorts.groupBy(key).agg(*sums)
+    rows = F.array(*[F.struct(F.lit(m).alias("measure"), F.col(f"_num_{x}").alias("numerator"), F.col(f"_den_{x}").alias("denominator")) for m, x in COHORT_MEASURES.items()])
+    out = out.select(key, trunc_wide(F.col("_num_weight_ppm") + F.col("_den_weight_ppm"), F.lit(2)).cast("bigint").alias("ess_milli"), F.inline(rows))
+    ratio = F.when(F.col("measure") == "SmartCrowdDivergence", F.col("numerator") - F.col("denominator")).otherwise(trunc_wide(F.col("numerator") * 100_000_000, F.when(F.col("denominator") != 0, F.col("denominator"))))
+    return out.select(
+        key, "measure", F.col("numerator").cast("bigint").alias("numerator"), F.col("denominator").cast("bigint").alias("denominator"),
+        F.when(F.col("denominator") != 0, ratio).cast("bigint").alias("value"), "ess_milli", F.least("ess_milli", F.lit(PPM)).alias("confidence_ppm"),
+    )
+
+
+def break_even_bps(entry, fees, funding) -> Column:
+    """Entry plus fees plus funding; an overflow raises."""
+    return F.col(entry) + F.col(fees) + F.col(funding)
+
+
+#: Confidence of each pain state, in ppm (fixed values).
+PAIN_CONFIDENCE = {"Unknown": 0, "NearBreakEven": 600_000, "Underwater": 600_000, "Profitable": 750_000, "VoluntaryExit": 750_000, "NearLiquidation": 850_000}
+
+
+def pain_confidence(state: Column) -> Column:
+    """Confidence of a pain state; null for a state that is not one."""
+    return F.create_map(*[F.lit(x) for pair in PAIN_CONFIDENCE.items() for x in pair])[state].cast("bigint")
 
 
 # --- regimes -----------------------------------------------------------------------------------------------------
@@ -192,18 +235,19 @@ def contributing_dimensions(a: Column | str, b: Column | str, most: int = 3) ->
     return F.transform(F.slice(scored, 1, most), lambda s: s["at"])
 
 
-def analogues(memory: DataFrame, queries: DataFrame, k: int, horizon: int, radius: int, blocks: int = 16) -> DataFrame:
+def analogues(memory: DataFrame, queries: DataFrame, k: int, horizon: int, radius: int, block_rows: int = 4096) -> DataFrame:
     """Exact nearest episodes: memory(episode, effective, known, v) against queries(query, q_episode, at, known_at, q).
 
     Eligible: another episode, known in time and effective before at - horizon.  Order: distance, episode, effective;
-    the first row of each episode; the best k.  The queries are a stated set: memory is dealt to ``blocks``, each
-    block meets all queries, and only its best k episodes for a query leave it.
+    the first row of each episode; the best k.  The queries are a stated set: memory is dealt to blocks of about
+    ``block_rows``, each block meets all queries, and only its best k episodes for a query leave it.
     """
+    blocks = max(1, -(-memory.count() // block_rows))
     dealt = memory.withColumn("_b", F.pmod(F.xxhash64("episode"), F.lit(blocks)).cast("int"))
     asked = queries.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     ok = (F.col("episode") != F.col("q_episode")) & (F.col("known") <= F.col("known_at")) & (F.col("effective") < F.col("at") - horizon)
     pairs = dealt.join(asked, "_b").where(ok).withColumn("distance", squared_distance("v", "q"))
-    first = pairs.groupBy("_b", "query", "episode").agg(F.min(F.struct("distance", "effective")).alias("m")).select("_b", "query", "episode", "m.*")
+    first = pairs.groupBy("_b", "query", "episode").agg(F.min(F.struct("distance", "effective", "v", "q")).alias("m")).select("_b", "query", "episode", "m.*")
     local = Window.partitionBy("_b", "query").orderBy("distance", "episode", "effective")
     first = first.withColumn("_r", F.row_number().over(local)).where(F.col("_r") <= k).drop("_b", "_r")
     w = Window.partitionBy("query").orderBy("distance", "episode", "effective")

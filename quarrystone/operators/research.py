@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.fixed import PPM, trunc_div
+from ..functions.fixed import PPM, trunc_div, trunc_wide, wide
 from .simulation import splitmix64, trunc
 
 MODEL_EDGES = (
@@ -73,13 +73,60 @@ def episode_shares(df: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 
 def promotion(evidence: DataFrame) -> DataFrame:
-    """Gates of promotion over (outcomes, holdout, days, largest_share_ppm, lower, brier_ppm, leaks)."""
-    tests = [
-        ("outcomes", F.col("outcomes") >= 100), ("holdout", F.col("holdout") >= 30), ("days", F.col("days") >= 90), ("concentration", F.col("largest_share_ppm") <= 200_000),
-        ("bootstrap", F.col("lower") > 0), ("calibration", F.col("brier_ppm") <= 250_000), ("leakage", F.col("leaks") == 0),
+    """The twelve gates (gate, decision, reason) over (outcomes, days, largest_share_ppm, as_probability, shadow_live, locked).
+
+    No gate ever passes here: what is known to be short fails, the rest is withheld with its reason, so ``promoted``
+    is false.  Null days or shares are unmodelled.
+    """
+    c = F.col
+
+    def gate(name: str, reason: Column | str, failed: Column | None = None) -> Column:
+        decision = F.lit("Withheld") if failed is None else F.when(F.coalesce(failed, F.lit(False)), "Fail").otherwise("Withheld")
+        return F.struct(F.lit(name).alias("gate"), decision.alias("decision"), (F.lit(reason) if isinstance(reason, str) else reason).alias("reason"))
+
+    def by(failed: Column, why: str, otherwise: str, unknown: Column | None = None, unmodelled: str = "") -> Column:
+        out = F.when(F.coalesce(failed, F.lit(False)), why).otherwise(otherwise)
+        return out if unknown is None else F.when(unknown, unmodelled).otherwise(out)
+
+    few, short, heavy = c("outcomes") < 100, c("days") < 90, c("largest_share_ppm") > 200_000
+    gates = [
+        gate("independent_outcomes", by(few, "insufficient_independent_outcomes", "no_locked_holdout"), few),
+        gate("calendar_coverage", by(short, "insufficient_calendar_coverage", "no_locked_holdout", c("days").isNull(), "calendar_unmodeled"), short),
+        gate("net_expectancy_bootstrap", "significance_not_claimed"), gate("cost_stress", "cost_stress_unmodeled"), gate("latency_stress", "latency_stress_unmodeled"),
+        gate("concentration", by(heavy, "episode_share_exceeds_policy", "no_locked_holdout", c("largest_share_ppm").isNull(), "episode_shares_unmodeled"), heavy),
+        gate("drawdown", "no_preregistered_holdout_budget"),
+        gate("calibration", by(c("as_probability"), "probability_display_forbidden", "uncalibrated"), c("as_probability")),
+        gate("capacity", "synthetic_linear_only"), gate("shadow_live", by(c("shadow_live"), "shadow_live_not_production", "shadow_live_not_implemented"), c("shadow_live")),
+        gate("reproducibility", "two_builder_reproduction_unmodeled"), gate("locked_holdout", by(c("locked"), "holdout_pass_not_implemented", "no_locked_holdout"), c("locked")),
     ]
-    gates = F.array(*[F.struct(F.lit(n).alias("gate"), F.coalesce(c, F.lit(False)).alias("passed")) for n, c in tests])
-    return evidence.withColumn("gates", gates).withColumn("promoted", F.forall("gates", lambda g: g["passed"]))
+    return evidence.withColumn("gates", F.array(*gates)).withColumn("promoted", F.lit(False))
+
+
+def baselines(train: DataFrame, key: str, order: list[str], feature: str, outcome: str) -> DataFrame:
+    """(key, class, intercept, weight) of the baseline estimators, raw values at scale 8: the mean outcome, no trade,
+    momentum (the last outcome), mean reversion (the mean less the feature) and the raw feature."""
+    one = 100_000_000
+    fit = train.groupBy(key).agg(F.sum(wide(outcome)).alias("_sum"), F.count(outcome).alias("_n"), F.max(F.struct(*order, F.col(outcome).alias("_y")))["_y"].alias("last"))
+    fit = fit.withColumn("mean", trunc_wide(F.col("_sum"), F.col("_n")).cast("bigint"))
+    rows = [("MeanOutcome", F.col("mean"), 0), ("NoTrade", F.lit(0), 0), ("Momentum", F.col("last"), 0), ("MeanReversion", F.col("mean"), -one), ("RawFeature", F.lit(0), one)]
+    made = [F.struct(F.lit(n).alias("class"), i.cast("bigint").alias("intercept"), F.lit(w).cast("bigint").alias("weight")) for n, i, w in rows]
+    return fit.select(key, F.inline(F.array(*made)))
+
+
+def multiple_testing(variants: DataFrame, family: str) -> DataFrame:
+    """(family, attempted_variants, bonferroni_divisor, withheld_reason): every attempt counts; nothing is claimed."""
+    n = variants.groupBy(family).agg(F.count("variant").alias("attempted_variants"))
+    reason = F.when(F.col("attempted_variants") == 0, "empty_family").otherwise("no_locked_holdout")
+    return n.select(family, "attempted_variants", F.greatest("attempted_variants", F.lit(1).cast("bigint")).alias("bonferroni_divisor"), reason.alias("withheld_reason"))
+
+
+def shortfalls(outcomes: DataFrame, key: str, outcome: str, least: int = 20) -> DataFrame:
+    """(key, n, es): mean, toward zero, of the floor(5 %) worst outcomes, one at least; withheld below ``least``."""
+    w = Window.partitionBy(key).orderBy(outcome)
+    n = outcomes.groupBy(F.col(key).alias("_k")).agg(F.count(outcome).alias("n"))
+    ranked = outcomes.withColumn("_r", F.row_number().over(w)).join(n, F.col(key) == F.col("_k"))
+    worst = F.when((F.col("n") >= least) & (F.col("_r") <= F.greatest(trunc_div(F.col("n") * 5, F.lit(100)), F.lit(1))), wide(outcome))
+    return ranked.groupBy(key, "n").agg(trunc_wide(F.sum(worst), F.count(worst)).cast("bigint").alias("es"))
 
 
 def registered(rows: DataFrame, key: str = "experiment_id") -> DataFrame:

@@ -43,11 +43,27 @@ def alert(state: Column, material: Column, elapsed: Column, emitted: Column, ris
     )
 
 
-def invalidated(kind: Column, closed_ppm: Column, flow: Column, votes: Column, cost: Column, edge: Column, health: Column, age: Column, threshold: Column) -> Column:
-    """Whether a rule triggers; an unknown kind is null (withheld), never false."""
+def invalidated(
+    kind: Column, closed_ppm: Column, flow: Column, independence_ppm: Column, cost_exceeds_edge: Column, data_health: Column, book_health: Column, now: Column,
+    threshold: Column,
+) -> Column:
+    """(triggered, distance_ppm) of a rule by its kind; an unknown kind is null (withheld), never false.
+
+    A missing flow triggers FlowBelow.  The distance is what is left to the threshold, 0 for rules without one; a
+    custom approved rule never triggers by itself and is 1e6 away.
+    """
+
+    def status(triggered: Column, left: Column | int = 0) -> Column:
+        left = F.lit(left) if isinstance(left, int) else left
+        return F.struct(triggered.alias("triggered"), F.least(F.greatest(left, F.lit(0)), F.lit(1_000_000)).cast("bigint").alias("distance_ppm"))
+
     return (
-        F.when(kind == "ClosedFraction", closed_ppm >= threshold).when(kind == "FlowBelow", flow < threshold).when(kind == "IndependenceBelow", votes < threshold)
-        .when(kind == "CostAboveEdge", cost > edge).when(kind == "Health", health == "Red").when(kind == "TimeExpired", age >= threshold)
+        F.when(kind == "OriginatorExposureClosed", status(closed_ppm >= threshold, threshold - closed_ppm))
+        .when(kind == "FlowBelow", status(F.coalesce(flow < threshold, F.lit(True))))
+        .when(kind == "IndependenceBelow", status(independence_ppm < threshold, independence_ppm - threshold))
+        .when(kind == "CostAboveEdge", status(cost_exceeds_edge)).when(kind == "DataHealthNotGreen", status(data_health != "Green"))
+        .when(kind == "BookHealthNotGreen", status(book_health != "Green")).when(kind == "TimeExpired", status(now >= threshold))
+        .when(kind == "CustomApproved", status(F.lit(False), 1_000_000))
     )
 
 

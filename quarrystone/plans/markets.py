@@ -66,23 +66,29 @@ def cohort_ratio(spark, d):
     return t.withColumn("ratio_e8", ratio)
 
 
-@query(f"""WITH {LI}, x AS (SELECT l_partkey % 200 AS market, px, disc, tax, l_returnflag, CAST(floor((disc - 500) / 25.0) AS BIGINT) AS bin FROM li),
+@query(f"""WITH {LI}, x AS (SELECT l_partkey % 200 AS market, px, 900000 - tax * 100 AS w, l_linenumber % 3 = 0 AS follows, l_returnflag = 'R' AS post, tax * 1250 AS fund, qty * 400 AS lev, CAST(floor((disc - 500) / 25.0) AS BIGINT) AS bin FROM li),
 t AS (SELECT market, sum(px) AS total FROM x GROUP BY 1),
 h AS (SELECT x.market, least(1000000, CAST(sum((px * 1000 // total) * (px * 1000 // total)) AS BIGINT)) AS hhi FROM x JOIN t USING (market) GROUP BY 1)
-SELECT x.market, CAST(sum(900000 - tax * 100) AS BIGINT) AS independent, CAST(sum(px) FILTER (l_returnflag = 'R') AS HUGEINT) * 1000000 // CAST(sum(px) AS BIGINT) AS post_share,
-1000000 // count(DISTINCT bin) AS clustering, CAST(sum(tax) AS BIGINT) // count(*) AS funding, CAST(sum(px) * 1000000 // (sum(px) + 500000000) AS BIGINT) AS consumed, any_value(hhi) AS hhi
-FROM x JOIN h USING (market) GROUP BY x.market""".replace("CAST(sum(px) FILTER (l_returnflag = 'R') AS HUGEINT) * 1000000 // CAST(sum(px) AS BIGINT) AS post_share", "CAST(coalesce(sum(px) FILTER (l_returnflag = 'R'), 0) * 1000000 // sum(px) AS BIGINT) AS post_share"))
+SELECT x.market, CAST(sum(w) AS BIGINT) AS independent, any_value(hhi) AS hhi, CAST(coalesce(sum(w) FILTER (follows), 0) * 1000000 // sum(w) AS BIGINT) AS follower_saturation,
+CAST(coalesce(sum(px) FILTER (post), 0) * 1000000 // sum(px) AS BIGINT) AS post_share, 1000000 // count(DISTINCT bin) AS clustering, CAST(sum(fund) AS BIGINT) // count(*) AS funding,
+least(CAST(sum(lev) AS BIGINT) // count(*), 1000000) AS leverage, CAST(sum(px) * 1000000 // (sum(px) + 500000000) AS BIGINT) AS consumed FROM x JOIN h USING (market) GROUP BY x.market""")
 def crowding_components(spark, d):
-    """Independence, follow-on share, entry clustering, funding, capacity used and concentration of each market."""
-    x = lines(spark, d).withColumn("market", F.col("l_partkey") % 200).withColumn("bin", market.euclid_bin(F.col("disc") - 500, 25))
+    """The eight crowding components of each market: independence, concentration, followers, follow-on share, entry
+    clustering, funding percentile, leverage, capacity used."""
+    x = lines(spark, d).selectExpr(
+        "l_partkey % 200 AS market", "px", "disc", "900000 - tax * 100 AS w", "l_linenumber % 3 = 0 AS follows", "l_returnflag = 'R' AS post", "tax * 1250 AS fund", "qty * 400 AS lev",
+    ).withColumn("bin", market.euclid_bin(F.col("disc") - 500, 25))
+    where = lambda cond, c: F.coalesce(F.sum(F.when(F.col(cond), F.col(c))), F.lit(0))
     t = x.groupBy("market").agg(
-        F.sum(F.lit(900_000) - F.col("tax") * 100).alias("independent"), F.sum("px").alias("total"), F.coalesce(F.sum(F.when(F.col("l_returnflag") == "R", F.col("px"))), F.lit(0)).alias("post"),
-        F.countDistinct("bin").alias("bins"), F.sum("tax").alias("tax"), F.count(F.lit(1)).alias("n"),
+        F.sum("w").alias("independent"), where("follows", "w").alias("follower"), F.sum("px").alias("total"), where("post", "px").alias("post"),
+        F.countDistinct("bin").alias("bins"), F.sum("fund").alias("fund"), F.sum("lev").alias("lev"), F.count(F.lit(1)).alias("n"),
     )
     h = market.hhi(x, ["market"], "px", 1000, PPM)
+    share = lambda a, b: F.when(b != 0, trunc_wide(F.col(a).cast("decimal(38,0)") * PPM, b)).otherwise(0).cast("bigint")
     return t.join(h, "market").select(
-        "market", "independent", trunc_wide(F.col("post").cast("decimal(38,0)") * PPM, "total").cast("bigint").alias("post_share"), trunc_div(F.lit(PPM), "bins").alias("clustering"),
-        trunc_div("tax", "n").alias("funding"), trunc_wide(F.col("total").cast("decimal(38,0)") * PPM, F.col("total") + 500_000_000).cast("bigint").alias("consumed"), "hhi",
+        "market", "independent", "hhi", share("follower", F.col("independent")).alias("follower_saturation"), share("post", F.col("total")).alias("post_share"),
+        trunc_div(F.lit(PPM), "bins").alias("clustering"), trunc_div("fund", "n").alias("funding"), F.least(trunc_div("lev", "n"), F.lit(PPM)).alias("leverage"),
+        share("total", F.col("total") + 500_000_000).alias("consumed"),
     )
 
 
@@ -180,18 +186,19 @@ def first_wave(spark, d):
 
 @query("""WITH m AS (SELECT vec_id AS episode, vec_id * 10 AS effective, vec_id * 10 + 5 AS known, list_transform(embedding[1:20], lambda x: CAST(round(x::DOUBLE * 1000) AS BIGINT)) AS v FROM embeddings),
 q AS (SELECT vec_id AS query, vec_id AS q_episode, vec_id * 10 AS t_at, vec_id * 10 AS known_at, list_transform(embedding[1:20], lambda x: CAST(round(x::DOUBLE * 1000) AS BIGINT)) AS q FROM embeddings WHERE vec_id % 50 = 0),
-p AS (SELECT query, episode, effective, CAST(list_sum(list_transform(list_zip(v, q), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) AS distance FROM m, q WHERE episode <> q_episode AND known <= known_at AND effective < t_at - 100),
+p AS (SELECT query, episode, effective, CAST(list_sum(list_transform(list_zip(v, q), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) AS distance, list_transform(list_sort(list_transform(list_zip(v, q), lambda z, i: {'g': -abs(z[1] - z[2]), 'i': i - 1}))[:3], lambda s: CAST(s.i AS INTEGER)) AS dimensions FROM m, q WHERE episode <> q_episode AND known <= known_at AND effective < t_at - 100),
 r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY distance, episode, effective) AS rank, min(distance) OVER (PARTITION BY query) AS nearest FROM p)
-SELECT query, episode, distance, rank, CASE WHEN nearest <= 600000 THEN 800000 ELSE 0 END AS support_ppm FROM r WHERE rank <= 5""")
+SELECT query, episode, distance, rank, CASE WHEN nearest <= 600000 THEN 800000 ELSE 0 END AS support_ppm, dimensions FROM r WHERE rank <= 5""")
 def knn_memory(spark, d):
-    """Five nearest earlier episodes over 20 integer dimensions, for every row whose id is divisible by 50."""
+    """Five nearest earlier episodes over 20 integer dimensions and the three dimensions that part them most, for every
+    row whose id is divisible by 50."""
     v = F.transform(F.slice("embedding", 1, 20), lambda x: F.round(x.cast("double") * 1000).cast("bigint"))
     e = table(spark, d, "embeddings")
     memory = e.select(F.col("vec_id").alias("episode"), (F.col("vec_id") * 10).alias("effective"), (F.col("vec_id") * 10 + 5).alias("known"), v.alias("v"))
     now = (F.col("vec_id") * 10).alias
     asked = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), F.col("vec_id").alias("q_episode"), now("at"), now("known_at"), v.alias("q"))
     out = market.analogues(memory, asked, 5, 100, 600_000)
-    return out.select("query", "episode", F.col("distance").cast("bigint").alias("distance"), F.col("rank").cast("bigint").alias("rank"), "support_ppm")
+    return out.select("query", "episode", F.col("distance").cast("bigint").alias("distance"), F.col("rank").cast("bigint").alias("rank"), "support_ppm", market.contributing_dimensions("v", "q").alias("dimensions"))
 
 
 @query(f"""WITH {EV}, m AS (SELECT user_id % 20 AS market, event_type, sum(CASE WHEN event_id % 2 = 0 THEN cents ELSE -cents END) AS signed, sum(cents) AS gross FROM ev GROUP BY ALL)

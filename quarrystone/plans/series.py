@@ -151,7 +151,12 @@ def sessions(spark, d):
     return s.groupBy("user_id", "session").agg(F.min("us").alias("first"), F.max("us").alias("last"), F.count(F.lit(1)).alias("n"))
 
 
-@query(None)
+@query(f"""WITH RECURSIVE {EV}, o AS (SELECT user_id AS key, event_id AS ordinal, cents * 20 AS x, row_number() OVER (PARTITION BY user_id ORDER BY us, event_id) AS n FROM ev),
+p AS (SELECT key, ordinal, n, CAST(1 AS BIGINT) AS regime, x AS mean, CAST(0 AS BIGINT) AS s, CAST(0 AS BIGINT) AS run, true AS changed FROM o WHERE n = 1 UNION ALL
+  SELECT key, ordinal, n, CASE WHEN hit THEN regime + 1 ELSE regime END, CASE WHEN hit THEN x ELSE mean END, CASE WHEN hit THEN 0 ELSE s END, CASE WHEN hit THEN 0 ELSE run END, hit FROM (
+    SELECT key, ordinal, n, regime, mean, x, s, run, s >= 600000 AND run >= 5 AS hit FROM (
+      SELECT o.key, o.ordinal, o.n, p.regime, p.mean, o.x, p.s + greatest(abs(o.x - p.mean) - 50000, 0) AS s, p.run + 1 AS run FROM p JOIN o ON o.key = p.key AND o.n = p.n + 1)))
+SELECT key, ordinal, regime, mean FROM p WHERE changed""")
 def change_points(spark, d):
     """CUSUM regimes of each user's value series: a stateful fold, one key at a time."""
     ev = events(spark, d).select(F.col("user_id").alias("key"), F.expr("us").alias("us"), F.col("event_id").alias("ordinal"), (F.col("cents") * 20).alias("x"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions.fixed import PPM, scale_ppm, trunc_div, trunc_wide, wide
+from ..functions.fixed import PPM, aligned, percent_encoded, scale_ppm, trunc_div, trunc_wide, wide
 from ..operators import bitemporal as bt
 from ..operators import ledger, market, research, signals, wallet
 from .registry import EV, LI, cents, days, events, lines, query, table
@@ -150,25 +150,39 @@ def episode_shares(spark, d):
     return research.episode_shares(e, ["user_id"], "v").select("user_id", "event_type", "v", "share_ppm")
 
 
-@query("""WITH e AS (SELECT c_custkey, c_custkey % 150 AS outcomes, c_custkey % 45 AS holdout, c_custkey % 130 AS days, c_custkey * 7919 % 400000 AS share, CASE WHEN c_custkey % 10 <> 0 THEN c_custkey % 9 - 2 END AS lower_, c_custkey * 31 % 400000 AS brier, CASE WHEN c_custkey % 12 = 0 THEN 1 ELSE 0 END AS leaks FROM customer)
-SELECT c_custkey, coalesce(outcomes >= 100, false) AND coalesce(holdout >= 30, false) AND days >= 90 AND share <= 200000 AND coalesce(lower_ > 0, false) AND brier <= 250000 AND leaks = 0 AS promoted,
-(outcomes >= 100)::INT + (holdout >= 30)::INT + (days >= 90)::INT + (share <= 200000)::INT + coalesce(lower_ > 0, false)::INT + (brier <= 250000)::INT + (leaks = 0)::INT AS passed FROM e""")
+@query("""WITH e AS (SELECT c_custkey, c_custkey % 150 AS outcomes, CASE WHEN c_custkey % 7 <> 0 THEN c_custkey % 130 END AS days, CASE WHEN c_custkey % 11 <> 0 THEN c_custkey * 7919 % 400000 END AS share, c_custkey % 5 = 0 AS prob, c_custkey % 6 = 0 AS shadow, c_custkey % 8 = 0 AS locked FROM customer),
+g AS (SELECT c_custkey, unnest([
+ {'gate': 'independent_outcomes', 'f': outcomes < 100, 'bad': 'insufficient_independent_outcomes', 'r': 'no_locked_holdout'},
+ {'gate': 'calendar_coverage', 'f': coalesce(days < 90, false), 'bad': 'insufficient_calendar_coverage', 'r': CASE WHEN days IS NULL THEN 'calendar_unmodeled' ELSE 'no_locked_holdout' END},
+ {'gate': 'net_expectancy_bootstrap', 'f': false, 'bad': '', 'r': 'significance_not_claimed'}, {'gate': 'cost_stress', 'f': false, 'bad': '', 'r': 'cost_stress_unmodeled'}, {'gate': 'latency_stress', 'f': false, 'bad': '', 'r': 'latency_stress_unmodeled'},
+ {'gate': 'concentration', 'f': coalesce(share > 200000, false), 'bad': 'episode_share_exceeds_policy', 'r': CASE WHEN share IS NULL THEN 'episode_shares_unmodeled' ELSE 'no_locked_holdout' END},
+ {'gate': 'drawdown', 'f': false, 'bad': '', 'r': 'no_preregistered_holdout_budget'}, {'gate': 'calibration', 'f': prob, 'bad': 'probability_display_forbidden', 'r': 'uncalibrated'},
+ {'gate': 'capacity', 'f': false, 'bad': '', 'r': 'synthetic_linear_only'}, {'gate': 'shadow_live', 'f': shadow, 'bad': 'shadow_live_not_production', 'r': 'shadow_live_not_implemented'},
+ {'gate': 'reproducibility', 'f': false, 'bad': '', 'r': 'two_builder_reproduction_unmodeled'}, {'gate': 'locked_holdout', 'f': locked, 'bad': 'holdout_pass_not_implemented', 'r': 'no_locked_holdout'}]) AS g FROM e)
+SELECT c_custkey, g.gate AS gate, CASE WHEN g.f THEN 'Fail' ELSE 'Withheld' END AS decision, CASE WHEN g.f THEN g.bad ELSE g.r END AS reason, false AS promoted FROM g""")
 def promotion_gates(spark, d):
-    """Promotion gates: all must pass, a missing input fails its gate."""
+    """The twelve promotion gates of each candidate, with their reasons."""
     e = table(spark, d, "customer").selectExpr(
-        "c_custkey", "c_custkey % 150 AS outcomes", "c_custkey % 45 AS holdout", "c_custkey % 130 AS days", "c_custkey * 7919 % 400000 AS largest_share_ppm",
-        "if(c_custkey % 10 <> 0, c_custkey % 9 - 2, null) AS lower", "c_custkey * 31 % 400000 AS brier_ppm", "if(c_custkey % 12 = 0, 1, 0) AS leaks",
+        "c_custkey", "c_custkey % 150 AS outcomes", "if(c_custkey % 7 <> 0, c_custkey % 130, null) AS days", "if(c_custkey % 11 <> 0, c_custkey * 7919 % 400000, null) AS largest_share_ppm",
+        "c_custkey % 5 = 0 AS as_probability", "c_custkey % 6 = 0 AS shadow_live", "c_custkey % 8 = 0 AS locked",
     )
-    return research.promotion(e).select("c_custkey", "promoted", F.size(F.filter("gates", lambda g: g["passed"])).alias("passed"))
+    return research.promotion(e).select("c_custkey", F.inline("gates"), "promoted")
 
 
-@query("""SELECT c_custkey, CASE c_custkey % 6 WHEN 0 THEN c_custkey * 7 % 1000 >= 500 WHEN 1 THEN c_custkey * 7 % 1000 < 500 WHEN 2 THEN c_custkey * 7 % 1000 < 500 WHEN 3 THEN c_custkey * 3 % 100 > c_custkey * 5 % 100 WHEN 4 THEN c_custkey % 4 = 0 END AS triggered FROM customer""")
+RULES = ["OriginatorExposureClosed", "FlowBelow", "IndependenceBelow", "CostAboveEdge", "DataHealthNotGreen", "BookHealthNotGreen", "TimeExpired", "CustomApproved", "Unheard"]
+
+
+@query("""WITH x AS (SELECT c_custkey, c_custkey % 9 AS kind, c_custkey * 7 % 1000 AS x, CASE WHEN c_custkey % 5 <> 0 THEN c_custkey * 7 % 1000 END AS flow, c_custkey * 3 % 100 > c_custkey * 5 % 100 AS dear, c_custkey % 4 = 0 AS red, c_custkey % 3 = 0 AS amber FROM customer)
+SELECT c_custkey, CASE kind WHEN 0 THEN x >= 500 WHEN 1 THEN coalesce(flow < 500, true) WHEN 2 THEN x < 500 WHEN 3 THEN dear WHEN 4 THEN red WHEN 5 THEN amber WHEN 6 THEN x >= 500 WHEN 7 THEN false END AS triggered,
+CAST(CASE kind WHEN 0 THEN greatest(500 - x, 0) WHEN 2 THEN greatest(x - 500, 0) WHEN 7 THEN 1000000 WHEN 8 THEN NULL ELSE 0 END AS BIGINT) AS distance_ppm FROM x""")
 def invalidation_rules(spark, d):
-    """Whether each kind of rule triggers; an unknown kind is withheld."""
+    """Whether each of the eight kinds of rule triggers and how far it is; an unknown kind is withheld."""
     k = F.col("c_custkey")
-    kind = F.get(F.array(*map(F.lit, ["ClosedFraction", "FlowBelow", "IndependenceBelow", "CostAboveEdge", "Health", "Custom"])), (k % 6).cast("int"))
-    x, health = k * 7 % 1000, F.when(k % 4 == 0, "Red").otherwise("Green")
-    return table(spark, d, "customer").select("c_custkey", signals.invalidated(kind, x, x, x, k * 3 % 100, k * 5 % 100, health, x, F.lit(500)).alias("triggered"))
+    kind = F.get(F.array(*map(F.lit, RULES)), (k % 9).cast("int"))
+    x, flow = k * 7 % 1000, F.when(k % 5 != 0, k * 7 % 1000)
+    data, book = F.when(k % 4 == 0, "Red").otherwise("Green"), F.when(k % 3 == 0, "Amber").otherwise("Green")
+    got = signals.invalidated(kind, x, flow, x, k * 3 % 100 > k * 5 % 100, data, book, x, F.lit(500))
+    return table(spark, d, "customer").select("c_custkey", got.alias("s")).select("c_custkey", "s.triggered", "s.distance_ppm")
 
 
 @query("""SELECT c_custkey, list_filter(['book', 'fills', 'inventory', 'model', 'provenance'], lambda x, i: c_custkey % (i + 2) = 0) AS missing FROM customer""")
@@ -253,3 +267,76 @@ def membership_asof(spark, d):
     """Latest membership known at a time: one row for all accounts, as the rule has no account key."""
     m = events(spark, d).where("event_type in ('click', 'view') and us <= 1705276800000000").select("event_id", F.col("user_id").alias("member"), F.col("event_type").alias("cluster"), F.col("us").alias("known"))
     return bt.latest(m.withColumn("o", F.col("event_id")), [], ["known", "o"], ["event_id", "member", "cluster", "known"])
+
+
+@query("""SELECT c_custkey, s AS state, CASE s WHEN 'Unknown' THEN 0 WHEN 'NearBreakEven' THEN 600000 WHEN 'Underwater' THEN 600000 WHEN 'Profitable' THEN 750000 WHEN 'VoluntaryExit' THEN 750000 WHEN 'NearLiquidation' THEN 850000 END::BIGINT AS confidence_ppm
+FROM (SELECT c_custkey, ['Unknown', 'NearBreakEven', 'Underwater', 'Profitable', 'VoluntaryExit', 'NearLiquidation', 'Other'][1 + c_custkey % 7] AS s FROM customer)""")
+def pain_confidences(spark, d):
+    """Confidence of each pain state; a state that is not one is withheld."""
+    order = ["Unknown", "NearBreakEven", "Underwater", "Profitable", "VoluntaryExit", "NearLiquidation", "Other"]
+    names = F.array(*map(F.lit, order))
+    c = table(spark, d, "customer").select("c_custkey", F.get(names, (F.col("c_custkey") % 7).cast("int")).alias("state"))
+    return c.withColumn("confidence_ppm", market.pain_confidence(F.col("state")))
+
+
+@query(f"""WITH {LI}, x AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, px, qty, (l_partkey % 9 - 1) * 5 AS tick, l_suppkey % 4 AS lot FROM li)
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, px, coalesce(tick > 0 AND px % nullif(tick, 0) = 0, false) AS on_tick, coalesce(tick > 0 AND px * 100 % nullif(tick, 0) = 0, false) AS on_fine_tick, coalesce(lot > 0 AND qty % nullif(lot * 10, 0) = 0, false) AS on_lot FROM x""")
+def tick_alignment(spark, d):
+    """Prices and sizes that are whole ticks and lots, at equal, finer and coarser scales."""
+    x = lines(spark, d).withColumn("tick", F.expr("(l_partkey % 9 - 1) * 5")).withColumn("lot", F.col("l_suppkey") % 4)
+    checks = {"on_tick": aligned("px", "tick", 2, 2), "on_fine_tick": aligned("px", "tick", 2, 4), "on_lot": aligned("qty", "lot", 1, 0)}
+    return x.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "px", *[c.alias(n) for n, c in checks.items()])
+
+
+@query("""WITH o AS (SELECT o_custkey, o_orderkey, CAST(round(o_totalprice * 100) AS BIGINT) - 15000000 AS y FROM orders),
+f AS (SELECT o_custkey, CAST(sum(y) AS BIGINT) // count(*) AS mean, arg_max(y, o_orderkey) AS last FROM o GROUP BY 1)
+SELECT o_custkey, unnest(['MeanOutcome', 'NoTrade', 'Momentum', 'MeanReversion', 'RawFeature']) AS class, unnest([mean, 0, last, mean, 0])::BIGINT AS intercept, unnest([0, 0, 0, -100000000, 100000000])::BIGINT AS weight FROM f""")
+def baseline_estimators(spark, d):
+    """Five baseline estimators of each key's outcomes."""
+    o = table(spark, d, "orders").select("o_custkey", "o_orderkey", (cents("o_totalprice") - 15_000_000).alias("y"), (F.col("o_orderkey") % 100).alias("x"))
+    return research.baselines(o, "o_custkey", ["o_orderkey"], "x", "y")
+
+
+@query("""SELECT c_nationkey, count(CASE WHEN c_custkey % 3 = 0 AND c_nationkey % 5 <> 0 THEN 1 END) AS attempted_variants, greatest(count(CASE WHEN c_custkey % 3 = 0 AND c_nationkey % 5 <> 0 THEN 1 END), 1) AS bonferroni_divisor,
+CASE WHEN count(CASE WHEN c_custkey % 3 = 0 AND c_nationkey % 5 <> 0 THEN 1 END) = 0 THEN 'empty_family' ELSE 'no_locked_holdout' END AS withheld_reason FROM customer GROUP BY 1""")
+def multiple_testing(spark, d):
+    """Attempts of each family and the divisor they impose."""
+    v = table(spark, d, "customer").select("c_nationkey", F.expr("if(c_custkey % 3 = 0 and c_nationkey % 5 <> 0, c_custkey, null)").alias("variant"))
+    return research.multiple_testing(v, "c_nationkey")
+
+
+@query(f"""WITH {EV}, r AS (SELECT user_id, cents - 6000 AS x, row_number() OVER (PARTITION BY user_id ORDER BY cents) AS k, count(*) OVER (PARTITION BY user_id) AS n FROM ev)
+SELECT user_id, n, CAST(CAST(sum(x) FILTER (n >= 20 AND k <= greatest(n * 5 // 100, 1)) AS BIGINT) // nullif(count(*) FILTER (n >= 20 AND k <= greatest(n * 5 // 100, 1)), 0) AS BIGINT) AS es FROM r GROUP BY 1, 2""")
+def research_shortfall(spark, d):
+    """Mean of the floor(5 %) worst outcomes, withheld below twenty."""
+    return research.shortfalls(events(spark, d).withColumn("x", F.col("cents") - 6000), "user_id", "x")
+
+
+@query("""WITH m AS (SELECT c_nationkey, CAST(round(c_acctbal * 100) AS BIGINT) AS bal, c_custkey AS k FROM customer),
+x AS (SELECT c_nationkey, k % 100 >= 30 AND k % 17 <> 0 AS num, k % 100 >= 10 AND k % 17 <> 0 AND c_nationkey <> 3 AS den, unnest(['IndependentEntityCount', 'GrossExposure', 'NewRiskFlow', 'HighConvictionFlow', 'LiquidationWeightedExposure', 'TakerOpeningFlow', 'SmartCrowdDivergence']) AS measure,
+ unnest([k * 31 % 1000, abs(bal), bal, bal // 2, k * 13 % 5000, bal * (k % 3 - 1), bal]) AS v, k * 31 % 1000 AS w FROM m),
+s AS (SELECT c_nationkey, measure, CAST(coalesce(sum(v) FILTER (num), 0) AS BIGINT) AS numerator, CAST(coalesce(sum(v) FILTER (den), 0) AS BIGINT) AS denominator, CAST((coalesce(sum(w) FILTER (num), 0) + coalesce(sum(w) FILTER (den), 0)) // 2 AS BIGINT) AS ess_milli FROM x GROUP BY ALL)
+SELECT c_nationkey, measure, numerator, denominator, CAST(CASE WHEN denominator = 0 THEN NULL WHEN measure = 'SmartCrowdDivergence' THEN numerator - denominator ELSE CAST(numerator AS HUGEINT) * 100000000 // denominator END AS BIGINT) AS value, ess_milli, least(ess_milli, 1000000) AS confidence_ppm FROM s""")
+def cohort_measures(spark, d):
+    """Seven measures of two cohorts, with exclusions; withheld where the denominator is zero."""
+    m = table(spark, d, "customer").withColumn("bal", cents("c_acctbal")).selectExpr(
+        "c_nationkey", "c_custkey AS k", "c_custkey * 31 % 1000 AS weight_ppm", "abs(bal) AS gross", "bal AS new_risk", "bal div 2 AS high_conviction",
+        "c_custkey * 13 % 5000 AS liquidation_weighted", "bal * (c_custkey % 3 - 1) AS taker_opening",
+    )
+    k = F.col("k")
+    return market.cohort_measures(m, "c_nationkey", k % 100 >= 30, (k % 100 >= 10) & (F.col("c_nationkey") != 3), k % 17 == 0)
+
+
+@query("""SELECT p_partkey, CAST(p_partkey % 200 - 100 + p_size + p_partkey % 7 AS BIGINT) AS break_even FROM part""")
+def break_even(spark, d):
+    """Break-even of an entry after fees and funding, in basis points."""
+    p = table(spark, d, "part").select("p_partkey", (F.col("p_partkey") % 200 - 100).alias("entry"), F.col("p_size").cast("bigint").alias("fees"), (F.col("p_partkey") % 7).alias("funding"))
+    return p.select("p_partkey", market.break_even_bps("entry", "fees", "funding").alias("break_even"))
+
+
+@query(r"""WITH p AS (SELECT p_partkey, p_name || '/é%' || p_partkey || '._-~' AS name FROM part)
+SELECT p_partkey, list_aggregate(list_transform(string_split(regexp_replace(hex(encode(name)), '(..)', '\1 ', 'g'), ' ')[:-2], lambda x: CASE WHEN regexp_full_match(x, '2[DE]|3[0-9]|4[1-9A-F]|5[0-9A]|5F|6[1-9A-F]|7[0-9A]') THEN decode(unhex(x)) ELSE '%' || x END), 'string_agg', '') AS encoded FROM p""")
+def encoded_components(spark, d):
+    """Path components, percent-encoded byte by byte."""
+    name = F.concat("p_name", F.lit("/é%"), F.col("p_partkey").cast("string"), F.lit("._-~"))
+    return table(spark, d, "part").select("p_partkey", percent_encoded(name).alias("encoded"))

@@ -52,7 +52,11 @@ def skill_posterior(spark, d):
     return s.select("user_id", p["mean"].alias("mean"), "ess", p["posterior"].alias("posterior"), p["se"].alias("se"))
 
 
-@query(None)
+@query("""WITH z AS (SELECT p_partkey, p_partkey % 41 - 20 AS z FROM part), y AS (SELECT *, z * 1700 AS y, CAST(abs(z) * 1700 AS HUGEINT) AS a FROM z),
+t1 AS (SELECT *, 1000000 * a // 1000 AS t1 FROM y), t2 AS (SELECT *, t1 * a // 2000 AS t2 FROM t1), t3 AS (SELECT *, t2 * a // 3000 AS t3 FROM t2), t4 AS (SELECT *, t3 * a // 4000 AS t4 FROM t3),
+t5 AS (SELECT *, t4 * a // 5000 AS t5 FROM t4), t6 AS (SELECT *, t5 * a // 6000 AS t6 FROM t5), t7 AS (SELECT *, t6 * a // 7000 AS t7 FROM t6), t8 AS (SELECT *, t7 * a // 8000 AS t8 FROM t7),
+s AS (SELECT *, 1000000 + t1 + t2 + t3 + t4 + t5 + t6 + t7 + t8 AS s FROM t8), e AS (SELECT *, CASE WHEN y >= 20000 THEN 0 WHEN y <= -20000 THEN 4294967295 WHEN y >= 0 THEN 1000000000000 // s ELSE s END AS e FROM s)
+SELECT p_partkey, z, CAST(1000000000000 // (e + 1000000) AS BIGINT) AS probability_ppm FROM e""")
 def skill_probability(spark, d):
     """Logistic probability of each z from the integer series."""
     from ..functions.fixed import logistic_ppm

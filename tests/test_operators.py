@@ -171,8 +171,11 @@ def test_research(spark):
     assert research.bootstrap(xs) == research.bootstrap(xs) and research.bootstrap(xs)[2] <= research.bootstrap(xs)[1]
     got = research.bootstraps(spark.createDataFrame([(1, xs), (2, [1])], "key int, outcomes array<bigint>")).orderBy("key").collect()
     assert (got[0].mean, got[0].lower) == research.bootstrap(xs)[1:] and got[1].status == "Withheld"
-    ev = spark.createDataFrame([(100, 30, 90, 200_000, 1, 250_000, 0), (100, 30, 90, 200_001, 1, 0, 0), (100, 30, 90, 1, None, 0, 0)], "outcomes int, holdout int, days int, largest_share_ppm int, lower int, brier_ppm int, leaks int")
-    assert [r.promoted for r in research.promotion(ev).collect()] == [True, False, False]
+    ev = spark.createDataFrame([(120, 100, 150_000, False, False, False), (90, 50, 300_000, True, True, True), (120, None, None, None, None, None)], "outcomes int, days int, largest_share_ppm int, as_probability boolean, shadow_live boolean, locked boolean")
+    got = [[(g.gate, g.decision) for g in r.gates] for r in research.promotion(ev).collect()]
+    failed = [{n for n, d in g if d == "Fail"} for g in got]
+    assert [len(g) for g in got] == [12] * 3 and failed[0] == failed[2] == set()
+    assert failed[1] == {"independent_outcomes", "calendar_coverage", "concentration", "calibration", "shadow_live", "locked_holdout"}
     with pytest.raises(Exception, match="twice"):
         research.registered(spark.createDataFrame([("a",), ("a",)], "experiment_id string")).collect()
     plan = research.subscriptions([(f"s{i}", 100) for i in range(25)], connections=2, messages=2000)
@@ -185,9 +188,10 @@ def test_components_and_rules(spark):
     assert got == {**{i: 0 for i in range(31)}, 100: 100, 101: 100}
     with pytest.raises(Exception, match="overfill"):
         ledger.checked(spark.createDataFrame([("overfill",), (None,)], "error string")).collect()
-    rows = spark.createDataFrame([("ClosedFraction", 5), ("Custom", 5)], "kind string, x bigint")
+    rows = spark.createDataFrame([("OriginatorExposureClosed", 5), ("Custom", 5)], "kind string, x bigint")
     c = F.col("x")
-    assert [r[0] for r in rows.select(signals.invalidated(F.col("kind"), c, c, c, c, c, F.lit("Green"), c, F.lit(5))).collect()] == [True, None]
+    got = rows.select(signals.invalidated(F.col("kind"), c, c, c, F.lit(True), F.lit("Green"), F.lit("Green"), c, F.lit(5)).alias("s")).collect()
+    assert [r.s and tuple(r.s) for r in got] == [(True, 0), None]
 
 
 def test_performance_by_hand(spark):
