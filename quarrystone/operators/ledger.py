@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .rolling import fold
+
 ORDER_EDGES = (
     ("none", "Accepted"), ("Accepted", "Rested"), ("Modified", "Rested"), ("Accepted", "Modified"), ("Rested", "Modified"), ("Modified", "Modified"),
     ("PartiallyFilled", "Modified"), ("Accepted", "PartiallyFilled"), ("Rested", "PartiallyFilled"), ("Modified", "PartiallyFilled"),
@@ -104,3 +106,59 @@ def margin(positions: DataFrame, keys: list[str], notional: str, long: str, rate
         F.count(F.lit(1)).alias("positions"), F.sum("_m").alias("cross"), F.greatest(F.coalesce(F.sum(F.when(F.col(long), F.col("_m"))), F.lit(0)), F.coalesce(F.sum(F.when(~F.col(long), F.col("_m"))), F.lit(0))).alias("unified"), F.sum(collateral).alias("collateral")
     )
     return t.withColumn("state", F.when(F.col("cross") == 0, "Safe").when(F.col("collateral") < F.col("cross"), "Below").otherwise("Above"))
+
+
+NONTRADE = "key bigint, ordinal bigint, quantity bigint, state string, close_cause string, error string"
+
+
+class Position:
+    """A position that liquidation fills, backstops and settlements move toward zero.
+
+    ``quantity`` is None once it cannot be known: after a backstop, after a settlement beyond the position or on no
+    position.  Nothing makes an unknown position known again but an anchor.  A refused event changes nothing.
+    """
+
+    def __init__(self, quantity: int | None = 0) -> None:
+        self.quantity = quantity
+        self.facts: set[int] = set()
+
+    def apply(self, kind: str, amount: int, fact: int) -> tuple[str | None, str | None]:
+        """(close cause, error) of one event: Anchor, Trade, LiquidationFill, BackstopLiquidation or PositionSettled."""
+        if fact in self.facts:
+            return None, "identity_collision"
+        q = self.quantity
+        if kind == "Anchor":
+            self.quantity = amount
+        elif kind == "Trade":
+            self.quantity = None if q is None else q + amount
+        elif kind == "BackstopLiquidation":
+            self.quantity = None
+        elif q == 0 and kind == "LiquidationFill":
+            return None, "fill_overrun"
+        elif not q or abs(q) < amount:
+            if q and kind == "LiquidationFill":
+                return None, "fill_overrun"
+            self.quantity = None
+        else:
+            self.quantity = q - amount if q > 0 else q + amount
+        self.facts.add(fact)
+        if kind == "BackstopLiquidation" and q != 0:
+            return "BackstopInterrupted", None
+        if kind in ("LiquidationFill", "PositionSettled") and q and self.quantity == 0:
+            return "Liquidation" if kind == "LiquidationFill" else "Settlement", None
+        return None, None
+
+
+def nontrade_positions(events: DataFrame) -> DataFrame:
+    """Quantity, state and close cause of a position after each of events(key, us, ordinal, kind, amount, fact).
+
+    A key's events are a fold in the order of (us, ordinal): each quantity depends on the sign before it.
+    """
+
+    def step(s: dict, r: dict) -> list[dict]:
+        cause, error = s["p"].apply(r["kind"], int(r["amount"]), int(r["fact"]))
+        q = s["p"].quantity
+        state = "Ambiguous" if q is None else "Flat" if q == 0 else "Open"
+        return [{"key": r["key"], "ordinal": r["ordinal"], "quantity": q, "state": state, "close_cause": cause, "error": error}]
+
+    return fold(events, ["key"], ["us", "ordinal"], NONTRADE, lambda: {"p": Position()}, step)

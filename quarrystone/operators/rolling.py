@@ -70,8 +70,9 @@ def fold(df: DataFrame, keys: list[str], order: list[str], schema: str, start: C
         state, out = start(), []
         for row in pdf.sort_values(order, kind="stable").to_dict("records"):
             out += step(state, row)
-        names = [c.strip().split(" ")[0] for c in schema.split(",")]
-        return pd.DataFrame(out, columns=names)
+        names = {c.strip().split(" ")[0]: c.strip().split(" ")[1] for c in schema.split(",")}
+        frame = pd.DataFrame(out, columns=list(names))
+        return frame.astype({c: "Int64" for c, kind in names.items() if kind in ("bigint", "long")})
 
     return df.groupBy(*keys).applyInPandas(run, schema)
 

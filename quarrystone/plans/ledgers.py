@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import ledger, signals
+from ..streaming import lanes
 from .registry import EV, LI, cents, days, events, lines, query, table
 
 
@@ -199,3 +200,41 @@ def exit_choice(spark, d):
     case = lambda e, i, why: F.struct(F.expr(e).alias("at"), F.lit(i).alias("i"), F.lit(why).alias("why"))
     best = F.array_min(F.array(case("o_orderkey % 97 + 1", 0, "Time"), case("o_orderkey % 89 + 1", 1, "Invalidation"), case("x % 83 + 1", 2, "TakeProfit"), case("x % 79 + 1", 3, "Stop")))
     return o.select("o_orderkey", best.alias("b")).select("o_orderkey", "b.at", "b.why")
+
+
+KINDS = "CASE WHEN event_type = 'signup' THEN 'Trade' WHEN event_type = 'error' THEN 'LiquidationFill' WHEN event_type = 'purchase' AND event_id % 7 = 0 THEN 'BackstopLiquidation' WHEN event_type = 'purchase' THEN 'PositionSettled' WHEN event_id % 5 = 0 THEN 'Anchor' ELSE 'Trade' END"
+
+
+@query(f"""WITH RECURSIVE {EV}, o AS (SELECT user_id AS key, event_id AS ordinal, {KINDS} AS kind, CASE WHEN {KINDS} IN ('Trade', 'Anchor') THEN cents - 5000 ELSE cents END AS amount, row_number() OVER (PARTITION BY user_id ORDER BY us, event_id) AS n FROM ev),
+p AS (SELECT DISTINCT key, CAST(-1 AS BIGINT) AS ordinal, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS q, CAST(NULL AS VARCHAR) AS close_cause, CAST(NULL AS VARCHAR) AS error FROM o UNION ALL
+ SELECT o.key, o.ordinal, o.n,
+  CASE kind WHEN 'Anchor' THEN amount WHEN 'Trade' THEN q + amount WHEN 'BackstopLiquidation' THEN NULL
+   WHEN 'LiquidationFill' THEN CASE WHEN q = 0 OR abs(q) < amount THEN q WHEN q > 0 THEN q - amount ELSE q + amount END
+   ELSE CASE WHEN q = 0 OR abs(q) < amount THEN NULL WHEN q > 0 THEN q - amount ELSE q + amount END END,
+  CASE WHEN kind = 'BackstopLiquidation' AND coalesce(q <> 0, true) THEN 'BackstopInterrupted' WHEN kind = 'LiquidationFill' AND q <> 0 AND abs(q) = amount THEN 'Liquidation' WHEN kind = 'PositionSettled' AND q <> 0 AND abs(q) = amount THEN 'Settlement' END,
+  CASE WHEN kind = 'LiquidationFill' AND (q = 0 OR abs(q) < amount) THEN 'fill_overrun' END
+ FROM p JOIN o ON o.key = p.key AND o.n = p.n + 1)
+SELECT key, ordinal, q AS quantity, CASE WHEN q IS NULL THEN 'Ambiguous' WHEN q = 0 THEN 'Flat' ELSE 'Open' END AS state, close_cause, error FROM p WHERE n > 0""")
+def nontrade_positions(spark, d):
+    """Positions under trades, liquidation fills, backstops, settlements and anchors."""
+    amount = F.when(F.expr(KINDS).isin("Trade", "Anchor"), F.col("cents") - 5000).otherwise(F.col("cents"))
+    ev = events(spark, d).select(F.col("user_id").alias("key"), "us", F.col("event_id").alias("ordinal"), F.expr(KINDS).alias("kind"), amount.alias("amount"), F.col("event_id").alias("fact"))
+    return ledger.nontrade_positions(ev)
+
+
+@query(f"""WITH {EV}, h AS (SELECT event_id, user_id % 10 AS chain, us, event_id * 7919 % 1009 AS height FROM ev), m AS (SELECT *, max(height) OVER (PARTITION BY chain ORDER BY us, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS watermark FROM h)
+SELECT event_id, chain, height, watermark, CASE WHEN watermark IS NULL OR height > watermark THEN 'PublishProvisional' ELSE 'Retained' END AS decision FROM m""")
+def provisional_watermark(spark, d):
+    """Provisional heights: published above the watermark, gaps allowed, else held against what is kept."""
+    ev = events(spark, d).select("event_id", (F.col("user_id") % 10).alias("chain"), "us", F.expr("event_id * 7919 % 1009").alias("height"))
+    return lanes.provisional_watermark(ev, "chain", ["us", "event_id"], "height").drop("us")
+
+
+@query("""WITH p AS (SELECT o_custkey % 7 AS chain, o_orderkey AS height, o_custkey AS digest FROM orders WHERE o_orderkey % 1013 <> 0 OR o_custkey % 7 = 3), i AS (SELECT o_custkey % 7 AS chain, o_orderkey AS height, o_custkey AS digest FROM orders WHERE o_orderkey % 3 <> 0),
+f AS (SELECT chain, min(height) AS failover_height FROM i WHERE (chain, height) NOT IN (SELECT chain, height FROM p) GROUP BY 1)
+SELECT chain, height, digest, 'primary' AS source, failover_height FROM p LEFT JOIN f USING (chain) WHERE failover_height IS NULL OR height < failover_height
+UNION ALL SELECT chain, height, digest, 'independent', failover_height FROM i JOIN f USING (chain) WHERE height >= failover_height""")
+def source_failover(spark, d):
+    """One-way failover of each chain's blocks from the primary to the independent source."""
+    o = table(spark, d, "orders").select((F.col("o_custkey") % 7).alias("chain"), F.col("o_orderkey").alias("height"), F.col("o_custkey").alias("digest"))
+    return lanes.failed_over(o.where("height % 1013 <> 0 or chain = 3"), o.where("height % 3 <> 0"), "chain", "height")

@@ -9,7 +9,7 @@ import json
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -127,6 +127,24 @@ def match_provisional(rows: DataFrame, ttl: int = 60_000) -> DataFrame:
     return rows.groupBy("key").applyInPandasWithState(run, LANE, "state string", "append", GroupStateTimeout.NoTimeout)
 
 
+def provisional_watermark(blocks: DataFrame, chain: str, order: list[str], height: str) -> DataFrame:
+    """``blocks`` plus ``watermark`` (before the row) and ``decision``: a height above every one before it is published,
+    whatever gap it leaves; any other is held against what is kept.  A batch's rows; the running maximum is the state."""
+    before = F.max(height).over(Window.partitionBy(chain).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    fresh = F.coalesce(F.col(height) > F.col("watermark"), F.lit(True))
+    return blocks.withColumn("watermark", before).withColumn("decision", F.when(fresh, "PublishProvisional").otherwise("Retained"))
+
+
+def failed_over(primary: DataFrame, independent: DataFrame, chain: str, height: str) -> DataFrame:
+    """The rows of both sources with one way over: below a chain's failover height the primary's, from it on the
+    independent's.  That height is the first one that the independent source has and the primary lacks."""
+    lacking = independent.join(primary.select(chain, height), [chain, height], "left_anti")
+    at = lacking.groupBy(chain).agg(F.min(height).alias("failover_height"))
+    rows = primary.withColumn("source", F.lit("primary")).unionByName(independent.withColumn("source", F.lit("independent")))
+    before = F.coalesce(F.col(height) < F.col("failover_height"), F.lit(True))
+    return rows.join(at, chain, "left").where(before == (F.col("source") == "primary"))
+
+
 def throughput(events: DataFrame, time: str = "ts", width: str = "1 second", late: str = "10 seconds") -> DataFrame:
     """Windowed counts with a watermark."""
     return events.withWatermark(time, late).groupBy(F.window(time, width)).agg(F.count(F.lit(1)).alias("n")).select("window.start", "n")
