@@ -7,6 +7,7 @@ are not wanted.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -80,6 +81,19 @@ def effective_sample_milli(n, square_dev, lag_products) -> Column:
     return F.when(n == 1, F.lit(1000).cast("bigint")).when(col(square_dev) == 0, n * 1000).otherwise(ess)
 
 
+def order_statistics(df: DataFrame, keys: list[str], value: str, picks: dict[str, Column], least: int = 1) -> DataFrame:
+    """Keys, ``n`` and for each name of ``picks`` the value at a 0-based place (an expression of ``n``) of the key's
+    values in order; keys of fewer than ``least`` values are left out.
+
+    A key's rows are sorted by Spark, which spills, and stream past; nothing holds them in one value.
+    """
+    w = Window.partitionBy(*keys).orderBy(value)
+    sizes = df.groupBy(*[F.col(k).alias(f"_k_{k}") for k in keys]).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys])
+    placed = df.select(*keys, F.col(value).alias("_v"), (F.row_number().over(w) - 1).alias("_at")).join(sizes, same)
+    return placed.groupBy(*keys, "n").agg(*[F.max(F.when(F.col("_at") == at_, F.col("_v"))).alias(name) for name, at_ in picks.items()])
+
+
 def lag_moments(df: DataFrame, key: str, order: list[str], value: str) -> DataFrame:
     """n, total, mean (toward zero), square_dev and lag_products of each key's series in ``order``.
 

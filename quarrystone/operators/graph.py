@@ -26,25 +26,36 @@ def shared_dir(spark) -> str:
 def stored(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/graph-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete the files of stored tables that nothing reads any more."""
+    for t in tables:
+        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t.stored_at)
+        path.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of the edges (a, b): labels spread, then jump to their label's label.
 
-    A round is stored, so lineage stays short and a lost executor costs one round; rounds are about the logarithm
+    A round is stored and the one before deleted, so lineage stays short and a lost executor costs one round; rounds are about the logarithm
     of the longest path.
     """
     both = stored(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")))
     while True:
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("l"))
+        near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("l"))
         step = labels.join(near, "node").select("node", "label", F.least("label", "l").alias("next"))
         up = labels.select(F.col("node").alias("next"), F.col("label").alias("up"))
-        done = stored(step.join(up, "next", "left").select("node", "label", F.least("next", F.coalesce("up", "next")).alias("next")))
-        labels = done.select("node", F.col("next").alias("label"))
-        if done.where("next < label").isEmpty():
-            return labels.withColumnRenamed("label", "component")
+        done = stored(step.join(up, "next", "left").select("node", F.col("label").alias("was"), F.least("next", F.coalesce("up", "next")).alias("label")))
+        dropped(labels)
+        labels = done
+        if labels.where("label < was").isEmpty():
+            dropped(both)
+            return labels.select("node", F.col("label").alias("component"))
 
 
 def soft_merge(families: Column, posterior_ppm: Column, least_families: int = 2, least_ppm: int = 800_000) -> Column:

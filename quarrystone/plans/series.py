@@ -39,9 +39,10 @@ def ewma(spark, d):
 @query(f"""WITH {EV}, s AS (SELECT user_id, event_type, list_sort(list(cents)) AS l FROM ev GROUP BY ALL)
 SELECT user_id, event_type, l[1 + (len(l) - 1) * 900000 // 1000000] AS q90, l[1 + (len(l) - 1) * 10 // 100] AS p10, l[1 + (len(l) - 1) * 50 // 100] AS p50, l[1 + (len(l) - 1) * 99 // 100] AS p99 FROM s""")
 def exact_quantiles(spark, d):
-    s = events(spark, d).groupBy("user_id", "event_type").agg(stats.sorted_list("cents").alias("l"))
-    pct = [stats.percentile_floor("l", p).alias(f"p{p}") for p in (10, 50, 99)]
-    return s.select("user_id", "event_type", stats.quantile_floor("l", 900_000).alias("q90"), *pct)
+    """Exact quantiles by rank: floor((n - 1) q)."""
+    place = lambda num, den: F.expr(f"(n - 1) * {num} div {den}")
+    picks = {"q90": place(900_000, 1_000_000), "p10": place(10, 100), "p50": place(50, 100), "p99": place(99, 100)}
+    return stats.order_statistics(events(spark, d), ["user_id", "event_type"], "cents", picks).drop("n")
 
 
 @query(f"""WITH {LI}, s AS (SELECT l_suppkey, count(*) AS n, CAST(sum(qty * px) AS HUGEINT) AS xy, CAST(sum(qty) AS HUGEINT) AS x, CAST(sum(px) AS HUGEINT) AS y FROM li GROUP BY 1),
@@ -73,12 +74,14 @@ b AS (SELECT *, (dv[(len(dv) - 1) // 2 + 1] + dv[len(dv) // 2 + 1]) // 2 AS mad
 SELECT l_suppkey, lower, upper, med AS median, mad, CAST((CAST(l[len(l)] AS HUGEINT) - med) * 674500 // mad AS BIGINT) AS z_max FROM b WHERE len(l) >= 3 AND mad <> 0""")
 def robust_z(spark, d):
     """Three medians, MAD and the robust z of the largest value, at least three values and a non-zero MAD."""
-    s = lines(spark, d).groupBy("l_suppkey").agg(stats.sorted_list("px").alias("l")).where("size(l) >= 3")
-    s = s.withColumn("median", stats.mean_median("l")).withColumn("mad", stats.mad("l", "median")).where("mad <> 0")
-    return s.select(
-        "l_suppkey", stats.lower_median("l").alias("lower"), stats.upper_median("l").alias("upper"), "median", "mad",
-        stats.robust_z(F.array_max("l"), "median", "mad").alias("z_max"),
-    )
+    li = lines(spark, d).select("l_suppkey", "px")
+    middle = {"lower": F.expr("(n - 1) div 2"), "upper": F.expr("n div 2")}
+    m = stats.order_statistics(li, ["l_suppkey"], "px", middle | {"top": F.expr("n - 1")}, least=3)
+    m = m.select("l_suppkey", "lower", "upper", "top", trunc_div(F.col("lower") + F.col("upper"), F.lit(2)).alias("median"))
+    away = li.join(m.select("l_suppkey", "median"), "l_suppkey").select("l_suppkey", F.abs(F.col("px") - F.col("median")).alias("away"))
+    spread = stats.order_statistics(away, ["l_suppkey"], "away", {"a": F.expr("(n - 1) div 2"), "b": F.expr("n div 2")})
+    spread = spread.select("l_suppkey", trunc_div(F.col("a") + F.col("b"), F.lit(2)).alias("mad")).where("mad <> 0")
+    return m.join(spread, "l_suppkey").select("l_suppkey", "lower", "upper", "median", "mad", stats.robust_z("top", "median", "mad").alias("z_max"))
 
 
 @query(f"""WITH {EV}, o AS (SELECT user_id, cents, lag(cents) OVER (PARTITION BY user_id ORDER BY us, event_id) AS prev FROM ev),
@@ -98,8 +101,9 @@ SELECT user_id, l[1] AS shortest, l[len(l)] AS longest, l[(len(l) - 1) // 2 + 1]
 def holding_time(spark, d):
     w = Window.partitionBy("user_id").orderBy("us", "event_id")
     h = events(spark, d).withColumn("hold", F.col("us") - F.lag("us").over(w)).where("hold is not null")
-    s = h.groupBy("user_id").agg(stats.sorted_list("hold").alias("l"), F.sum("hold").alias("total"))
-    return s.select("user_id", F.array_min("l").alias("shortest"), F.array_max("l").alias("longest"), stats.lower_median("l").alias("median"), "total")
+    total = h.groupBy("user_id").agg(F.min("hold").alias("shortest"), F.max("hold").alias("longest"), F.sum("hold").alias("total"))
+    middle = stats.order_statistics(h, ["user_id"], "hold", {"median": F.expr("(n - 1) div 2")}).drop("n")
+    return total.join(middle, "user_id").select("user_id", "shortest", "longest", "median", "total")
 
 
 @query("""WITH k AS (SELECT DISTINCT o_orderkey AS h FROM orders WHERE o_orderstatus <> 'P')

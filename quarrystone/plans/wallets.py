@@ -108,8 +108,10 @@ def copyability(spark, d):
 SELECT user_id, CAST(list_sum(l[1 : (len(l) + 19) // 20]) AS BIGINT) // ((len(l) + 19) // 20) AS es FROM r WHERE len(l) >= 5""")
 def expected_shortfall(spark, d):
     """Mean of the ceil(n / 20) worst outcomes, five at least."""
-    r = events(spark, d).groupBy("user_id").agg(F.array_sort(F.collect_list(F.col("cents") - 6000)).alias("l")).where("size(l) >= 5")
-    return r.select("user_id", stats.tail_mean("l", trunc_div(F.size("l") + 19, F.lit(20))).alias("es"))
+    x = events(spark, d).select("user_id", (F.col("cents") - 6000).alias("x"))
+    n = x.groupBy("user_id").agg(F.expr("(count(1) + 19) div 20").alias("worst"), F.count(F.lit(1)).alias("n")).where("n >= 5")
+    ranked = x.withColumn("k", F.row_number().over(Window.partitionBy("user_id").orderBy("x"))).join(n, "user_id").where("k <= worst")
+    return ranked.groupBy("user_id", "worst").agg(F.sum("x").alias("s")).select("user_id", trunc_div("s", "worst").alias("es"))
 
 
 @query(f"""WITH {EV}, c AS (SELECT user_id, us, event_id, sum(cents - 6000) OVER (PARTITION BY user_id ORDER BY us, event_id) AS cum FROM ev),
