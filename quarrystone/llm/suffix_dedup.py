@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .minhash import _TABLE, U, mix, power_tables, text_bytes
+from .minhash import _TABLE, U, mix, power_tables, powers, text_bytes
 
 MODULUS = 57
 #: Eight residues whose differences are every residue modulo 57 (fixed values).
@@ -39,19 +39,31 @@ SLICE_BYTES = 1_500_000
 FILTER_BITS = 12
 LEAST_BLOCK, MOST_BLOCK, BLOCKS = 4 << 20, 64 << 20, 2048
 
+#: Base and byte table of the second polynomial.
+_P2 = 0xD6E8FEB86659FD93
+_TABLE2 = mix(_TABLE ^ U(0xA5A5A5A5A5A5A5A5))
+
+
 class Slice:
-    """Consecutive documents of a block: bytes, bounds and names of any substring length."""
+    """Consecutive documents of a block: bytes, bounds and names of any substring length.
+
+    A name mixes two polynomial fingerprints of different bases and byte tables: strings that agree in the low bits of
+    one by their own likeness still differ in the name like any two random numbers.
+    """
 
     def __init__(self, texts: pa.Array) -> None:
         self.data, self.bounds = text_bytes(texts)
         n = len(self.data)
-        up, self.down = power_tables(n + 1)
-        self.total = np.zeros(n + 1, U)
-        np.cumsum(_TABLE[self.data] * up[:n], out=self.total[1:])
+        self.sums = []
+        for table, up, down in ((_TABLE, *power_tables(n + 1)), (_TABLE2, powers(_P2, n + 1), powers(pow(_P2, -1, 1 << 64), n + 1))):
+            total = np.zeros(n + 1, U)
+            np.cumsum(table[self.data] * up[:n], out=total[1:])
+            self.sums.append((total, down))
         self.owner = np.repeat(np.arange(len(self.bounds) - 1), np.diff(self.bounds))
 
     def names(self, at: np.ndarray, length: int) -> np.ndarray:
-        return mix((self.total[at + length] - self.total[at]) * self.down[at])
+        (a, b) = ((total[at + length] - total[at]) * down[at] for total, down in self.sums)
+        return mix(mix(a) + b)
 
     def sampled(self, depth: int) -> np.ndarray:
         """Starts in the cover, counted from the document's start, with ``depth`` bytes left in the document."""
