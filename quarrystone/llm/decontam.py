@@ -17,8 +17,8 @@ from .urlfilter import lower_ascii
 
 #: Everything that is not a word character, as in the word pattern [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+.
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: The pattern of a word: its count needs no lower case.
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: The same in either case: enough to count words.
+NOT_WORD_OR_UPPER = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Benchmarks of at most this many (window, item) rows and bytes of words are broadcast; larger ones are shuffled.
 BROADCAST_WINDOWS, BROADCAST_BYTES = 500_000, 64 << 20
 #: Documents with a hit, or items found in them, whose keys are broadcast (40 bytes each); more are joined by shuffle.
@@ -112,7 +112,7 @@ def decontaminate(
         at = placed if column == "g" else placed.withColumn("own", grams("wh", n))
         at = at.select(*keys, F.lit(length).alias("length"), F.posexplode(column).alias("at", "fp"))
         spans = at if spans is None else spans.unionByName(at)
-    base = docs.select("*", *key, F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long").alias("n_words"))
+    base = docs.select("*", *key, F.size(F.array_remove(F.split(F.coalesce(text, F.lit("")), NOT_WORD_OR_UPPER, -1), "")).cast("long").alias("n_words"))
     if spans is None:
         empty = F.array().cast("array<string>")
         return base.drop(*keys).withColumns({"n_hit": F.lit(0).cast("long"), "n_items": F.lit(0).cast("long"), "items": empty, "contaminated": F.lit(False)})

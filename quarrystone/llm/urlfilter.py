@@ -45,7 +45,8 @@ def pattern_rule(verdict: str, name: str, regex: str, *tokens: str) -> UrlRule:
 
 
 def lower_ascii(c: Column) -> Column:
-    return F.translate(c, UPPER, LOWER)
+    """A-Z lower-cased and nothing else; a text of one byte a character takes the faster way."""
+    return F.when(F.octet_length(c) == F.length(c), F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))
 
 
 def url_parts(url: Column) -> tuple[Column, Column]:
