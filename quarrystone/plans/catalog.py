@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from . import aggregates, graphs, ledgers, markets, relational, series, states, wallets  # noqa: F401
+from . import aggregates, graphs, ledgers, markets, records, relational, series, states, wallets  # noqa: F401
 from .registry import ORACLE_SQL, QUERIES  # noqa: F401

@@ -114,3 +114,25 @@ def test_routing(spark, tmp_path):
     sinks = {"good": str(tmp_path / "g"), "dead": str(tmp_path / "d")}
     lanes.routed(df, "s = 'ok'", sinks)
     assert spark.read.parquet(sinks["good"]).count() == 1 and spark.read.parquet(sinks["dead"]).count() == 2
+
+
+def test_node_records_refuse_other_shapes(spark):
+    from quarrystone.sources import node
+
+    one = lambda text: spark.createDataFrame([(text,)], "value string")
+    event = '{"block_number": 1, "events": [{"time": "t", "hash": "h", "inner": %s}]}'
+    good = ['{"Delegation": {"user": "u", "validator": "v", "amount": "1", "is_undelegate": false}}', '{"LedgerUpdate": {"users": [], "delta": {"VaultDeposit": {}}}}']
+    assert [node.misc_events(one(event % g)).first().kind for g in good] == ["MiscEvent", "MiscEvent"]
+    bad = ['{"Delegation": {"user": "u"}}', '{"New": {}}', '{"CDeposit": {}, "Funding": {}}', '{"LedgerUpdate": {"users": [], "delta": {"Unheard": {}}}}', "{}"]
+    for b in bad:
+        with pytest.raises(Exception):
+            node.misc_events(one(event % b)).collect()
+    with pytest.raises(Exception):
+        node.signed_actions(one('{"abci_block": {"round": 1}, "signed_action_bundles": [{"signed_actions": [{"action": {"type": "unheard"}}]}]}')).collect()
+    with pytest.raises(Exception):
+        node.order_snapshot(spark.createDataFrame([("f", '[["", [[], []]]]')], "file string, value string")).collect()
+    rows = [("trades", '{"block_number": 1, "events": []}'), ("misc_events", event % '{"LedgerUpdate": {"users": [], "delta": {"Liquidation": {}}}}'), ("l4_snapshots", "[]"), ("fills", "{}")]
+    got = node.record_kinds(spark.createDataFrame(rows, "stream string, value string")).collect()
+    assert [r.kind for r in got] == ["EmptyBatch", "Liquidation", "L4Snapshot", "Fill"]
+    with pytest.raises(Exception):
+        node.record_kinds(spark.createDataFrame([("other", "{}")], "stream string, value string")).collect()
