@@ -96,6 +96,8 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.filter_urls(pages, urlfilter.RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+#: One regular expression for all of the method's own patterns.
+METHOD = "|".join([rf"(?:^|[./_-])(?:{urlfilter.WORDS.replace(' ', '|')})(?:[./_-]|$)", rf"/(?:{urlfilter.PIECES.replace(' ', '|')})/", "/feed/rss(?:/|$)"])
 OP4_SQL = r"""
 WITH u AS (
   SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
@@ -114,10 +116,10 @@ WITH u AS (
 SELECT page_id, host, path,
   CASE WHEN r1 THEN 'example.com/en/7' WHEN r2 THEN 'example.net/de/8' WHEN r3 THEN 'com/en/' WHEN r4 THEN 'net/de/' WHEN r5 THEN 'org/es/' END AS rule,
   CASE WHEN r1 THEN 'allow' WHEN r2 THEN 'block' WHEN r3 THEN 'block' WHEN r4 THEN 'allow' WHEN r5 THEN 'block'
-       WHEN regexp_matches(whole, '(?:^|[./-])casino(?:[./-]|$)') OR regexp_matches(whole, '/login/') OR regexp_matches(whole, '/feed/rss(?:/|$)') THEN 'block'
+       WHEN regexp_matches(whole, 'METHOD') THEN 'block'
        ELSE 'allow' END AS verdict
 FROM f
-"""
+""".replace("METHOD", METHOD)
 
 
 def op5_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

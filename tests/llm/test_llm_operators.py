@@ -144,11 +144,35 @@ def test_url_rules(spark):
     }
     rows = [(i, u) for i, u in enumerate([*urls, None])] * 2
     df = spark.createDataFrame(rows, "page_id long, url string").withColumn("host", F.lit(1)).withColumn("rule", F.lit(2))
-    got = urlfilter.filter_urls(df, urlfilter.RULES).collect()
-    assert len(got) == len(rows)
+    kept = urlfilter.MAP_RULES, urlfilter.BROADCAST_RULES
+    for limits in (kept, (0, 10**6), (0, 0)):  # by literal map, by broadcast table, by shuffled table
+        urlfilter.MAP_RULES, urlfilter.BROADCAST_RULES = limits
+        got = urlfilter.filter_urls(df, urlfilter.RULES).collect()
+        assert len(got) == len(rows)
+        for r in got:
+            assert (r.rule, r.verdict) == urls.get(r.url, (None, "allow")), r.url
+        assert urlfilter.filter_urls(df.limit(0), urlfilter.RULES).count() == 0
+    urlfilter.MAP_RULES, urlfilter.BROADCAST_RULES = kept
+    long = spark.createDataFrame([(1, "http://x.org/" + "a/" * 200_000 + "casino/")], "page_id long, url string")
+    assert [r.verdict for r in urlfilter.filter_urls(long, urlfilter.RULES).collect()] == ["block"]
+    assert urlfilter.filter_urls(df, []).where("verdict <> 'allow'").count() == 0
+
+
+def test_many_url_rules(spark):
+    """A list beyond the literal index, against every rule run on every URL."""
+    rng = random.Random(12)
+    names = [f"{rng.choice('abcdef')}{rng.randrange(400)}.{rng.choice(['com', 'net'])}/{rng.choice(['', 'p/', 'p/q'])}" for _ in range(900)]
+    rules = [urlfilter.host_path_rule(rng.choice(["allow", "block"]), n) for n in dict.fromkeys(names)]
+    urls = [f"http://{rng.choice(['', 'www.'])}{rng.choice('abcdef')}{rng.randrange(400)}.{rng.choice(['com', 'net'])}/{rng.choice(['p/q1', 'x', 'p/z'])}" for _ in range(200)]
+    kept, urlfilter.MAP_RULES = urlfilter.MAP_RULES, 100
+    got = urlfilter.filter_urls(spark.createDataFrame([(u,) for u in urls], "url string"), rules).collect()
+    urlfilter.MAP_RULES = kept
+    import re
+
     for r in got:
-        assert (r.rule, r.verdict) == urls.get(r.url, (None, "allow")), r.url
-    assert urlfilter.filter_urls(df.limit(0), urlfilter.RULES).count() == 0
+        fit = [x for x in rules if re.search(x.regex, r.host + r.path)]
+        best = max(fit, key=lambda x: (x.rank, x.rule), default=None)
+        assert (r.rule, r.verdict) == ((best.rule, best.verdict) if best else (None, "allow"))
 
 
 def test_shards(spark):
