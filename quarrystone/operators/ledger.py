@@ -11,12 +11,14 @@ from pyspark.sql import functions as F
 
 from .rolling import fold
 
+#: Fixed values.
 ORDER_EDGES = (
     ("none", "Accepted"), ("Accepted", "Rested"), ("Modified", "Rested"), ("Accepted", "Modified"), ("Rested", "Modified"), ("Modified", "Modified"),
     ("PartiallyFilled", "Modified"), ("Accepted", "PartiallyFilled"), ("Rested", "PartiallyFilled"), ("Modified", "PartiallyFilled"),
     ("PartiallyFilled", "PartiallyFilled"), ("Accepted", "Filled"), ("Rested", "Filled"), ("Modified", "Filled"), ("PartiallyFilled", "Filled"),
     ("Accepted", "Cancelled"), ("Rested", "Cancelled"), ("Modified", "Cancelled"), ("PartiallyFilled", "Cancelled"),
 )
+#: Fixed values.
 SIGNAL_EDGES = (
     ("none", "Candidate"), ("Candidate", "Validated"), ("Candidate", "Invalidated"), ("Candidate", "Expired"), ("Validated", "Live"),
     ("Validated", "Invalidated"), ("Validated", "Expired"), ("Live", "Decaying"), ("Live", "Invalidated"), ("Live", "Expired"),

@@ -173,6 +173,7 @@ def pain_confidence(state: Column) -> Column:
 
 # --- regimes -----------------------------------------------------------------------------------------------------
 
+#: Fixed values.
 REGIMES = ["QuietRange", "VolatileRange", "OrderlyUp", "OrderlyDown", "LeveragedUp", "LeveragedDown", "LiquidityStress", "PostLiquidation"]
 
 
@@ -302,6 +303,7 @@ def cascade(rows: list[dict], shock: int, bound: int, depth: int, part: int, str
     }
 
 
+#: Fixed values.
 SHOCKS = (-500, -300, -200, -100, -50, -25, 25, 50, 100, 200, 300, 500)
 CASCADE = "market long, shock int, bound int, cumulative long, waves int, forced long, absorbed long, vulnerable long, flagged boolean"
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.fixed import PPM, trunc_div, trunc_wide, wide
 from .simulation import splitmix64, trunc
 
+#: Fixed values.
 MODEL_EDGES = (
     ("none", "Registered"), ("Registered", "Validated"), ("Validated", "Shadow"), ("Shadow", "Live"), ("Live", "Retired"), ("Registered", "Rejected"),
     ("Validated", "Rejected"), ("Shadow", "Rejected"),

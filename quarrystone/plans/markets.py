@@ -125,7 +125,7 @@ def regime_classify(spark, d):
     s = table(spark, d, "customer").selectExpr("c_custkey", *STATE.split(", "))
     c = F.col
     w = market.regime_weights(c("vol"), c("trend"), c("oi"), c("liquidity"), c("corr"))
-    p = s.select("c_custkey", market.allocate_array(w).alias("ppm")).withColumn("top", F.array_max("ppm"))
+    p = s.select("c_custkey", w.alias("w")).select("c_custkey", market.allocate_array(F.col("w")).alias("ppm")).withColumn("top", F.array_max("ppm"))
     second = F.get(F.sort_array("ppm", asc=False), F.lit(1))
     names = F.array(*map(F.lit, market.REGIMES))
     return p.select("c_custkey", "ppm", "top", F.get(names, (F.array_position("ppm", F.col("top")) - 1).cast("int")).alias("dominant"), (F.lit(PPM) - (F.col("top") - second)).alias("change"))
