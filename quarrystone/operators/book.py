@@ -5,6 +5,8 @@ One market's diffs are a sequence whose state is the whole book, so the fold run
 
 from __future__ import annotations
 
+import hashlib
+import json
 from heapq import heappop, heappush
 
 import pandas as pd
@@ -142,6 +144,61 @@ class Book:
         return [(p, *self.sides[bids].sizes[p]) for p in sorted(self.sides[bids].sizes, reverse=bids)]
 
 
+class CommittedBook:
+    """A book fed by committed messages with ids: a repeat of the same content changes nothing, another content under a
+    known id is a conflict.  Provisional ids are only remembered, up to a bound."""
+
+    def __init__(self, book: Book | None = None, most_provisional: int = 4096) -> None:
+        self.book, self.most = book or Book(), most_provisional
+        self.done: dict[str, str] = {}
+        self.open: dict[str, str] = {}
+
+    def _known(self, ids: dict[str, str], name: str, digest: str) -> bool:
+        if name in ids and ids[name] != digest:
+            raise ValueError(f"conflict under id {name}")
+        return name in ids
+
+    def commit(self, name: str, sequence: int, kind: str, content: dict | list[dict]) -> None:
+        """Apply a diff, or a Snapshot whose content is a list of orders; a book that turns Red refuses."""
+        digest = content_digest([sequence, kind, content])
+        if not self._known(self.done, name, digest):
+            if kind == "Snapshot":
+                self.book.snapshot(sequence, content)
+            else:
+                self.book.diff(sequence, kind, content)
+        if self.book.health != "Healthy":
+            raise ValueError(f"book is {self.book.health}: {self.book.reason}")
+        self.done[name] = digest
+        self.open.pop(name, None)
+
+    def provisional(self, name: str, digest: str) -> None:
+        if not self._known(self.open, name, digest):
+            if len(self.open) >= self.most:
+                raise ValueError("too many unmatched provisional ids")
+            self.open[name] = digest
+
+
+def content_digest(content) -> str:
+    return hashlib.sha256(json.dumps(content, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
+
+
+def checkpoint(book: Book) -> dict:
+    """The whole state of a healthy book with its digest; orders by id."""
+    if book.health != "Healthy":
+        raise ValueError("only a healthy book has a checkpoint")
+    state = {"sequence": book.sequence, "most": book.most, "orders": [book.orders[k] for k in sorted(book.orders)]}
+    return state | {"digest": content_digest(state)}
+
+
+def restored(state: dict) -> Book:
+    """The book of a checkpoint; a digest that does not match its state raises."""
+    book = Book(state["most"])
+    book.snapshot(state["sequence"], state["orders"])
+    if checkpoint(book)["digest"] != state["digest"]:
+        raise ValueError("the checkpoint's digest does not match its state")
+    return book
+
+
 def exact_div(a: int, b: int) -> int:
     if b == 0 or a % b:
         raise ArithmeticError("not exact")

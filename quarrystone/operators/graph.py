@@ -88,3 +88,14 @@ def relations(matches: DataFrame, leaders: DataFrame, pair: list[str], fast: int
     controlled = (F.col("similar") > 0) & (F.col("small") * 2 < F.col("similar"))
     lag = upper_median("lags")
     return t.select(*pair, "n", "similar", p.alias("probability_ppm"), lag.alias("median_lag"), relation_class(p, F.col("n"), F.col("similar"), F.col("contrarian"), controlled, lag, fast).alias("class"))
+
+
+def emitted_links(subaccounts: DataFrame, vaults: DataFrame, block_times: DataFrame) -> DataFrame:
+    """Certain links (a, b, kind, posterior_ppm, effective_at) from reconstructed state: subaccounts(master, subaccount,
+    first_height) and vaults(account, vault, first_height), dated by block_times(height, time).  A height without a time
+    raises."""
+    rows = subaccounts.select(F.col("master").alias("a"), F.col("subaccount").alias("b"), F.lit("ProtocolSubaccount").alias("kind"), "first_height")
+    rows = rows.unionByName(vaults.select(F.col("account").alias("a"), F.col("vault").alias("b"), F.lit("ProtocolVaultMembership").alias("kind"), "first_height"))
+    timed = rows.join(block_times, rows["first_height"] == block_times["height"], "left")
+    known = F.when(F.col("time").isNotNull(), F.col("time")).otherwise(F.raise_error(F.concat(F.lit("no time for height "), F.col("first_height").cast("string"))).cast("bigint"))
+    return timed.select("a", "b", "kind", F.lit(1_000_000).alias("posterior_ppm"), known.alias("effective_at"))

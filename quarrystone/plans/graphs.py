@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.fixed import product_ppm, trunc_div
 from ..operators import bitemporal as bt
 from ..operators import graph
-from .registry import EV, LI, events, lines, query, table
+from .registry import EV, LI, events, lines, micros, query, table
 
 
 @query("""WITH RECURSIVE e AS (SELECT c_custkey AS a, c_custkey + 7 AS b FROM customer WHERE c_mktsegment <> 'BUILDING' AND c_custkey + 7 IN (SELECT c_custkey FROM customer)),
@@ -75,3 +75,24 @@ def invalid_links(spark, d):
     """Links that break a rule: self-loops, hard links without certainty."""
     t = table(spark, d, "orders").selectExpr("o_orderkey", "o_custkey % 2 AS hard", "o_orderkey * 31 % 1000001 AS p", "o_custkey", "o_orderkey % 1500 AS other")
     return t.where((F.col("o_custkey") == F.col("other")) | ((F.col("hard") == 1) & (F.col("p") < 500_000))).select("o_orderkey")
+
+
+@query("""SELECT o_custkey AS account, o_orderkey % 11 AS validator, min(o_orderkey) AS first_height, max(o_orderkey) AS last_height, CAST(sum(CASE WHEN o_orderkey % 4 = 0 THEN -1 ELSE 2 END) AS BIGINT) AS amount FROM orders GROUP BY ALL""")
+def delegation_ranges(spark, d):
+    """First and last height and standing amount of each account's delegation to a validator."""
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("account"), (F.col("o_orderkey") % 11).alias("validator"), F.col("o_orderkey").alias("height"))
+    amount = F.sum(F.when(F.col("height") % 4 == 0, -1).otherwise(2))
+    return o.groupBy("account", "validator").agg(F.min("height").alias("first_height"), F.max("height").alias("last_height"), amount.alias("amount"))
+
+
+@query("""WITH t AS (SELECT o_orderkey AS height, epoch_us(o_orderdate) AS time FROM orders), s AS (SELECT c_custkey AS a, c_custkey + 1000000 AS b, min(o_orderkey) AS h FROM customer JOIN orders ON o_custkey = c_custkey WHERE c_custkey % 3 = 0 GROUP BY 1, 2),
+v AS (SELECT c_custkey AS a, -c_nationkey - 1 AS b, max(o_orderkey) AS h FROM customer JOIN orders ON o_custkey = c_custkey WHERE c_custkey % 5 = 0 GROUP BY 1, 2)
+SELECT a, b, 'ProtocolSubaccount' AS kind, 1000000 AS posterior_ppm, time AS effective_at FROM s JOIN t ON h = height UNION ALL SELECT a, b, 'ProtocolVaultMembership', 1000000, time FROM v JOIN t ON h = height""")
+def emitted_links(spark, d):
+    """Links that state proves: subaccounts and vault memberships, dated by their first block."""
+    o = table(spark, d, "orders")
+    first = o.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.min("o_orderkey").alias("lo"), F.max("o_orderkey").alias("hi"))
+    c = table(spark, d, "customer").join(first, "c_custkey")
+    sub = c.where("c_custkey % 3 = 0").selectExpr("c_custkey AS master", "c_custkey + 1000000 AS subaccount", "lo AS first_height")
+    vault = c.where("c_custkey % 5 = 0").selectExpr("c_custkey AS account", "cast(-c_nationkey - 1 as bigint) AS vault", "hi AS first_height")
+    return graph.emitted_links(sub, vault, o.select(F.col("o_orderkey").alias("height"), micros("o_orderdate").alias("time")))

@@ -72,14 +72,20 @@ def verify(spark: SparkSession, manifests: DataFrame, path: str) -> DataFrame:
     return both.withColumn("state", state).where("state is not null").select("path", "state")
 
 
-def compact(spark: SparkSession, paths: list[str], into: str, height: str = "block_height") -> str:
-    """Rewrite two or more objects as one sorted object of a new generation; the old ones stay until collected."""
+def compact(spark: SparkSession, paths: list[str], into: str, height: str = "block_height", target_bytes: int = 512 << 20) -> str:
+    """Rewrite two or more objects as a new generation of sorted objects of about ``target_bytes``, ranges of heights that
+    do not overlap; the old ones stay until collected."""
     if len(paths) < 2:
         raise ValueError("compaction takes two objects or more")
     name = hashlib.sha256("|".join(sorted(paths)).encode()).hexdigest()[:16]
     out = f"{into.rstrip('/')}/generation-{name}"
     if not _exists(spark, out):
-        spark.read.parquet(*paths).coalesce(1).sortWithinPartitions(height).write.option("compression", "zstd").parquet(out)
+        hadoop = spark._jsparkSession.sessionState().newHadoopConf()
+        objects = [spark._jvm.org.apache.hadoop.fs.Path(x) for x in paths]
+        parts = max(1, -(-sum(x.getFileSystem(hadoop).getContentSummary(x).getLength() for x in objects) // target_bytes))
+        rows = spark.read.parquet(*paths)
+        rows = rows.coalesce(1) if parts == 1 else rows.repartitionByRange(parts, height)
+        rows.sortWithinPartitions(height).write.option("compression", "zstd").parquet(out)
     return out
 
 
@@ -89,7 +95,11 @@ def garbage(present: DataFrame, reachable: DataFrame) -> DataFrame:
 
 
 def retention_digest(plan: DataFrame) -> str:
-    return plan.agg(F.sha2(F.array_join(F.array_sort(F.collect_list("path")), "\n"), 256)).first()[0]
+    """A digest of the set of paths that does not depend on their order and sums up before it meets in one place."""
+    h = F.sha2("path", 256)
+    parts = [F.conv(F.substring(h, 1 + 15 * i, 15), 16, 10).cast("bigint") for i in range(4)]
+    sums = plan.select("path").distinct().agg(F.count(F.lit(1)).alias("n"), *[F.bit_xor(x).alias(f"x{i}") for i, x in enumerate(parts)], *[F.sum(x.cast("decimal(38,0)")).alias(f"s{i}") for i, x in enumerate(parts)])
+    return hashlib.sha256("|".join(str(v) for v in sums.first()).encode()).hexdigest()
 
 
 def authorised(plan: DataFrame, digest: str) -> DataFrame:
@@ -99,6 +109,47 @@ def authorised(plan: DataFrame, digest: str) -> DataFrame:
     return plan
 
 
+def apply_retention(plan: DataFrame, reachable: DataFrame, digest: str) -> int:
+    """Delete the files of an authorised plan; a plan with a file that a manifest reaches deletes nothing.
+
+    Paths stream through the driver; a second run after a failure finishes the first.
+    """
+    if not authorised(plan, digest).join(reachable.select("path"), "path", "left_semi").isEmpty():
+        raise ValueError("the plan holds a reachable object")
+    spark, n = plan.sparkSession, 0
+    hadoop = spark._jsparkSession.sessionState().newHadoopConf()
+    for r in plan.select("path").distinct().toLocalIterator():
+        path = spark._jvm.org.apache.hadoop.fs.Path(r["path"])
+        n += path.getFileSystem(hadoop).delete(path, False)
+    return n
+
+
+def read_cursors(spark: SparkSession, path: str, source: str, first: tuple[int, int], last: tuple[int, int]) -> DataFrame:
+    """Raw observations of a source from cursor ``first`` to ``last``, both (epoch, offset) and inclusive, in order.
+
+    The bounds reach the scan; an offset missing inside an epoch raises.
+    """
+    c = F.struct("cursor_epoch", "cursor_offset")
+    at = lambda x: F.struct(F.lit(x[0]).cast("bigint").alias("cursor_epoch"), F.lit(x[1]).cast("bigint").alias("cursor_offset"))
+    rows = spark.read.parquet(path).where((F.col("source_id") == source) & F.col("cursor_epoch").between(first[0], last[0]))
+    rows = rows.where((c >= at(first)) & (c <= at(last)))
+    holes = rows.groupBy("cursor_epoch").agg((F.max("cursor_offset") - F.min("cursor_offset") + 1 - F.countDistinct("cursor_offset")).alias("holes"))
+    if not holes.where("holes > 0").isEmpty():
+        raise ValueError("cursors are missing from the range")
+    return rows.orderBy("cursor_epoch", "cursor_offset")
+
+
+def receipt_hint(hints: DataFrame, digest: str) -> tuple[int, int]:
+    """First and last record sequence that hints(first_digest, last_digest, digest, first, last) name for a digest.
+
+    Only the page whose digest range holds it is read; a digest without one means that the index must be rebuilt.
+    """
+    hit = hints.where((F.col("first_digest") <= digest) & (F.col("last_digest") >= digest) & (F.col("digest") == digest)).select("first", "last").limit(2).collect()
+    if len(hit) != 1:
+        raise LookupError("the receipt index must be rebuilt")
+    return hit[0]["first"], hit[0]["last"]
+
+
 def append_raw(batch: DataFrame, path: str) -> int:
     """Append raw observations: one source, gapless cursors that go on where the store ends."""
     spark = batch.sparkSession

@@ -124,6 +124,31 @@ def test_book_levels_follow_the_orders():
             assert sum(q for _, q, _ in b.levels(bids)) == sum(o["remaining"] for o in want.values() if o["bid"] == bids)
 
 
+def test_committed_book_and_checkpoints():
+    order = {"order_id": "b1", "bid": True, "price": 99, "remaining": 5, "time": 1}
+    c = book.CommittedBook(most_provisional=1)
+    c.commit("s", 1, "Snapshot", [order])
+    c.commit("d", 2, "Fill", {"order_id": "b1", "quantity": 2})
+    c.commit("d", 2, "Fill", {"order_id": "b1", "quantity": 2})  # a repeat changes nothing
+    assert c.book.orders["b1"]["remaining"] == 3
+    with pytest.raises(ValueError, match="conflict"):
+        c.commit("d", 2, "Fill", {"order_id": "b1", "quantity": 1})
+    c.provisional("p", "x")
+    c.provisional("p", "x")
+    with pytest.raises(ValueError, match="conflict"):
+        c.provisional("p", "y")
+    with pytest.raises(ValueError, match="too many"):
+        c.provisional("q", "x")
+    state = book.checkpoint(c.book)
+    assert book.restored(state).orders == c.book.orders and book.checkpoint(book.restored(state)) == state
+    with pytest.raises(ValueError, match="digest"):
+        book.restored(state | {"sequence": 9})
+    with pytest.raises(ValueError, match="Red"):
+        c.commit("gap", 9, "Cancel", {"order_id": "b1"})
+    with pytest.raises(ValueError):
+        book.checkpoint(c.book)
+
+
 def test_book_replay(spark):
     rows = [("m", 0, 1, "Snapshot", "b", True, 10, 5, None, 0), ("m", 0, 1, "Snapshot", "a", False, 12, 5, None, 0), ("m", 1, 2, "Fill", "a", None, None, None, 2, None), ("m", 2, 4, "Cancel", "a", None, None, None, None, None)]
     df = spark.createDataFrame(rows, "market string, ordinal bigint, sequence bigint, kind string, order_id string, bid boolean, price bigint, remaining bigint, quantity bigint, time bigint")

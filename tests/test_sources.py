@@ -136,3 +136,35 @@ def test_node_records_refuse_other_shapes(spark):
     assert [r.kind for r in got] == ["EmptyBatch", "Liquidation", "L4Snapshot", "Fill"]
     with pytest.raises(Exception):
         node.record_kinds(spark.createDataFrame([("other", "{}")], "stream string, value string")).collect()
+
+
+def test_cursor_ranges_hints_and_retention(spark, tmp_path):
+    from quarrystone.sources import archive
+
+    raw = spark.createDataFrame([("s", e, o, f"{e}/{o}") for e in (1, 2) for o in range(10)] + [("t", 1, 5, "x")], "source_id string, cursor_epoch bigint, cursor_offset bigint, payload string")
+    raw.write.parquet(str(tmp_path / "raw"))
+    got = archive.read_cursors(spark, str(tmp_path / "raw"), "s", (1, 8), (2, 1)).collect()
+    assert [r.payload for r in got] == ["1/8", "1/9", "2/0", "2/1"]
+    raw.where("cursor_offset <> 4").write.parquet(str(tmp_path / "holes"))
+    with pytest.raises(ValueError):
+        archive.read_cursors(spark, str(tmp_path / "holes"), "s", (1, 0), (1, 9))
+    hints = spark.createDataFrame([("a", "m", "c", 1, 5), ("n", "z", "q", 6, 9)], "first_digest string, last_digest string, digest string, first long, last long")
+    assert archive.receipt_hint(hints, "q") == (6, 9)
+    with pytest.raises(LookupError):
+        archive.receipt_hint(hints, "d")
+    files = sorted(str(p) for p in (tmp_path / "raw").glob("*.parquet"))
+    plan = spark.createDataFrame([(f,) for f in files], "path string")
+    digest = archive.retention_digest(plan.orderBy(F.col("path").desc()))
+    assert digest == archive.retention_digest(plan) != archive.retention_digest(plan.limit(0))
+    none = plan.limit(0)
+    with pytest.raises(ValueError):
+        archive.apply_retention(plan, plan, digest)
+    with pytest.raises(ValueError):
+        archive.apply_retention(plan, none, "other")
+    assert archive.apply_retention(plan, none, digest) == len(files) and not list((tmp_path / "raw").glob("*.parquet"))
+    parts = []
+    for i in range(3):
+        spark.range(i * 10, i * 10 + 10).withColumnRenamed("id", "block_height").write.parquet(str(tmp_path / f"g{i}"))
+        parts.append(str(tmp_path / f"g{i}"))
+    out = archive.compact(spark, parts, str(tmp_path / "all"), target_bytes=1000)
+    assert spark.read.parquet(out).count() == 30
