@@ -17,6 +17,8 @@ from .quality import slices
 BROADCAST_NODES = 250_000
 #: Buckets up to this size are compared in full where they still hold several components.
 SMALL_BUCKET = 32
+#: Members that a shingle of exact rank in the rare-shingle join may have.
+COMMON = 64
 #: Links between components that one task may join.
 BRIDGES = 100_000
 #: Entries of one shingle that one task of the rare-shingle join holds against the others.
@@ -219,21 +221,25 @@ def sizes_fit(x: str, y: str, least: float) -> Column:
 def rare_pairs(members: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """Pairs (a, b) of members(nid, label) of different labels that can have similarity ``least``: none is left out.
 
-    Shingles are ordered by how many members hold them.  Of two similar sets, the first shingle in common is among
-    the n - ceil(least n) + 1 rarest of both (prefix filter), and what follows it in each is as long as the overlap
-    that they need (positional filter).  Only members outside a shingle's largest label look for partners, and the
-    partners are dealt in blocks, so neither a linked group nor a hot shingle makes one long task.
+    Shingles are ordered by how many members hold them; those of more than COMMON members come last, in the order of
+    their hashes.  Of two similar sets, the first shingle in common is among the n - ceil(least n) + 1 first of both
+    (prefix filter, right for any one order), and what follows it in each is as long as the overlap that they need
+    (positional filter).  Only members outside a shingle's largest label look for partners, and the partners are dealt
+    in blocks, so neither a linked group nor a hot shingle makes one long task.
     """
-    held = members.join(sets, "nid")
-    held = written(held.select("nid", "label", F.size("sets").alias("n"), F.explode("sets").alias("h")), "shingles")
-    often = held.groupBy("h").agg(F.count(F.lit(1)).alias("often"))
-    ordered = held.join(often, "h").groupBy("nid", "label", "n").agg(F.sort_array(F.collect_list(F.struct("often", "h"))).alias("all"))
+    whole = members.join(sets, "nid")
+    held = written(whole.select("nid", F.explode("sets").alias("h")), "shingles")
+    often = held.groupBy("h").agg(F.count(F.lit(1)).alias("often")).where(F.col("often") <= COMMON)
+    rare = held.join(often, "h").groupBy("nid").agg(F.sort_array(F.collect_list(F.struct("often", "h"))).alias("rare"))
+    rare = whole.join(rare, "nid", "left").withColumn("rare", F.coalesce("rare", F.array().cast("array<struct<often: bigint, h: bigint>>")))
+    common = F.transform(F.sort_array(F.array_except("sets", F.transform("rare", lambda e: e["h"]))), lambda h: F.struct(F.lit(COMMON + 1).cast("bigint").alias("often"), h.alias("h")))
+    ordered = rare.select("nid", "label", F.size("sets").alias("n"), F.concat("rare", common).alias("all"))
     prefix = F.expr(f"slice(all, 1, cast(n - ceil({least!r}D * n - 1e-6D) + 1 AS INT))")
     entries = ordered.select("nid", "label", "n", F.posexplode(prefix).alias("at", "e")).where("e.often > 1")
     entries = written(entries.select(F.col("e.h").alias("h"), "nid", "label", "n", (F.col("n") - F.col("at")).alias("rest")), "entries")
     groups = entries.groupBy("h", "label").agg(F.count(F.lit(1)).alias("m"))
     groups = groups.groupBy("h").agg(F.sum("m").alias("m"), F.max(F.struct("m", "label")).alias("top"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    groups = groups.select("h", F.col("top.label").alias("top"), F.ceil(F.col("m") / SHINGLE_BLOCK).cast("int").alias("blocks"))
+    groups = written(groups.select("h", F.col("top.label").alias("top"), F.ceil(F.col("m") / SHINGLE_BLOCK).cast("int").alias("blocks")), "groups")
     # stored, so that the join by shingle is between plain rows and Spark can split a hot one
     ours = written(entries.join(groups, "h"), "entries")
     left = ours.where("label <> top").select("h", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.struct("nid", "label", "n", "rest").alias("x"))
@@ -241,7 +247,7 @@ def rare_pairs(members: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     fits = F.least("x.rest", "y.rest") >= least / (1 + least) * (F.col("x.n") + F.col("y.n")) - 1e-6
     met = left.join(right, (left["h"] == right["h"]) & (left["block"] == right["block"]) & (F.col("x.label") != F.col("y.label")) & fits)
     out = written(met.select(F.least("x.nid", "y.nid").alias("a"), F.greatest("x.nid", "y.nid").alias("b")).distinct(), "pairs")
-    dropped(held, entries, ours)
+    dropped(held, entries, groups, ours)
     return out
 
 
