@@ -94,6 +94,25 @@ def order_statistics(df: DataFrame, keys: list[str], value: str, picks: dict[str
     return placed.groupBy(*keys, "n").agg(*[F.max(F.when(F.col("_at") == at_, F.col("_v"))).alias(name) for name, at_ in picks.items()])
 
 
+def shares_upto(df: DataFrame, keys: list[str], value: str, out: str, rows: int = 4096) -> DataFrame:
+    """``df`` plus the share, in ppm, of the key's rows whose value is not larger.
+
+    Values are cut into buckets of equal width, about ``rows`` rows each if they were spread evenly; only bucket counts
+    of a key meet in one place.
+    """
+    lo, hi, n = df.agg(F.min(value), F.max(value), F.count(F.lit(1))).first()
+    width = max(1, ((hi or 0) - (lo or 0)) * rows // max(n, 1))
+    df = df.withColumn("_b", F.floor((F.col(value) - F.lit(lo or 0)) / width))
+    local = Window.partitionBy(*keys, "_b").orderBy(value).rangeBetween(Window.unboundedPreceding, 0)
+    whole = Window.partitionBy(*keys)
+    counts = df.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_c"))
+    before = F.coalesce(F.sum("_c").over(whole.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_b").alias("_at"), before.alias("_before"), F.sum("_c").over(whole).alias("_n"))
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]) & F.col("_b").eqNullSafe(F.col("_at"))
+    placed = df.withColumn("_upto", F.count(F.lit(1)).over(local)).join(counts, same)
+    return placed.withColumn(out, trunc_div((F.col("_before") + F.col("_upto")) * PPM, "_n")).drop("_b", "_at", "_upto", "_before", "_n", *[f"_k_{k}" for k in keys])
+
+
 def lag_moments(df: DataFrame, key: str, order: list[str], value: str) -> DataFrame:
     """n, total, mean (toward zero), square_dev and lag_products of each key's series in ``order``.
 

@@ -309,23 +309,25 @@ CASCADE = "market long, shock int, bound int, cumulative long, waves int, forced
 
 
 def fragility(accounts: DataFrame, depth: int, part: int, stress: int) -> DataFrame:
-    """All shocks and bounds of every market; accounts(market, account, side, notional, distance, band, collateral).
+    """All shocks and bounds of every market; accounts(market, side, notional, distance, band, collateral).
 
-    A wave needs all accounts of its market at once, so a market is one row: its accounts in order, as arrays.
+    A wave only sums notionals, so accounts that are alike in all else are added up first and a market's histogram, not
+    its accounts, is walked; each market and shock is a row of its own.
     """
-    fields = ["account", "side", "notional", "distance", "band", "collateral"]
-    rows = accounts.groupBy("market").agg(F.array_sort(F.collect_list(F.struct(*[F.col(c).cast("bigint").alias(c) for c in fields]))).alias("accounts"))
+    fields = ["side", "distance", "band", "collateral", "notional"]
+    like = [F.col(c).cast("bigint").alias(c) for c in ("side", "distance", "band")] + [(F.coalesce("collateral", F.lit(0)) != 0).cast("bigint").alias("collateral")]
+    alike = accounts.groupBy("market", *like).agg(F.sum(F.col("notional").cast("bigint")).alias("notional"))
+    rows = alike.groupBy("market").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("held"))
+    rows = rows.withColumn("shock", F.explode(F.array(*map(F.lit, SHOCKS)))).repartition("market", "shock")
 
     def run(pdfs):
         import pandas as pd
 
         for pdf in pdfs:
             out = []
-            for key, held in zip(pdf["market"], pdf["accounts"]):
+            for key, shock, held in zip(pdf["market"], pdf["shock"], pdf["held"]):
                 own = [{c: int(r[c]) for c in fields} for r in held]
-                for shock in SHOCKS:
-                    for bound in (-1, 0, 1):
-                        out.append({"market": key, "shock": shock, "bound": bound, **cascade(own, shock, bound, depth, part, stress)})
+                out += [{"market": key, "shock": shock, "bound": bound, **cascade(own, int(shock), bound, depth, part, stress)} for bound in (-1, 0, 1)]
             yield pd.DataFrame(out, columns=[c.split(" ")[0] for c in CASCADE.split(", ")])
 
     return rows.mapInPandas(run, CASCADE)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import stats
 from ..functions.fixed import PPM, scale_ppm, trunc_div, trunc_wide
 from ..operators import market
 from .registry import EV, LI, cents, events, lines, query, table
@@ -216,6 +217,4 @@ SELECT c_nationkey, c_custkey, CAST(count(*) OVER (PARTITION BY c_nationkey ORDE
 def whale_percentile(spark, d):
     """Share of the market's members at or below each member's equity."""
     m = table(spark, d, "customer").select("c_nationkey", "c_custkey", cents("c_acctbal").alias("bal"))
-    w = Window.partitionBy("c_nationkey")
-    upto = F.count(F.lit(1)).over(w.orderBy("bal").rangeBetween(Window.unboundedPreceding, 0))
-    return m.select("c_nationkey", "c_custkey", trunc_div(upto * PPM, F.count(F.lit(1)).over(w)).alias("percentile_ppm"))
+    return stats.shares_upto(m, ["c_nationkey"], "bal", "percentile_ppm").drop("bal")
