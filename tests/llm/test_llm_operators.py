@@ -96,6 +96,23 @@ def test_chat_round_trip(spark):
     assert chat.format_chats(df.limit(0)).count() == 0
 
 
+def test_very_long_texts(spark):
+    """One text of some megabytes through the operators that do not have such a test of their own."""
+    rng = random.Random(17)
+    long = prose(rng, 400_000, 30_000) + " [INST] ~ é"
+    turns = spark.createDataFrame([(1, 0, "user", "short"), (1, 1, "assistant", long)], "conv_id long, turn long, role string, text string")
+    (chat_row,) = chat.format_chats(turns).withColumn("back", chat.read_back(F.col("formatted"))).collect()
+    assert [t.text for t in chat_row.back] == ["short", long] and [s.text for s in chat_row.segments if s.loss] == [long.replace("~", "~0").replace("[INST]", "~1INST]")]
+    docs = docs_of(spark, [long, "x", None])
+    sizes = {r.doc_id: (r.size, r.text_crc32) for r in sharding.interleaved_shards(docs).collect()}
+    assert sizes[0] == (len(long.encode()) + 8, zlib.crc32(long.encode()))
+    scores = quality.score_quality(docs, quality.fit_quality(docs, spark.createDataFrame([(0, 1, 0), (1, 0, 0), (2, 0, 0)], "doc_id long, quality int, toxic int"))).collect()
+    assert len(scores) == 3 and all(0 <= r.score <= 1 for r in scores)
+    key = hashlib.sha1(b"long").hexdigest()
+    found = secret_scan.scan(docs_of(spark, [long + f' token = "{key}" end'])).first().findings
+    assert [(f.start, f.candidate) for f in found if f.is_secret] == [(len(long) + 10, key)]
+
+
 def test_chat_machine(spark):
     talks = {1: "sua", 2: "uau", 3: "a", 4: "uu", 5: "usa"}
     names = {"s": "system", "u": "user", "a": "assistant"}
