@@ -132,7 +132,25 @@ def regime_classify(spark, d):
     return p.select("c_custkey", "ppm", "top", F.get(names, (F.array_position("ppm", F.col("top")) - 1).cast("int")).alias("dominant"), (F.lit(PPM) - (F.col("top") - second)).alias("change"))
 
 
-@query(None)
+def _shares_sql(w: str) -> str:
+    """DuckDB: a list of eight weights to largest-remainder shares of 1,000,000."""
+    t, rest = f"CAST(list_sum({w}) AS BIGINT)", lambda i: f"({w}[{i}] * 1000000 % CAST(list_sum({w}) AS BIGINT))"
+    ahead = f"list_sum(list_transform([1, 2, 3, 4, 5, 6, 7, 8], lambda j: CASE WHEN {rest('j')} > {rest('i')} OR ({rest('j')} = {rest('i')} AND j < i) THEN 1 ELSE 0 END))"
+    left = f"1000000 - list_sum(list_transform({w}, lambda x: x * 1000000 // {t}))"
+    return f"list_transform([1, 2, 3, 4, 5, 6, 7, 8], lambda i: CAST({w}[i] * 1000000 // {t} + CASE WHEN {ahead} < {left} THEN 1 ELSE 0 END AS BIGINT))"
+
+
+@query(f"""WITH RECURSIVE {EV}, s AS (SELECT user_id AS key, us // 3600000000 * 100000000 AS known, event_id AS ordinal, event_type <> 'error' AS ok, cents * 37 % 2500 AS vol, cents * 91 % 1200 - 600 AS trend, cents * 53 % 1600 AS oi, cents * 7919 % 1000000 AS liquidity, cents * 104729 % 1000000 AS corr FROM ev),
+w AS (SELECT key, known, ordinal, ok, CASE WHEN ok THEN [CASE WHEN vol <= 400 AND abs(trend) < 250 THEN 40 ELSE 1 END, CASE WHEN vol >= 1800 AND abs(trend) < 400 AND liquidity < 400000 THEN 35 ELSE 1 END,
+ CASE WHEN trend > 250 AND oi < 800 THEN 30 ELSE 1 END, CASE WHEN trend < -250 AND oi < 800 THEN 30 ELSE 1 END, CASE WHEN trend > 250 AND oi >= 800 THEN 35 ELSE 1 END, CASE WHEN trend < -250 AND oi >= 800 THEN 35 ELSE 1 END,
+ CASE WHEN liquidity < 250000 OR corr > 700000 THEN 45 ELSE 1 END, CASE WHEN liquidity >= 500000 THEN 40 ELSE 1 END]::BIGINT[] ELSE [1, 1, 1, 1, 1, 1, 1, 1]::BIGINT[] END AS w FROM s),
+o AS (SELECT key, known, ordinal, ok, {_shares_sql('w')} AS own, row_number() OVER (PARTITION BY key ORDER BY known, ordinal) AS n FROM w),
+p AS (SELECT key, known, ordinal, ok, n, own AS ppm FROM o WHERE n = 1 UNION ALL
+ SELECT key, known, ordinal, ok, n, CASE WHEN boosted THEN {_shares_sql('up')} ELSE own END FROM (
+  SELECT o.key, o.known, o.ordinal, o.ok, o.n, o.own, o.ok AND o.known - p.known < 300000000 AS boosted,
+   list_transform(o.own, lambda x, i: CASE WHEN i = list_position(p.ppm, list_max(p.ppm)) THEN x + p.ppm[i] + 200000 ELSE x END) AS up FROM p JOIN o ON o.key = p.key AND o.n = p.n + 1))
+SELECT key, ordinal, ppm, CASE WHEN ok THEN ['QuietRange','VolatileRange','OrderlyUp','OrderlyDown','LeveragedUp','LeveragedDown','LiquidityStress','PostLiquidation'][list_position(ppm, list_max(ppm))] ELSE 'Unsupported' END AS dominant,
+CAST(CASE WHEN ok THEN 1000000 - (list_max(ppm) - list_sort(ppm, 'DESC')[2]) ELSE 1000000 END AS BIGINT) AS change FROM p""")
 def regime_path(spark, d):
     """Regimes of each user over its events, with the dwell boost of the state before."""
     c, x = F.col, F.col("cents")
