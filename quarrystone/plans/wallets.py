@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import stats
 from ..functions.fixed import PPM, trunc_div
-from ..operators import market, rolling, wallet
+from ..operators import market, wallet
 from .registry import EV, LI, cents, days, events, lines, query, table
 
 
