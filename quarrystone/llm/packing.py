@@ -18,9 +18,9 @@ from pyspark.sql import functions as F
 from .common import bucket_count, ranked, written
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
-SLICE_BYTES = 1_000_000
+SLICE_BYTES = 2_000_000
 #: Distinct chunks whose ids a task remembers.
-CACHE_CHUNKS = 100_000
+CACHE_CHUNKS = 300_000
 #: The shape of tokenizer that allows the chunk vocabulary (fixed values of the tokenizer file).
 WORD_NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
 WORD_SPLIT = {
