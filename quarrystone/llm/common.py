@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -43,6 +45,15 @@ def dropped(*tables: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def release_memory() -> None:
+    """Give a worker's freed memory back at a task's end: workers outlive their tasks and share an executor."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def bucket_count(rows: int, per_bucket: int = 128, most: int = 65536) -> int:
     return max(1, min(most, -(-rows // per_bucket)))
 

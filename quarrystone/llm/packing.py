@@ -15,12 +15,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket_count, ranked, written
+from .common import bucket_count, ranked, release_memory, written
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1_000_000
 #: Distinct chunks whose ids a task remembers.
-CACHE_CHUNKS = 300_000
+CACHE_CHUNKS = 200_000
 #: The shape of tokenizer that allows the chunk vocabulary (fixed values of the tokenizer file).
 WORD_NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
 WORD_SPLIT = {
@@ -132,27 +132,31 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, least: int, end
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         tok = WordTokens(tokenizer)  # of this task alone: nothing stays in the worker
-        cuts: dict[int, list[int]] = {}
-        for batch in batches:
-            texts = pc.fill_null(batch.column(1), "")
-            sizes_b = np.concatenate([[0], np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))])
-            i = 0
-            while i < len(texts):
-                j = max(i + 1, int(np.searchsorted(sizes_b, sizes_b[i] + SLICE_BYTES, "right")) - 1)
-                ids, bounds = tok.encode(pa.concat_arrays([texts.slice(i, j - i)]))
-                rows: list[tuple] = []
-                for doc, a, b in zip(batch.column(0).slice(i, j - i).to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist()):
-                    own = np.append(ids[a:b], np.uint32(end_id)).astype("<u4")
-                    n, at = len(own), 0
-                    pieces = cuts.get(n)
-                    if pieces is None:
-                        pieces = cuts[n] = cut(n, sizes)
-                    for size in pieces:
-                        rows.append((doc, at, size, zlib.crc32(own[at : at + size]), n))
-                        at += size
-                names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names)
-                i = j
+        try:
+            cuts: dict[int, list[int]] = {}
+            for batch in batches:
+                texts = pc.fill_null(batch.column(1), "")
+                sizes_b = np.concatenate([[0], np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))])
+                i = 0
+                while i < len(texts):
+                    j = max(i + 1, int(np.searchsorted(sizes_b, sizes_b[i] + SLICE_BYTES, "right")) - 1)
+                    ids, bounds = tok.encode(pa.concat_arrays([texts.slice(i, j - i)]))
+                    rows: list[tuple] = []
+                    for doc, a, b in zip(batch.column(0).slice(i, j - i).to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist()):
+                        own = np.append(ids[a:b], np.uint32(end_id)).astype("<u4")
+                        n, at = len(own), 0
+                        pieces = cuts.get(n)
+                        if pieces is None:
+                            pieces = cuts[n] = cut(n, sizes)
+                        for size in pieces:
+                            rows.append((doc, at, size, zlib.crc32(own[at : at + size]), n))
+                            at += size
+                    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names)
+                    i = j
+        finally:
+            del tok
+            release_memory()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, PIECES)
 
