@@ -31,7 +31,12 @@ def required(found: Column, message: str) -> Column:
 
 
 def asof_join(left: DataFrame, right: DataFrame, keys: list[str], time: str, right_time: str, values: list[str], ordinal: str) -> DataFrame:
-    """For each left row the latest right row of its key with right_time <= time; ties go to the larger ordinal."""
+    """For each left row the latest right row of its key with right_time <= time; ties go to the larger ordinal.
+
+    A null key or time finds nothing and is never found.
+    """
+    for c in (*keys, right_time):
+        right = right.where(F.col(c).isNotNull())
     lf = left.withColumn("_t", F.col(time)).withColumn("_side", F.lit(1)).withColumn("_o", F.lit(None).cast(right.schema[ordinal].dataType))
     rf = right.select(*keys, F.col(right_time).alias("_t"), F.lit(0).alias("_side"), F.col(ordinal).alias("_o"), F.struct(*values).alias("_v"))
     both = lf.withColumn("_v", F.lit(None).cast(rf.schema["_v"].dataType)).unionByName(rf, allowMissingColumns=True)

@@ -45,10 +45,16 @@ bb AS (SELECT market, day, max(ord) AS ord, arg_max(px, ord) AS px FROM b GROUP
 a AS (SELECT o_orderkey, o_orderkey % 50 AS market, epoch_us(o_orderdate) // 86400000000 AS day FROM orders)
 SELECT a.o_orderkey, a.day, bb.day AS book_day, bb.px FROM a ASOF LEFT JOIN bb ON a.market = bb.market AND a.day >= bb.day""")
 def asof_book_lookup(spark, d):
-    """The last book snapshot of the market at or before each arrival."""
-    books = lines(spark, d).select((F.col("l_orderkey") % 50).alias("market"), F.col("day").alias("book_day"), F.expr("l_orderkey * 10 + l_linenumber").alias("ord"), "px")
+    """The last book snapshot of the market at or before each arrival.
+
+    Of a day's lines the largest ``ord`` with a price counts; lines of equal ``ord`` go to the first of the stored table,
+    by file and row, as ``arg_max`` meets them.
+    """
+    met = F.struct((-F.expr("l_orderkey * 10 + l_linenumber")).alias("ord"), "_metadata.file_path", "_metadata.row_index")
+    priced = lines(spark, d).select((F.col("l_orderkey") % 50).alias("market"), F.col("day").alias("book_day"), "px", F.when(F.expr("px IS NOT NULL AND l_linenumber IS NOT NULL"), met).alias("met"))
+    books = priced.groupBy("market", "book_day").agg(F.min_by("px", "met").alias("px"))
     arrivals = table(spark, d, "orders").select("o_orderkey", (F.col("o_orderkey") % 50).alias("market"), days("o_orderdate").alias("day"))
-    return bt.asof_join(arrivals, books, ["market"], "day", "book_day", ["book_day", "px"], "ord").select("o_orderkey", "day", "book_day", "px")
+    return bt.asof_join(arrivals, books, ["market"], "day", "book_day", ["book_day", "px"], "book_day").select("o_orderkey", "day", "book_day", "px")
 
 
 LAG = 600_000_000

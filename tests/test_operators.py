@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from quarrystone.operators import bitemporal as bt
 from quarrystone.operators import book, graph, ledger, market, research, rolling, signals, simulation, wallet
 
+from .conftest import same_rows
+
 
 def test_future_rows_change_no_past_answer(spark):
     rows = [("a", 1, 1, None, 0, 10), ("a", 2, 5, None, 1, 20), ("a", 2, 5, None, 2, 21), ("b", 1, 1, 3, 0, 5), ("b", 1, 9, None, 1, 6)]
@@ -40,6 +42,26 @@ def test_asof_and_interval_joins_by_hand(spark):
         lf.select(bt.required(F.lit(None).cast("int"), "no row")).collect()
 
 
+def test_book_lookup_ties_go_to_the_first_stored_line_and_nulls_find_nothing(spark, tmp_path):
+    import duckdb
+
+    from quarrystone.plans import catalog
+
+    con = duckdb.connect()
+    con.execute("SET threads = 1")  # its arg_max then meets the lines as they are stored
+    line = "SELECT {} AS l_orderkey, {} AS l_linenumber, 1 AS l_partkey, 1 AS l_suppkey, 1 AS l_quantity, {} AS l_extendedprice, 0.0 AS l_discount, 0.0 AS l_tax, 'N' AS l_returnflag, 'O' AS l_linestatus, {} AS l_shipdate"
+    copies = [line.format("50 * (i % 40)", "i % 3", "100.0 + i", f"TIMESTAMP '2024-01-01' + to_days(CAST(i % {m} AS INT))") + " FROM range(4000) t(i)" for m in (7, 1)]
+    odd = [("7::BIGINT", 1, "5.0::DOUBLE", "NULL::TIMESTAMP"), ("7::BIGINT", 9, "NULL::DOUBLE", "TIMESTAMP '2024-01-02'"), ("7::BIGINT", 3, "6.0", "TIMESTAMP '2024-01-02'"), ("NULL::BIGINT", 1, "8.0", "TIMESTAMP '2024-01-02'"), ("9::BIGINT", 1, "NULL::DOUBLE", "TIMESTAMP '2024-01-02'")]
+    (tmp_path / "lineitem.parquet").mkdir()
+    for name, rows in (("b", copies[1]), ("a", copies[0]), ("c", " UNION ALL ".join(line.format(*x) for x in odd))):
+        con.execute(f"COPY (SELECT * REPLACE (l_orderkey::BIGINT AS l_orderkey, l_linenumber::BIGINT AS l_linenumber, l_extendedprice::DOUBLE AS l_extendedprice) FROM ({rows})) TO '{tmp_path}/lineitem.parquet/{name}.parquet'")
+    keys = "(VALUES (0), (7), (9), (11), (NULL)) k(o_orderkey), (VALUES (TIMESTAMP '2023-12-31'), ('2024-01-01'), ('2024-01-03'), ('2024-01-09'), (NULL)) d(o_orderdate)"
+    con.execute(f"COPY (SELECT o_orderkey::BIGINT AS o_orderkey, o_orderdate FROM {keys}) TO '{tmp_path}/orders.parquet'")
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    con.execute(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet'")
+    same_rows(catalog.QUERIES["asof_book_lookup"](spark, str(tmp_path)), con, catalog.ORACLE_SQL["asof_book_lookup"])
+
+
 def test_cohort_predicates_fail_closed(spark):
     df = spark.createDataFrame([(1, 5, "x"), (2, None, "x"), (3, 1, None)], "id int, skill int, seg string")
     have, seg = market.AtLeast("skill", 3), market.Equals("seg", "x")
