@@ -14,7 +14,9 @@ cover is wide: 8 residues modulo 57, the perfect difference set of that order, i
 
 A name is a 64-bit fingerprint and names are sorted as numbers, not in alphabetical order: only equality and adjacency
 count.  Work is done in blocks of whole documents.  A block sends each range of names its own sorted distinct names;
-the range answers one bit for each, so a name held by a third of all documents comes once from each block.
+the range answers one bit for each, so a name held by a third of all documents comes once from each block.  The pass
+that names the remaining suffixes leaves the last pass one bit for each sampled tuple, so tuples are named twice, not
+three times.
 """
 
 from __future__ import annotations
@@ -34,7 +36,8 @@ from .minhash import _TABLE, U, mix, power_tables, powers, text_bytes
 MODULUS = 57
 #: Eight residues whose differences are every residue modulo 57 (fixed values).
 COVER = (0, 1, 3, 13, 32, 36, 43, 52)
-SLICE_BYTES = 1_500_000
+#: Bytes that are worked on at once (one longer text is a slice): their arrays stay in a core's own cache.
+SLICE_BYTES = 100_000
 #: Bits of a tuple's name beyond those that number the samples: chance repeats are one in 2**FILTER_BITS.
 FILTER_BITS = 12
 LEAST_BLOCK, MOST_BLOCK, BLOCKS = 4 << 20, 64 << 20, 2048
@@ -42,28 +45,46 @@ LEAST_BLOCK, MOST_BLOCK, BLOCKS = 4 << 20, 64 << 20, 2048
 #: Base and byte table of the second polynomial.
 _P2 = 0xD6E8FEB86659FD93
 _TABLE2 = mix(_TABLE ^ U(0xA5A5A5A5A5A5A5A5))
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def polynomial(which: int, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Byte table and at least ``n`` powers up and down; those of a usual slice are kept, longer ones are not."""
+
+    def made(n: int) -> tuple[np.ndarray, np.ndarray]:
+        return (powers(_P2, n), powers(pow(_P2, -1, 1 << 64), n)) if which else power_tables(n)
+
+    if which not in _POWERS:
+        _POWERS[which] = made(2 * SLICE_BYTES)
+    up, down = _POWERS[which] if n <= 2 * SLICE_BYTES else made(n)
+    return _TABLE2 if which else _TABLE, up, down
 
 
 class Slice:
     """Consecutive documents of a block: bytes, bounds and names of any substring length.
 
     A name mixes two polynomial fingerprints of different bases and byte tables: strings that agree in the low bits of
-    one by their own likeness still differ in the name like any two random numbers.
+    one by their own likeness still differ in the name like any two random numbers.  The filter of sampled tuples, whose
+    false repeats cost work alone, mixes one.
     """
 
     def __init__(self, texts: pa.Array) -> None:
         self.data, self.bounds = text_bytes(texts)
         n = len(self.data)
-        self.sums = []
-        for table, up, down in ((_TABLE, *power_tables(n + 1)), (_TABLE2, powers(_P2, n + 1), powers(pow(_P2, -1, 1 << 64), n + 1))):
+        self.sums: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def fingerprints(self, which: int, at: np.ndarray, length: int) -> np.ndarray:
+        if which not in self.sums:
+            n = len(self.data)
+            table, up, down = polynomial(which, n + 1)
             total = np.zeros(n + 1, U)
             np.cumsum(table[self.data] * up[:n], out=total[1:])
-            self.sums.append((total, down))
-        self.owner = np.repeat(np.arange(len(self.bounds) - 1), np.diff(self.bounds))
+            self.sums[which] = total, down
+        total, down = self.sums[which]
+        return (total[at + length] - total[at]) * down[at]
 
     def names(self, at: np.ndarray, length: int) -> np.ndarray:
-        (a, b) = ((total[at + length] - total[at]) * down[at] for total, down in self.sums)
-        return mix(mix(a) + b)
+        return mix(mix(self.fingerprints(0, at, length)) + self.fingerprints(1, at, length))
 
     def sampled(self, depth: int) -> np.ndarray:
         """Starts in the cover, counted from the document's start, with ``depth`` bytes left in the document."""
@@ -85,8 +106,9 @@ class Slice:
         if n <= 0:
             return np.empty(0, np.int64)
         ok = before[MODULUS : MODULUS + n] > before[:n]
-        ok &= self.owner[:n] == self.owner[depth - 1 :]
-        return np.flatnonzero(ok)
+        at = np.flatnonzero(ok)
+        owner = np.repeat(np.arange(len(self.bounds) - 1), np.diff(self.bounds))
+        return at[owner[at] == owner[at + depth - 1]]
 
 
 def slices_of(table: pa.Table) -> list[tuple[int, int]]:
@@ -100,6 +122,21 @@ def slices_of(table: pa.Table) -> list[tuple[int, int]]:
     return out
 
 
+def parts(t: pa.Table) -> Iterator[tuple[int, Slice]]:
+    """The slices of a block and the row at which each begins."""
+    texts = t["text"].combine_chunks()
+    for i, j in slices_of(t):
+        yield i, Slice(texts.slice(i, j - i))
+
+
+def ordered(t: pa.Table) -> pa.Table:
+    """The block's documents in an order of their own: rows come from an exchange in any, also when a task runs again.
+
+    Equal texts need no order among themselves: their sampled tuples are the same.
+    """
+    return t.take(pc.sort_indices(t, sort_keys=[("text", "ascending")])).combine_chunks()
+
+
 def encoded(names: np.ndarray) -> bytes:
     """Sorted distinct names as byte planes of their differences, compressed."""
     steps = np.diff(names, prepend=U(0))
@@ -158,8 +195,10 @@ MESSAGE = "bucket int, block int, names binary"
 ANSWER = "block int, level int, bucket int, bits binary"
 
 
-def _answer(level: int):
-    def run(t: pa.Table) -> pa.Table:
+def _answer(level: int, buckets: int):
+    def run(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
+        if key[0].as_py() >= buckets:  # a block's note to itself
+            return pa.table({"block": t["block"], "level": pa.array([0] * t.num_rows, pa.int32()), "bucket": t["bucket"], "bits": t["names"]})
         lists = [decoded(x) for x in t["names"].to_pylist()]
         names = np.concatenate(lists)
         order = np.argsort(names, kind="stable")
@@ -195,54 +234,59 @@ def heard(names: np.ndarray, count: int, answers: pa.Table, level: int) -> np.nd
 
 
 class Job:
-    """The three passes over a block.  They meet only in the order of sorted names, never in row order."""
+    """The three passes over a block.  They meet only in the order of sorted names, never in row order.
+
+    Both later passes list a block's documents in one order, that of ``ordered``, so the second can tell the third which
+    sampled tuples are repeated by one bit for each.
+    """
 
     def __init__(self, depth: int, shift: int, buckets: int) -> None:
         self.depth, self.shift, self.buckets = depth, shift, buckets
         self.tuple = depth - MODULUS + 1
 
-    def tuples(self, s: Slice) -> tuple[np.ndarray, np.ndarray]:
-        at = s.sampled(self.tuple)
-        names = s.names(at, self.tuple)
-        return at, (names >> U(self.shift)) << U(self.shift)  # a filter: fewer bits do
-
-    def level0(self, t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        """Sorted distinct tuple names of the block, and how often each occurs."""
-        texts = t["text"].combine_chunks()
-        parts = [np.unique(self.tuples(Slice(texts.slice(i, j - i)))[1], return_counts=True) for i, j in slices_of(t)]
-        return _summed(parts)
-
-    def level1(self, t: pa.Table, answers: pa.Table):
-        """For each slice its remaining starts and their names."""
-        names, counts = self.level0(t)
-        many = names[(counts > 1) | heard(names, self.buckets, answers, 0)]
-        texts = t["text"].combine_chunks()
-        for i, j in slices_of(t):
-            s = Slice(texts.slice(i, j - i))
-            at, own = self.tuples(s)
-            left = s.remaining(at[_among(own, many)], self.depth)
+    def tuples(self, s: Slice) -> np.ndarray:
+        names = mix(s.fingerprints(0, s.sampled(self.tuple), self.tuple))
+        return (names >> U(self.shift)) << U(self.shift)  # a filter: fewer bits do
+
+    def level0(self, t: pa.Table) -> np.ndarray:
+        """Tuple names of the block's sampled suffixes."""
+        return _joined([self.tuples(s) for _, s in parts(t)])
+
+    def level1(self, t: pa.Table, many: np.ndarray):
+        """For each slice its remaining starts and their names; ``many`` marks the repeated ones of all sampled tuples."""
+        begin = 0
+        for i, s in parts(t):
+            at = s.sampled(self.tuple)
+            left = s.remaining(at[many[begin : begin + len(at)]], self.depth)
+            begin += len(at)
             yield i, s, left, s.names(left, self.depth)
 
     def names0(self, key, t: pa.Table) -> pa.Table:
-        return messages(self.level0(t)[0], key[0].as_py(), self.buckets)
+        return messages(_distinct(self.level0(t)), key[0].as_py(), self.buckets)
 
     def names1(self, key, t: pa.Table, answers: pa.Table) -> pa.Table:
-        parts = [np.unique(h) for _, _, _, h in self.level1(t, answers)]
-        names = np.unique(np.concatenate(parts)) if parts else np.empty(0, U)
-        return messages(names, key[0].as_py(), self.buckets)
+        block, t = key[0].as_py(), ordered(t)
+        many = repeated(self.level0(t), self.buckets, answers, 0)
+        names = _distinct(_joined([h for *_, h in self.level1(t, many)]))
+        note = pa.array([np.packbits(many).tobytes()], pa.binary())
+        own = pa.table({"bucket": pa.array([self.buckets + block], pa.int32()), "block": pa.array([block], pa.int32()), "names": note})
+        return pa.concat_tables([messages(names, block, self.buckets), own])
 
     def removed(self, key, t: pa.Table, answers: pa.Table) -> pa.Table:
-        found = [(i, len(s.bounds) - 1, left, h) for i, s, left, h in self.level1(t, answers)]
-        names, counts = _summed([np.unique(h, return_counts=True) for *_, h in found])
-        many = names[(counts > 1) | heard(names, self.buckets, answers, 1)]
+        t = ordered(t)
+        note = answers.filter(pc.equal(answers["level"], 0))["bits"][0].as_py()
+        found = [(i, len(s.bounds) - 1, left, h) for i, s, left, h in self.level1(t, np.unpackbits(np.frombuffer(note, np.uint8)).view(bool))]
+        many = repeated(_joined([h for *_, h in found]), self.buckets, answers, 1)
         texts = t["text"].combine_chunks()
+        begin = 0
         cols: list[list] = [[], [], [], [], []]
         for i, n, left, h in found:
             data, bounds = text_bytes(texts.slice(i, n))
-            hit = left[_among(h, many)]
+            hit = left[many[begin : begin + len(h)]]
+            begin += len(h)
             turn = np.zeros(len(data) + 1, np.int32)
             turn[hit] += 1
-            np.subtract.at(turn, hit + self.depth, 1)
+            turn[hit + self.depth] -= 1
             gone = np.cumsum(turn[:-1]) > 0
             edge = gone.copy()
             edge[1:] &= ~gone[:-1]
@@ -260,20 +304,33 @@ class Job:
         return pa.table({c: pa.array(v, k) for c, v, k in zip(("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"), cols, kinds)})
 
 
-def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    if not parts:
-        return np.empty(0, U), np.empty(0, np.int64)
-    names, counts = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-    out, at = np.unique(names, return_inverse=True)
-    return out, np.bincount(at, counts, len(out)).astype(np.int64)
+def _joined(x: list[np.ndarray]) -> np.ndarray:
+    return np.concatenate([np.empty(0, U), *x])
 
 
-def _among(x: np.ndarray, sorted_: np.ndarray) -> np.ndarray:
-    if not len(sorted_):
-        return np.zeros(len(x), bool)
-    i = np.searchsorted(sorted_, x)
-    i[i == len(sorted_)] = 0
-    return sorted_[i] == x
+def _distinct(names: np.ndarray) -> np.ndarray:
+    """Sorted distinct names."""
+    names = np.sort(names)
+    return names[_first(names)]
+
+
+def _first(sorted_: np.ndarray) -> np.ndarray:
+    first = np.ones(len(sorted_), bool)
+    np.not_equal(sorted_[1:], sorted_[:-1], out=first[1:])
+    return first
+
+
+def repeated(names: np.ndarray, count: int, answers: pa.Table, level: int) -> np.ndarray:
+    """For each of a block's names: whether it occurs again, in this block or another."""
+    order = np.argsort(names)
+    sorted_ = names[order]
+    first = _first(sorted_)
+    at = np.flatnonzero(first)
+    many = np.diff(at, append=len(names)) > 1
+    many |= heard(sorted_[at], count, answers, level)
+    out = np.empty(len(names), bool)
+    out[order] = many[np.cumsum(first) - 1]
+    return out
 
 
 def remove_repeats(docs: DataFrame, depth: int = 200, id_col: str = "doc_id", text_col: str = "text", block_bytes: int | None = None) -> DataFrame:
@@ -296,9 +353,9 @@ def remove_repeats(docs: DataFrame, depth: int = 200, id_col: str = "doc_id", te
     kind = rows.schema["doc_id"].dataType.simpleString()
     dealt = rows.mapInArrow(packed, PACKED).groupBy("block")
     sent = dealt.applyInArrow(lambda key, t: job.names0(key, unpacked(t)), MESSAGE)
-    answers = sent.groupBy("bucket").applyInArrow(_answer(0), ANSWER)
+    answers = sent.groupBy("bucket").applyInArrow(_answer(0, blocks), ANSWER)
     sent = dealt.cogroup(answers.groupBy("block")).applyInArrow(lambda key, t, a: job.names1(key, unpacked(t), a), MESSAGE)
-    both = answers.unionByName(sent.groupBy("bucket").applyInArrow(_answer(1), ANSWER))
-    return dealt.cogroup(both.groupBy("block")).applyInArrow(
+    answers = sent.groupBy("bucket").applyInArrow(_answer(1, blocks), ANSWER)
+    return dealt.cogroup(answers.groupBy("block")).applyInArrow(
         lambda key, t, a: job.removed(key, unpacked(t), a), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     )

@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -67,6 +68,31 @@ def test_suffix_dedup(spark, odd_texts, block):
     assert suffix_dedup.remove_repeats(docs_of(spark, [])).count() == 0
 
 
+def test_suffix_dedup_passes_over_one_block(odd_texts, monkeypatch):
+    """Rows may come in another order to each pass, and no pass hashes what an earlier one can tell it by a bit."""
+    rng, hashed = random.Random(5), []
+    mix = suffix_dedup.mix
+    monkeypatch.setattr(suffix_dedup, "mix", lambda x: hashed.append(len(x)) or mix(x))
+    job, key = suffix_dedup.Job(200, 20, 3), (pa.scalar(2),)
+
+    def run(texts):
+        rows = list(enumerate(texts))
+        block = lambda: pa.table(dict(zip(("doc_id", "text"), map(list, zip(*rng.sample(rows, len(rows)))))), pa.schema({"doc_id": pa.int64(), "text": pa.string()}))
+        empty = pa.table({"block": [], "level": [], "bucket": [], "bits": []}, pa.schema({"block": pa.int32(), "level": pa.int32(), "bucket": pa.int32(), "bits": pa.binary()}))
+        job.names0(key, block())
+        told = job.names1(key, block(), empty)
+        told = [suffix_dedup._answer(1, 3)((b,), told.filter(pc.equal(told["bucket"], b))) for b in told["bucket"].unique()]
+        return [tuple(r.values()) for r in job.removed(key, block(), pa.concat_tables(told)).sort_by("doc_id").to_pylist()]
+
+    many = [*odd_texts, *odd_texts[::2], "x" * 250_000, None, ""]
+    assert [r[1:] for r in run(many)] == removed_by_hand(many)
+    hashed.clear()
+    plain = ["".join(chr(rng.randrange(33, 127)) for _ in range(30_000)) for _ in range(8)]
+    assert [r[2] for r in run(plain)] == [0] * 8
+    assert sum(hashed) < 2.1 * sum(map(len, plain)) * len(suffix_dedup.COVER) / suffix_dedup.MODULUS
+    assert run([None, ""])[0][1:4] == (0, 0, 0)
+
+
 def test_cover_meets_every_distance():
     c, v = suffix_dedup.COVER, suffix_dedup.MODULUS
     assert {(a - b) % v for a in c for b in c} == set(range(v))
