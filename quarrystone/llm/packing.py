@@ -29,6 +29,11 @@ WORD_SPLIT = {
     "behavior": "Removed",
     "invert": True,
 }
+BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+#: Letters that NFC leaves alone and whose lower case is one letter; each word of them is one piece.
+PLAIN = re.compile("[a-zÀ-ÖØ-öø-ÿ]+").fullmatch
+#: Plain words that are encoded as one text.
+RUN = 256
 
 
 class WordTokens:
@@ -36,14 +41,16 @@ class WordTokens:
 
     A tokenizer of the WORD_NORMALIZER and WORD_SPLIT shape lower-cases, drops white space and never joins a letter
     or digit with the punctuation after it, so a text's ids are the ids of its white-space-separated chunks in order;
-    A-Z is lowered and ``.,;:!?|`` set apart after a-z0-9 beforehand to make chunks recur.  Each distinct chunk is
-    encoded once; the rest is numpy gathering.  Texts for which that does not hold are encoded whole: those with the
+    A-Z is lowered and ASCII punctuation set apart after a-z0-9 and Latin-1 letters beforehand to make chunks recur.
+    Each distinct chunk is encoded once; the rest is numpy gathering.  Chunks of plain letters alone, nearly all, need
+    the byte step and the model only: many are encoded as one text, and the end-of-word ids tell where each ends.
+    Texts for which that does not hold are encoded whole: those with the
     string of an added token, those with a combining mark after A-Z (its lower case may compose where the upper case
     does not), and all texts where the tokenizer has another shape.
     """
 
     def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tok = Tokenizer.from_file(path)
         shape = json.loads(self.tok.to_str())
@@ -52,6 +59,14 @@ class WordTokens:
         self.chunked = normalizers == WORD_NORMALIZER and splits[0] == WORD_SPLIT
         odd = ["[A-Z]\\p{M}"] + ["(?i)" + re.escape(t["content"]) for t in shape.get("added_tokens") or []]
         self.whole = "|".join(odd)
+        self.words, suffix = None, shape["model"].get("end_of_word_suffix")
+        if self.chunked and splits[1:] == [BYTE_LEVEL] and suffix:
+            self.words = Tokenizer(self.tok.model)
+            bytes_ = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+            self.words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), bytes_])
+            vocab = shape["model"]["vocab"]
+            self.ends = np.zeros(max(vocab.values()) + 1, bool)
+            self.ends[[i for token, i in vocab.items() if token.endswith(suffix)]] = True
         self.reset()
 
     def reset(self) -> None:
@@ -60,19 +75,30 @@ class WordTokens:
         self.offs = np.empty(0, np.int64)
         self.lens = np.empty(0, np.int64)
 
-    def _encoded(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _encoded(self, texts: list[str], tok=None) -> tuple[np.ndarray, np.ndarray]:
         """The ids of each text, one after another, and how many each has."""
-        got = [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+        got = [e.ids for e in (tok or self.tok).encode_batch_fast(texts, add_special_tokens=False)]
         lens = np.fromiter(map(len, got), np.int64, len(got))
         return np.fromiter(chain.from_iterable(got), np.uint32, int(lens.sum())), lens
 
+    def _encoded_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """As ``_encoded``, for plain words."""
+        ids, _ = self._encoded([" ".join(words[i : i + RUN]).lower() for i in range(0, len(words), RUN)], self.words)
+        lens = np.diff(np.flatnonzero(self.ends[ids]), prepend=-1)
+        return (ids, lens) if len(lens) == len(words) else self._encoded(words)  # a vocabulary without some letters
+
     def _ids(self, uniques: list[str]) -> np.ndarray:
         if len(self.known) > CACHE_CHUNKS:
             self.reset()
         known = self.known
         new = [u for u in uniques if u not in known]
         if new:
-            ids, lens = self._encoded(new)
+            plain: list[str] = []
+            odd: list[str] = []
+            for u in new:
+                (plain if self.words and PLAIN(u) else odd).append(u)
+            new = plain + odd
+            ids, lens = map(np.concatenate, zip(self._encoded_words(plain), self._encoded(odd)))
             at = len(self.pool) + np.cumsum(lens) - lens
             known.update(zip(new, range(len(self.lens), len(self.lens) + len(new))))
             self.pool = np.concatenate([self.pool, ids])
@@ -80,7 +106,7 @@ class WordTokens:
         return np.fromiter(map(known.__getitem__, uniques), np.int64, len(uniques))
 
     def _by_chunks(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        plain = pc.replace_substring_regex(pc.ascii_lower(texts), pattern="([a-z0-9])([.,;:!?|])", replacement="\\1 \\2")
+        plain = pc.replace_substring_regex(pc.ascii_lower(texts), pattern="([a-z0-9À-ÖØ-öø-ÿ])([!-/:-@\\[-`{-~])", replacement="\\1 \\2")
         lists = pc.ascii_split_whitespace(plain)
         coded = lists.flatten().dictionary_encode()
         vid = self._ids(coded.dictionary.to_pylist())

@@ -306,6 +306,28 @@ def test_tokens_are_those_of_the_file(name):
         assert ids[a:b].tolist() == tok.encode(t, add_special_tokens=False).ids, t
 
 
+def test_plain_words_are_encoded_many_at_once(monkeypatch):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path, rng, texts_seen = public_tokenizers.path("word_bpe_49k.json"), random.Random(3), []
+    tok, own = Tokenizer.from_file(path), packing.WordTokens(path)
+    encoded = own._encoded
+    monkeypatch.setattr(own, "_encoded", lambda texts, *a: texts_seen.extend(texts) or encoded(texts, *a))
+    latin = "".join(map(chr, range(0xC0, 0x100))).replace("×", "").replace("÷", "")
+    words = ["".join(rng.choice("abcdefgABCDEFG" + latin) for _ in range(rng.randrange(1, 9))) for _ in range(6000)]
+    marks = [chr(i) for i in range(33, 127) if not chr(i).isalnum()]
+    texts = [" ".join(w + rng.choice(marks) * rng.randrange(3) for w in words[i : i + 20]) for i in range(0, len(words), 20)]
+    texts += [f"a{m}\u0338 é{m}\u0308b É{m}s e\u0301{m}x 7{m}ll" for m in marks] + [w + "\u0301" for w in words[:50]]
+    ids, bounds = own.encode(pa.array(texts))
+    for t, a, b in zip(texts, bounds[:-1], bounds[1:]):
+        assert ids[a:b].tolist() == tok.encode(t, add_special_tokens=False).ids, t
+    assert len(texts_seen) < len(words) / 5  # the words in runs, and chunks that hold more than letters
+    own.ends[:] = False  # a vocabulary that does not show where words end
+    own.reset()
+    assert own.encode(pa.array(texts))[0].tolist() == ids.tolist()
+
+
 def test_secret_scan(spark):
     key = hashlib.sha1(b"k").hexdigest()
     texts = [None, "", f'the token = "{key}" and', f'TOKEN = "{key.upper()}"!!', f"commit {key} of", "card 4111222233334444 on", "z" * 5000, f'password: "{key}" ' * 200]
